@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from podium.llm.sharding import op9_histogram_shards
+from podium.llm.simhash import op7_simhash_near_dedup
 
 QUERIES = {
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_histogram_shards": op9_histogram_shards,
 }
 
