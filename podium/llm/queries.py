@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from podium.llm.bpe import op4_bpe_round_trip
+from podium.llm.lines import op8_line_dedup
 from podium.llm.packing import op2_best_fit_packing
 from podium.llm.sharding import op9_histogram_shards
 from podium.llm.simhash import op7_simhash_near_dedup
 from podium.llm.toxicity import op10_pu_toxicity
 
 QUERIES = {
+    "op8_line_dedup": op8_line_dedup,
     "op10_pu_toxicity": op10_pu_toxicity,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op2_best_fit_packing": op2_best_fit_packing,
