@@ -1,19 +1,56 @@
-"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, best-fit packing."""
+"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, best-fit packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from podium.llm.lines import line_dedup
+from podium.llm.packing import packed_documents
+from podium.llm.simhash import simhash_groups
+from podium.llm.toxicity import THRESHOLD, toxicity
 from podium.plans.scratch import Scratch
 
-STAGES: list = []
 
-#: SQL can't express trained classifiers, similarity joins or packing.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels, carry=True).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier one repeats; ``n_chars`` follows the text."""
+    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id in each SimHash group; rows that share no id with any group (null ids) stay."""
+    groups = simhash_groups(docs)
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' token pieces with their sequence and offset."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", drop_near_copies),
+    ("best-fit packing", pack),
+]
+
+#: SQL can't express trained classifiers, tokenizers or packing; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each is written and read again."""
+    """Apply the stages to ``documents``; each is written as Parquet and read again as the next one's docs."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
