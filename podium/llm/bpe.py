@@ -11,17 +11,17 @@ whose size is the vocabulary's.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from podium.llm.words import blocks, default_path, encode_words, tokenizer, words
+from podium.llm.words import PartEncoder, blocks, default_path, parts, tokenizer, words
 
 #: Bytes of text in a block.  A block's words and numbers are held by one task.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 
 
 class _Numbers(dict):
@@ -31,7 +31,7 @@ class _Numbers(dict):
 
 
 def _numbered(batches):
-    """(block, batch, word numbers of each text, words) of a partition's blocks.
+    """(block, batch, numbers of each text's words, words, parts) of a partition's blocks.
 
     A block's name follows from the partition and its place there, so both
     passes over the same files give the same blocks.
@@ -39,41 +39,50 @@ def _numbered(batches):
     part, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
         for b in blocks(batch, chars=BLOCK_BYTES):
-            index = _Numbers()
+            index, of_parts = _Numbers(), _Numbers()
             rows = []
             for t in b.column(1).to_pylist():
                 w = words(t)
                 rows.append(np.fromiter(map(index.__getitem__, w), np.uint32, len(w)))
-            yield part << 32 | nth, b, rows, index
+            made = [[of_parts[p] for p in parts(w)] for w in index]
+            yield part << 32 | nth, b, rows, made, of_parts
             nth += 1
 
 
 def _words_of(batches):
-    for block, _, _, index in _numbered(batches):
-        n = len(index)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(index), pa.string())], names=["block", "at", "word"])
+    for block, _, _, _, of_parts in _numbered(batches):
+        n = len(of_parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(of_parts), pa.string())], names=["block", "at", "word"])
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Byte planes of unsigned numbers, compressed."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _spread(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:8], "little")
+    planes = pa.Codec("zstd").decompress(squeezed[8:], n * 4, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() if n else np.empty(0, np.uint32)
 
 
 def _texts_of(batches):
-    codec = pa.Codec("zstd", 1)
-    for block, b, rows, index in _numbered(batches):
-        flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-        planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+    for block, b, rows, made, of_parts in _numbered(batches):
         cols = [
-            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([[len(r) for r in rows]], pa.list_(pa.int64())),
-            pa.array([len(index)], pa.int64()), pa.array([codec.compress(planes, asbytes=True)], pa.binary()),
+            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([[len(r) for r in rows]], pa.list_(pa.int64())), pa.array([len(of_parts)], pa.int64()),
+            *(pa.array([_squeezed(x)], pa.binary()) for x in (np.concatenate(rows) if rows else np.empty(0, np.uint32), np.fromiter(map(len, made), np.uint32, len(made)), np.fromiter(chain.from_iterable(made), np.uint32))),
         ]
-        yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "n_words", "numbers"])
+        yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "n_parts", "numbers", "lengths", "made"])
 
 
-def _encoder(path: str):
+def _encoder(path: str, narrow: bool):
     def each(batches):
-        known: dict[str, np.ndarray] = {}
+        encode_part, known = PartEncoder(path), {}
         for b in batches:
             coded = b.column("word").dictionary_encode()
             terms = coded.dictionary.to_pylist()
-            fresh = [w for w in terms if w not in known]
-            got = dict(zip(fresh, (np.array(x, "<u4").tobytes() for x in encode_words(path, fresh))))
+            got = {w: np.array(encode_part(w), "<u2" if narrow else "<u4").tobytes() for w in terms if w not in known}
             packed = [got.get(w) or known[w] for w in terms]
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(packed, pa.binary()).take(coded.indices)], names=["block", "at", "ids"])
             # rows come sorted: only the last word can come again
@@ -84,22 +93,24 @@ def _encoder(path: str):
 
 def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish, schema: str) -> DataFrame:
     """``finish`` gets, for each block, the documents' ids, word numbers and the words' ids."""
+    narrow = tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = docs.mapInArrow(_words_of, "block long, at int, word string")
-    answered = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), "block long, at int, ids binary")
-    texts = docs.mapInArrow(_texts_of, "block long, doc_ids array<long>, sizes array<long>, n_words long, numbers binary")
+    answered = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path, narrow), "block long, at int, ids binary")
+    texts = docs.mapInArrow(_texts_of, "block long, doc_ids array<long>, sizes array<long>, n_parts long, numbers binary, lengths binary, made binary")
 
     def each(text: pa.Table, asked: pa.Table) -> pa.Table:
-        if text.num_rows != 1 or asked.num_rows != text["n_words"][0].as_py():
+        if text.num_rows != 1 or asked.num_rows != text["n_parts"][0].as_py():
             raise RuntimeError("a block's words do not match its texts: the input must not change between two reads")
-        ids = [b""] * asked.num_rows
+        part_ids: list = [None] * asked.num_rows
         for at, x in zip(asked["at"].to_pylist(), asked["ids"].to_pylist()):
-            ids[at] = x
-        sizes = np.array(text["sizes"][0].as_py(), np.int64)
-        total = int(sizes.sum())
-        planes = pa.Codec("zstd").decompress(text["numbers"][0].as_buffer(), total * 4, asbytes=True)
-        flat = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() if total else np.empty(0, np.uint32)
-        return finish(text["doc_ids"][0].as_py(), np.split(flat, np.cumsum(sizes)[:-1]), ids)
+            part_ids[at] = np.frombuffer(x, "<u2" if narrow else "<u4").tolist()
+        numbers, lengths, made = (_spread(text[c][0].as_py()) for c in ("numbers", "lengths", "made"))
+        ids, at, made = [], 0, made.tolist()
+        for n in lengths.tolist():
+            ids.append(part_ids[made[at]] if n == 1 else [i for p in made[at : at + n] for i in part_ids[p]])
+            at += n
+        return finish(text["doc_ids"][0].as_py(), np.split(numbers, np.cumsum(text["sizes"][0].as_py())[:-1]), ids)
 
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(each, schema)
 
@@ -112,8 +123,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
 
     def finish(doc_ids, rows, ids):
-        words_ids = [np.frombuffer(x, "<u4") for x in ids]
-        out = [np.concatenate([words_ids[i] for i in r]).astype(np.int32) if len(r) else np.empty(0, np.int32) for r in rows]
+        out = [[i for w in r.tolist() for i in ids[w]] for r in rows]
         return pa.table({"id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return _encoded_blocks(df, id_col, text_col, path or default_path(), finish, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -152,9 +162,8 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def finish(doc_ids, rows, ids):
         piece = shared.value
-        word_ids = [np.frombuffer(x, "<u4").tolist() for x in ids]
-        count = np.array([len(x) for x in word_ids], np.int64)
-        as_ids, as_text = [" ".join(map(str, x)) for x in word_ids], [" ".join([piece[i] for i in x]) for x in word_ids]
+        count = np.array([len(x) for x in ids], np.int64)
+        as_ids, as_text = [" ".join(map(str, x)) for x in ids], [" ".join([piece[i] for i in x]) for x in ids]
         out = []
         for doc, r in zip(doc_ids, rows):
             if len(r) and not (count[r] > 0).all():

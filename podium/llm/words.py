@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: str.split() also splits at these, which Unicode does not call white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -52,15 +54,54 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def encode_words(path: str, some: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch(some, add_special_tokens=False)]
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes: printable Latin-1 characters for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def parts(word: str) -> tuple[str, ...] | list[str]:
+    """Pieces of a word that the tokenizer encodes one by one, in lower case.
+
+    Below U+0250 text is its own normal form, so lower case and the split into
+    letters, digits and others are all that comes before the model.  Words with
+    other characters, apostrophes (contractions) or ``<|`` (special tokens)
+    stay whole, as they are.
+    """
+    if word.isascii() and word.isalpha():
+        return (word.lower(),)
+    if max(word) < "\u0250" and "'" not in word and "<|" not in word:
+        low = word.lower()
+        return (low,) if low.isalpha() else _PART.findall(low)
+    return (word,)
+
+
+class PartEncoder:
+    """Encodes parts of words: the model's own way for plain Latin ones, the tokenizer's for others."""
+
+    def __init__(self, path: str) -> None:
+        self.whole = tokenizer(path)
+        self.model = self.whole.model
+
+    def __call__(self, part: str) -> list[int]:
+        if part.isascii() and part.isalpha():
+            return [t.id for t in self.model.tokenize(part.lower())]
+        if max(part) < "\u0250" and "'" not in part and "<|" not in part:
+            return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_LETTERS))]
+        return self.whole.encode(part, add_special_tokens=False).ids
 
 
 class WordIds(dict):
     """Word to its number here; ids of all words lie flat in one array."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.encode = PartEncoder(path)
+        self.parts: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -75,20 +116,31 @@ class WordIds(dict):
         return n
 
     def _settle(self) -> None:
-        for at in range(0, len(self.fresh), 4096):
-            got = encode_words(self.path, self.fresh[at : at + 4096])
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            total = int(counts.sum())
-            while self.end + total > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            while self.known + len(got) > len(self.first):
-                self.first = np.concatenate((self.first, np.empty_like(self.first)))
-                self.count = np.concatenate((self.count, np.empty_like(self.count)))
-            self.flat[self.end : self.end + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
-            self.count[self.known : self.known + len(got)] = counts
-            self.first[self.known : self.known + len(got)] = self.end + np.cumsum(counts) - counts
-            self.known += len(got)
-            self.end += total
+        if not self.fresh:
+            return
+        if len(self.parts) > WORDS_KEPT:
+            self.parts.clear()
+        known, got = self.parts, []
+        for w in self.fresh:
+            ids: list[int] = []
+            for p in parts(w):
+                x = known.get(p)
+                if x is None:
+                    x = known[p] = self.encode(p)
+                ids = ids + x if ids else x
+            got.append(ids)
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(counts.sum())
+        while self.end + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.known + len(got) > len(self.first):
+            self.first = np.concatenate((self.first, np.empty_like(self.first)))
+            self.count = np.concatenate((self.count, np.empty_like(self.count)))
+        self.flat[self.end : self.end + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.count[self.known : self.known + len(got)] = counts
+        self.first[self.known : self.known + len(got)] = self.end + np.cumsum(counts) - counts
+        self.known += len(got)
+        self.end += total
         self.fresh = []
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
