@@ -1 +1 @@
-
+"""Column functions: rating curves, text norms, rank metrics."""

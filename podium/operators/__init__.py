@@ -1 +1 @@
-
+"""The standings operators."""

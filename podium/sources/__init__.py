@@ -1 +1 @@
-
+"""Readers, writers and standings-shaped views."""
