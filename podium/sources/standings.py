@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from podium.functions.text import contest_of_url, norm_alnum
 
 #: The standings format.
 CELL = "struct<solved:boolean,score:double,time_seconds:double,wrong_attempts:int>"
-CONTEST = T.StructType.fromDDL(
+CONTEST = (
     "contest_id long, contest_name string, contest_url string, year int, region string, editorial string, editorial_url string, "
     "problems array<struct<problem_label:string,problem_id:string,problem_name:string,problem_solved_in_contest:int,difficulty_estimate:string>>, "
     f"standings array<struct<rank:int,team_id:string,team_name:string,affiliation:string,members:array<string>,total_solved:int,problems:map<string,{CELL}>>>"

@@ -1 +1 @@
-
+"""Empty on purpose: the standings methods look ahead over whole seasons, so there is no streaming operator."""
