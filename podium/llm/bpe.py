@@ -31,9 +31,10 @@ class _Numbers(dict):
 
 
 def _numbered(batches):
-    """(block, batch, numbers of each text's words, words, parts) of a partition's blocks.
+    """(block, batch, numbers of the texts' words in a row, texts' word counts, how many words come again, words' parts, parts).
 
-    A block's name follows from the partition and its place there, so both
+    Words that come again are numbered by falling frequency, then the others in
+    the order they come, which need not be written down.  A block's name follows from the partition and its place there, so both
     passes over the same files give the same blocks.
     """
     part, nth = TaskContext.get().partitionId(), 0
@@ -44,36 +45,67 @@ def _numbered(batches):
             for t in b.column(1).to_pylist():
                 w = words(t)
                 rows.append(np.fromiter(map(index.__getitem__, w), np.uint32, len(w)))
-            made = [[of_parts[p] for p in parts(w)] for w in index]
-            yield part << 32 | nth, b, rows, made, of_parts
+            flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
+            times = np.bincount(flat, minlength=len(index))
+            order = np.lexsort((-times, times == 1))
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            by_number = list(index)
+            made = [[of_parts[p] for p in parts(by_number[i])] for i in order.tolist()]
+            yield part << 32 | nth, b, number[flat], [len(r) for r in rows], int((times > 1).sum()), made, of_parts
             nth += 1
 
 
 def _words_of(batches):
-    for block, _, _, _, of_parts in _numbered(batches):
+    for block, *_, of_parts in _numbered(batches):
         n = len(of_parts)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(of_parts), pa.string())], names=["block", "at", "word"])
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Byte planes of unsigned numbers, compressed."""
-    planes = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    """Unsigned numbers in few bytes: one for those below 255, byte planes of the rest, compressed."""
+    codec, large = pa.Codec("zstd", 1), numbers >= 255
+    rest = np.ascontiguousarray(numbers[large].astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    first = codec.compress(np.where(large, 255, numbers).astype(np.uint8).tobytes(), asbytes=True)
+    return np.array([len(numbers), large.sum(), len(first)], np.int64).tobytes() + first + codec.compress(rest, asbytes=True)
 
 
 def _spread(squeezed: bytes) -> np.ndarray:
-    n = int.from_bytes(squeezed[:8], "little")
-    planes = pa.Codec("zstd").decompress(squeezed[8:], n * 4, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() if n else np.empty(0, np.uint32)
+    codec = pa.Codec("zstd")
+    n, n_large, upto = np.frombuffer(squeezed[:24], np.int64).tolist()
+    if not n:
+        return np.empty(0, np.int64)
+    out = np.frombuffer(codec.decompress(squeezed[24 : 24 + upto], n, asbytes=True), np.uint8).astype(np.int64)
+    if n_large:
+        rest = np.frombuffer(codec.decompress(squeezed[24 + upto :], n_large * 4, asbytes=True), np.uint8)
+        out[out == 255] = np.ascontiguousarray(rest.reshape(4, -1).T).view(np.uint32).ravel()
+    return out
+
+
+def _unsaid(numbers: np.ndarray, first: int) -> np.ndarray:
+    """Numbers from ``first`` on come in order for the first time: those times become 0, all others rise by one."""
+    out = numbers.astype(np.int64) + 1
+    value, at = np.unique(numbers, return_index=True)
+    out[at[value >= first]] = 0
+    return out
+
+
+def _said(numbers: np.ndarray, first: int) -> np.ndarray:
+    out = numbers - 1
+    new = np.flatnonzero(numbers == 0)
+    out[new] = first + np.arange(len(new))
+    return out
 
 
 def _texts_of(batches):
-    for block, b, rows, made, of_parts in _numbered(batches):
+    for block, b, flat, sizes, again, made, of_parts in _numbered(batches):
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        of_words = np.fromiter(chain.from_iterable(made), np.int64, int(counts.sum()))
         cols = [
-            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([[len(r) for r in rows]], pa.list_(pa.int64())), pa.array([len(of_parts)], pa.int64()),
-            *(pa.array([_squeezed(x)], pa.binary()) for x in (np.concatenate(rows) if rows else np.empty(0, np.uint32), np.fromiter(map(len, made), np.uint32, len(made)), np.fromiter(chain.from_iterable(made), np.uint32))),
+            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(of_parts)], pa.int64()), pa.array([again], pa.int64()),
+            *(pa.array([_squeezed(x)], pa.binary()) for x in (_unsaid(flat, again), counts, _unsaid(of_words, 0))),
         ]
-        yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "n_parts", "numbers", "lengths", "made"])
+        yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "n_parts", "again", "numbers", "lengths", "made"])
 
 
 def _encoder(path: str, narrow: bool):
@@ -97,7 +129,7 @@ def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = docs.mapInArrow(_words_of, "block long, at int, word string")
     answered = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path, narrow), "block long, at int, ids binary")
-    texts = docs.mapInArrow(_texts_of, "block long, doc_ids array<long>, sizes array<long>, n_parts long, numbers binary, lengths binary, made binary")
+    texts = docs.mapInArrow(_texts_of, "block long, doc_ids array<long>, sizes array<long>, n_parts long, again long, numbers binary, lengths binary, made binary")
 
     def each(text: pa.Table, asked: pa.Table) -> pa.Table:
         if text.num_rows != 1 or asked.num_rows != text["n_parts"][0].as_py():
@@ -106,6 +138,7 @@ def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish
         for at, x in zip(asked["at"].to_pylist(), asked["ids"].to_pylist()):
             part_ids[at] = np.frombuffer(x, "<u2" if narrow else "<u4").tolist()
         numbers, lengths, made = (_spread(text[c][0].as_py()) for c in ("numbers", "lengths", "made"))
+        numbers, made = _said(numbers, text["again"][0].as_py()), _said(made, 0)
         ids, at, made = [], 0, made.tolist()
         for n in lengths.tolist():
             ids.append(part_ids[made[at]] if n == 1 else [i for p in made[at : at + n] for i in part_ids[p]])
