@@ -35,17 +35,23 @@ def word_features(word: str, chosen: set[str] | frozenset[str] = frozenset()) ->
     return tuple(f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n)
 
 
+def text_features(words: set[str], chosen: set[str] | frozenset[str] = frozenset()) -> set[str]:
+    """Features of a text's words; a beginning that two, or three, of them have is a feature of its own."""
+    times = Counter(f for w in words for f in word_features(w, chosen))
+    return {g for f, k in times.items() for g in ((f,) if f[0] == "w" or k == 1 else (f, f + "#2") if k == 2 else (f, f + "#2", f + "#3"))}
+
+
 def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
 def _unlike(texts: list[set[str]]) -> list[set[str]]:
-    """The texts less later near copies, whose shared words would look like evidence: those with half a sketch in common."""
+    """The texts less later near copies, whose shared words would look like evidence: those with most of a sketch in common."""
     kept, seen = [], {}
     for i, t in enumerate(texts):
         sketch = heapq.nsmallest(8, (zlib.crc32(w.encode()) for w in t))
         like = Counter(j for h in sketch for j in seen.get(h, ()))
-        if sketch and like and max(like.values()) >= max(1, len(sketch) // 2):
+        if sketch and like and max(like.values()) >= max(1, 3 * len(sketch) // 4):
             continue
         kept.append(t)
         for h in sketch:
@@ -106,7 +112,7 @@ def fit(positive: list[str | None], unlabelled: list[str | None], prior: float,
     texts += _unlike([text_words(t) for t in unlabelled])
     words = set(_telling(texts, n_p, prior))
     # word beginnings stand for the words that are too rare to tell by themselves
-    sets = [{f for w in s for f in word_features(w, words)} for s in texts]
+    sets = [text_features(s, words) for s in texts]
     chosen = _telling(sets, n_p, prior)
     index = {f: i for i, f in enumerate(chosen)}
     if not chosen:
@@ -154,19 +160,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scorer(shared):
     class Known(dict):
+        """A word's features that bear on the score."""
+
         def __missing__(self, word):
-            got = self[word] = tuple(f for f in word_features(word, chosen) if f in weights)
+            got = self[word] = tuple(f for f in word_features(word, chosen) if f in base)
             return got
 
     weights, bias = shared.value["weights"], shared.value["bias"]
-    chosen = {f[1:] for f in weights if f[0] == "w"}
+    chosen, base = {f[1:] for f in weights if f[0] == "w"}, {f.partition("#")[0] for f in weights}
     known = Known()
 
     def score(text):
         if len(known) > WORDS_KEPT:
             known.clear()
-        hits = {f for t in map(known.__getitem__, text_words(text)) if t for f in t}
-        return float(1 / (1 + np.exp(-np.clip(bias + sum(weights[f] for f in hits), -50, 50))))
+        times = Counter(f for t in map(known.__getitem__, text_words(text)) if t for f in t)
+        total = bias
+        for f, k in times.items():
+            total += weights.get(f, 0.0)
+            if f[0] != "w" and k > 1:
+                total += weights.get(f + "#2", 0.0) + (weights.get(f + "#3", 0.0) if k > 2 else 0.0)
+        return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
     return score
 
