@@ -7,6 +7,7 @@ executor, so a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,8 @@ class Scratch:
                 jvm = self.spark._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps, which it does once their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
