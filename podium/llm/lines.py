@@ -3,14 +3,17 @@
 A line is the set of its lower-cased words.  A line goes if an earlier one (by
 document id, then line number) has a Jaccard similarity of the threshold or
 more with it.  Words of a line are ordered by rarity (counts of a fixed number
-of word buckets; any common order gives exact results), and two lines can only
-be similar if their prefixes in that order share a word at fitting positions,
-with fitting lengths.
-
-Lines of equal sets are brought down to the first.  Every other line is first
-held against the earliest line that shares a prefix word with it, which settles
-groups of near copies in linear work; only lines that this leaves are joined
-with all earlier ones.  Candidates are verified on the whole word sets.
+of word buckets; any common order gives exact results).  Similar lines share two
+words in their prefixes in that order, at positions that leave room for the
+overlap they need, and have fitting lengths; a parity sketch of the sets, whose
+bits cannot differ in more places than the sets do, is checked beside these.
+
+Texts are read once: a block table keeps each line's distinct words as numbers.
+Lines of equal sets are brought down to the first.  Lines that share a prefix
+word come together, and go on if they share two; in a long list of them a line that may match the earliest
+one of about its size is only held against that one, which settles groups of
+near copies in linear work, and should that fail, against all others in a
+second round.  Candidates are verified on the whole word sets.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from podium.llm.bpe import _said, _spread, _squeezed, _unsaid
 from podium.llm.words import blocks
 from podium.plans.scratch import Scratch
 
 THRESHOLD = 0.8
-BUCKETS = 1 << 20
-#: Bits of the filter that keeps lines without candidates from travelling.
+BUCKETS = 1 << 22
+#: Bits of the filters that keep lines and words without candidates from travelling.
 FILTER = 1 << 24
 LAST_ID = (1 << 63) - 1
+BLOCK_BYTES = 8_000_000
+#: Lists of lines that share a word, up to which all pairs are looked at.
+SHORT_LIST = 64
 
 
 class _Hashes(dict):
@@ -44,25 +51,52 @@ class _Hashes(dict):
         return n
 
 
-def _line_sets(b: pa.RecordBatch):
-    """(document row, line number, start) of each line with words, and hashes of its distinct words, line by line."""
-    index = _Hashes()
-    doc, no, sizes, flat = [], [], [], []
-    for row, text in enumerate(b.column(1).to_pylist()):
-        for k, line in enumerate((text or "").split("\n")):
-            w = line.lower().split()
-            if w:
-                doc.append(row)
-                no.append(k)
-                sizes.append(len(w))
-                flat.append(np.fromiter(map(index.__getitem__, w), np.int64, len(w)))
-    n = len(doc)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint64)
-    v = len(index)
-    key = np.unique(np.repeat(np.arange(n), sizes) * v + np.concatenate(flat))
-    starts = np.concatenate(([0], np.cumsum(np.bincount(key // v, minlength=n))))
-    return np.array(doc), np.array(no), starts, np.array(index.h, np.uint64)[key % v]
+TABLE = "ids array<long>, lines array<int>, sizes array<int>, again long, numbers binary, hashes binary"
+
+
+def _block_table(batches):
+    """A row a block: the document id, number and distinct words of each line with words."""
+    for batch in batches:
+        for b in blocks(batch, chars=BLOCK_BYTES):
+            index = _Hashes()
+            number = index.__getitem__
+            doc, no, sizes, flat = [], [], [], []
+            for row, text in enumerate(b.column(1).to_pylist()):
+                for k, line in enumerate((text or "").lower().split("\n")):
+                    w = line.split()
+                    if w:
+                        doc.append(row)
+                        no.append(k)
+                        sizes.append(len(w))
+                        flat.extend(map(number, w))
+            n, v = len(doc), len(index)
+            if not n:
+                continue
+            key = np.unique(np.repeat(np.arange(n), sizes) * v + np.array(flat, np.int64))
+            line, word = key // v, key % v
+            times = np.bincount(word, minlength=v)
+            order = np.lexsort((-times, times == 1))
+            renumbered = np.empty(v, np.int64)
+            renumbered[order] = np.arange(v)
+            again = int((times > 1).sum())
+            cols = [
+                pa.array([b.column(0).take(pa.array(doc)).to_pylist()], pa.list_(pa.int64())), pa.array([no], pa.list_(pa.int32())), pa.array([np.bincount(line, minlength=n)], pa.list_(pa.int32())),
+                pa.array([again], pa.int64()), pa.array([_squeezed(_unsaid(renumbered[word], again))], pa.binary()), pa.array([np.array(index.h, np.uint64)[order].tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["ids", "lines", "sizes", "again", "numbers", "hashes"])
+
+
+def _unpacked(batches):
+    """(ids, line numbers, sizes, word numbers line by line, words' hashes) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = lambda c: batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+            numbers = _said(_spread(batch.column(4)[i].as_py()), batch.column(3)[i].as_py())
+            yield get(0), get(1), get(2).astype(np.int64), numbers, np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -71,28 +105,20 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _set_keys(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each line's set, whatever its order."""
-    at = starts[:-1]
-    a, b = (np.add.reduceat(_mixed(h, k), at) if len(at) else np.empty(0, np.uint64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-    return a.view(np.int64), b.view(np.int64)
-
-
 def _counts(batches):
     total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for b in blocks(batch):
-            total += np.bincount((_line_sets(b)[3] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    for _, _, _, numbers, h in _unpacked(batches):
+        np.add.at(total, _bucket(h), np.bincount(numbers, minlength=len(h)))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
 
 def _line_keys(batches):
-    for batch in batches:
-        for b in blocks(batch):
-            doc, no, starts, h = _line_sets(b)
-            a, k = _set_keys(h, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), b.column(0).take(pa.array(doc)), pa.array(no.astype(np.int32))], names=["set_a", "set_b", "id", "line"])
+    """128 bits for each line's set, whatever its order."""
+    for ids, lines, sizes, numbers, h in _unpacked(batches):
+        at = np.cumsum(sizes) - sizes
+        a, b = (np.add.reduceat(_mixed(h, k)[numbers], at).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids), pa.array(lines)], names=["set_a", "set_b", "id", "line"])
 
 
 def _need(threshold: float, n):
@@ -100,101 +126,125 @@ def _need(threshold: float, n):
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-def _prefixes(rarity, threshold: float):
-    """Prefix words of the lines: (word, class, set, id, line, pos, n), a set once a block."""
+PREFIX = "word long, id long, line int, pos int, n int, sketch long"
+
+
+def _key_bit(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    return ((ids % FILTER) * 1000003 + lines) % FILTER
+
+
+def _prefixes(rarity, threshold: float, of_lines=None, of_words=None):
+    """Prefix words of the lines: of all, or of lines or words in a filter.
+
+    A word counted once is in no other line and is left out.
+    """
 
     def each(batches):
         rank = rarity.value
-        for batch in batches:
-            for b in blocks(batch):
-                doc, no, starts, h = _line_sets(b)
-                if not len(doc):
-                    continue
-                a, _ = _set_keys(h, starts)
-                ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
-                order = np.lexsort((no, ids, a))
-                first = order[np.concatenate(([True], a[order][1:] != a[order][:-1]))]
-                keep = np.zeros(len(doc), bool)
-                keep[first] = True
-                n = np.diff(starts)
-                line = np.repeat(np.arange(len(doc)), n)
-                sort = np.lexsort((h, rank[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
-                pos = np.arange(len(h)) - np.repeat(starts[:-1], n)
-                length = n - _need(threshold, n) + 1
-                use = (pos < np.repeat(length, n)) & np.repeat(keep, n)
-                word, line, pos = h[sort][use].view(np.int64), line[use], pos[use]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word), pa.array(a[line]), pa.array(ids[line]), pa.array(no[line].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(n[line].astype(np.int32))],
-                    names=["word", "set_a", "id", "line", "pos", "n"],
-                )
+        wanted_lines = None if of_lines is None else np.unpackbits(of_lines.value).view(bool)
+        wanted_words = None if of_words is None else np.unpackbits(of_words.value).view(bool)
+        for ids, lines, sizes, numbers, h in _unpacked(batches):
+            v, at = len(h), np.cumsum(sizes) - sizes
+            sketch = np.bitwise_xor.reduceat((np.uint64(1) << (h >> np.uint64(58)))[numbers], at).view(np.int64)
+            of_word = rank[_bucket(h)]
+            order = np.lexsort((h, of_word))
+            place = np.empty(v, np.int64)
+            place[order] = np.arange(v)
+            key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * v + place[numbers])
+            line, word = key // v, order[key % v]
+            pos = np.arange(len(key)) - at[line]
+            use = (pos < (sizes - _need(threshold, sizes) + 2)[line]) & (of_word[word] > 0)
+            if wanted_lines is not None:
+                use &= wanted_lines[_key_bit(ids, lines)][line]
+            if wanted_words is not None:
+                use &= wanted_words[(h & np.uint64(FILTER - 1)).astype(np.int64)][word]
+            line, word, pos = line[use], word[use], pos[use]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[word].view(np.int64)), pa.array(ids[line]), pa.array(lines[line]), pa.array(pos.astype(np.int32)), pa.array(sizes[line].astype(np.int32)), pa.array(sketch[line])],
+                names=["word", "id", "line", "pos", "n", "sketch"],
+            )
 
     return each
 
 
-PREFIX = "word long, set_a long, id long, line int, pos int, n int"
+def _may_match(threshold: float, pos_x, n_x, sk_x, pos_y, n_y, sk_y):
+    """Length, positional and sketch filters, for two lines' first two common words.
 
-
-def _shared_words(batches):
-    """Of rows sorted by (word, set, id, line), the first of each set, where a word has two sets or more.
-
-    One row is held between batches: the latest set's first, and whether it has
-    gone out.
+    Similar lines of unequal sets share two words at least.
     """
-    held, sent = None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        carried = held is not None
-        if carried:
-            t = pa.concat_tables([held, t]).combine_chunks()
-        word, sets = t["word"].to_numpy(), t["set_a"].to_numpy()
-        new_word = np.concatenate(([True], word[1:] != word[:-1]))
-        new_set = new_word | np.concatenate(([True], sets[1:] != sets[:-1]))
-        run = np.cumsum(new_word) - 1
-        many = np.bincount(run, weights=new_set) > 1
-        if carried and sent:
-            many[0] = True  # its earlier sets are out already
-        use = new_set & many[run]
-        last = int(np.flatnonzero(new_set)[-1])
-        now_sent = bool(use[last])
-        if carried and sent:
-            use[0] = False
-        yield from t.filter(pa.array(use)).to_batches()
-        held, sent = t.slice(last, 1), now_sent
-
-
-def _overlap_possible(threshold: float, pos_x, n_x, pos_y, n_y):
-    """Length and positional filters, for numpy arrays."""
     need = np.ceil(threshold / (1 + threshold) * (n_x + n_y) - 1e-9)
-    most = np.minimum(pos_x, pos_y) + np.minimum(n_x - pos_x, n_y - pos_y)
-    return (most >= need) & (np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y) - 1e-9)
+    ok = (n_x - pos_x >= need - 1) & (n_y - pos_y >= need - 1) & (np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y) - 1e-9)
+    return ok & (np.bitwise_count((sk_x ^ sk_y).view(np.uint64)) <= n_x + n_y - 2 * need)
+
 
+PAIRS = "x_id long, x_line int, y_id long, y_line int, hub boolean"
 
-def _hub_pairs(threshold: float):
-    """Of rows sorted by (word, class, id, line): each line with the earliest of its word and class."""
+
+def _candidates(threshold: float):
+    """Of rows sorted by (word, id, line): pairs of a line and an earlier one that may match.
+
+    In a list longer than SHORT_LIST a line that may match the first of its size
+    class is paired with that one alone, and marked.
+    """
+
+    def pairs_of(rows: dict, done: int):
+        """All pairs in short lists, by distance in the list; long ones one by one."""
+        word = rows["word"][:done]
+        if not done:
+            return
+        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        length = np.diff(np.append(start, done))
+        run = np.repeat(np.arange(len(start)), length)
+        place = np.arange(done) - start[run]
+        col = {k: v[:done] for k, v in rows.items()}
+        pick = lambda i: (col["pos"][i], col["n"][i], col["sketch"][i])
+        short = length[run] <= SHORT_LIST
+        live = np.flatnonzero(short & (length[run] > 1))
+        for d in range(1, SHORT_LIST):
+            live = live[place[live] >= d]
+            if not len(live):
+                break
+            ok = live[_may_match(threshold, *pick(live), *pick(live - d))]
+            if len(ok):
+                yield ok, ok - d, np.zeros(len(ok), bool)
+        for k in np.flatnonzero(length > SHORT_LIST).tolist():
+            at = np.arange(start[k], start[k] + length[k])
+            size = np.floor(np.log(col["n"][at]) / math.log(1 + (1 - threshold) / 2)).astype(np.int64)
+            _, first, of = np.unique(size, return_index=True, return_inverse=True)
+            hub = at[first][of]
+            near = (hub != at) & _may_match(threshold, *pick(at), *pick(hub))
+            if near.any():
+                yield at[near], hub[near], np.ones(int(near.sum()), bool)
+            rest = at[~near]
+            for i in range(0, len(rest), 256):
+                x = rest[i : i + 256]
+                y = at[: int(x[-1] - at[0])]
+                a, b = np.nonzero(_may_match(threshold, *(c[:, None] for c in pick(x)), *(c[None, :] for c in pick(y))) & (y[None, :] < x[:, None]))
+                if len(a):
+                    yield x[a], y[b], np.zeros(len(a), bool)
 
     def each(batches):
-        hub = None
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            word, size, ids, line, pos, n = (b.column(c).to_numpy() for c in ("word", "size", "id", "line", "pos", "n"))
-            new = np.concatenate(([hub is None or (word[0], size[0]) != hub[:2]], (word[1:] != word[:-1]) | (size[1:] != size[:-1])))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(word)), -1))
-            pick = lambda col, old: np.where(at >= 0, col[np.maximum(at, 0)], old)
-            old = hub or (0, 0, 0, 0, 0, 1)
-            y_id, y_line, y_pos, y_n = pick(ids, old[2]), pick(line, old[3]), pick(pos, old[4]), pick(n, old[5])
-            use = ~new & _overlap_possible(threshold, pos, n, y_pos, y_n) & ((y_id < ids) | ((y_id == ids) & (y_line < line)))
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (ids, line.astype(np.int32), y_id, y_line.astype(np.int32))], names=["x_id", "x_line", "y_id", "y_line"])
-            if new.any():
-                k = int(at[-1])
-                hub = (word[k], size[k], ids[k], line[k], pos[k], n[k])
+            now = {c: b.column(c).to_numpy() for c in ("word", "id", "line", "pos", "n", "sketch")}
+            rows = now if held is None else {c: np.concatenate((held[c], now[c])) for c in now}
+            last = int(np.searchsorted(rows["word"], rows["word"][-1]))  # the last list may go on
+            for x, y, hub in pairs_of(rows, last):
+                yield _pair_batch(rows, x, y, hub)
+            held = {c: v[last:] for c, v in rows.items()}
+        if held is not None:
+            for x, y, hub in pairs_of(held, len(held["word"])):
+                yield _pair_batch(held, x, y, hub)
 
     return each
 
 
-PAIRS = "x_id long, x_line int, y_id long, y_line int"
+def _pair_batch(rows, x, y, hub):
+    same = (rows["id"][x] == rows["id"][y]) & (rows["line"][x] == rows["line"][y])  # rows that repeat an id
+    x, y, hub = x[~same], y[~same], hub[~same]
+    return pa.RecordBatch.from_arrays([pa.array(rows["id"][x]), pa.array(rows["line"][x]), pa.array(rows["id"][y]), pa.array(rows["line"][y]), pa.array(hub)], names=["x_id", "x_line", "y_id", "y_line", "hub"])
 
 
 def _bit(ident, line):
@@ -202,30 +252,26 @@ def _bit(ident, line):
     return F.pmod(F.pmod(F.col(ident), m) * 1000003 + F.col(line), m).cast("int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _filter(bits: DataFrame):
+    """A broadcast filter of fixed size from a column of bit numbers; it only saves travel."""
+    out = np.zeros(FILTER, bool)
+    out[bits.distinct().toArrow().column(0).to_numpy()] = True
+    return bits.sparkSession.sparkContext.broadcast(np.packbits(out))
+
+
+def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(id, line) of the x of pairs whose word sets are as similar as the threshold."""
-    spark = docs.sparkSession
-    ends = pairs.select(_bit("x_id", "x_line").alias("bit")).union(pairs.select(_bit("y_id", "y_line").alias("bit")))
-    bits = np.zeros(FILTER, bool)  # a filter of fixed size; it only saves travel
-    bits[ends.distinct().toArrow()["bit"].to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    shared = _filter(pairs.select(_bit("x_id", "x_line").alias("bit")).union(pairs.select(_bit("y_id", "y_line").alias("bit"))))
 
     def fetch(batches):
         wanted = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            for b in blocks(batch):
-                doc, no, starts, h = _line_sets(b)
-                if not len(doc):
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
-                keep = wanted[((ids % FILTER) * 1000003 + no) % FILTER]
-                n = np.diff(starts)
-                words = h[np.repeat(keep, n)].view(np.int64)
-                upto = np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(no[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(upto), pa.array(words))], names=["id", "line", "words"])
-
-    sets = scratch.table(docs.mapInArrow(fetch, "id long, line int, words array<long>"), "sets")
-    sets = sets.dropDuplicates(["id", "line"])  # rows that repeat an id give their lines again
+        for ids, lines, sizes, numbers, h in _unpacked(batches):
+            keep = wanted[_key_bit(ids, lines)]
+            words = h[numbers[np.repeat(keep, sizes)]].view(np.int64)
+            upto = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lines[keep]), pa.ListArray.from_arrays(pa.array(upto), pa.array(words))], names=["id", "line", "words"])
+
+    sets = scratch.table(table.mapInArrow(fetch, "id long, line int, words array<long>"), "sets")
     x = sets.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("id").alias("y_id"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_id", "x_line"]).join(y, ["y_id", "y_line"])
@@ -244,36 +290,44 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     scratch = Scratch(spark, "lines")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+    table = scratch.table(docs.mapInArrow(_block_table, TABLE), "blocks")
     # equal sets: all but the first go
-    keys = scratch.table(docs.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int"), "keys")
+    keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int"), "keys")
     firsts = scratch.table(keys.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("set_a", "set_b", "first"), "firsts")
     equal = keys.join(firsts, ["set_a", "set_b"]).where("id > first.id or (id = first.id and line > first.line)").select("id", "line")
     # rarity, by buckets
-    counted = docs.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = table.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     rank = np.zeros(BUCKETS, np.uint8)
     rank[counted["bucket"].to_numpy()] = np.minimum(255, np.round(10 * np.log2(counted["n"].to_numpy()))).astype(np.uint8)
     rarity = spark.sparkContext.broadcast(rank)
-    # prefixes, where a word is shared
-    every = docs.mapInArrow(_prefixes(rarity, threshold), PREFIX)
-    some = scratch.table(every.repartition("word").sortWithinPartitions("word", "set_a", "id", "line").mapInArrow(_shared_words, PREFIX), "prefixes")
-    # each line against the earliest that shares a prefix word and is about as long
-    size = F.floor(F.log("n") / math.log(1 + (1 - threshold) / 2)).cast("int")
-    near = some.withColumn("size", size).repartition("word").sortWithinPartitions("word", "size", "id", "line").mapInArrow(_hub_pairs(threshold), PAIRS)
-    hubs = scratch.table(near.distinct(), "hubs")
-    settled = scratch.table(_verified(docs, hubs, threshold, scratch), "settled")
-    # what is left against all earlier lines
-    x = some.join(settled, ["id", "line"], "left_anti").select("word", *(F.col(c).alias(f"x_{c}") for c in ("id", "line", "pos", "n")))
-    y = some.select("word", *(F.col(c).alias(f"y_{c}") for c in ("id", "line", "pos", "n")))
-    t = threshold
-    fits = (
-        ((F.col("y_id") < F.col("x_id")) | ((F.col("y_id") == F.col("x_id")) & (F.col("y_line") < F.col("x_line"))))
-        & (F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n") - 1e-9)
-        & (F.least("x_pos", "y_pos") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= F.ceil(t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9))
-    )
-    rest = x.join(y, "word").where(fits).select("x_id", "x_line", "y_id", "y_line").distinct()
-    rest = scratch.table(rest.join(hubs, ["x_id", "x_line", "y_id", "y_line"], "left_anti"), "rest")
-    found = scratch.table(_verified(docs, rest, threshold, scratch), "found")
-    return equal.union(settled).union(found).distinct()
+    # lines that share a prefix word
+    rows = table.mapInArrow(_prefixes(rarity, threshold), PREFIX).repartition("word").sortWithinPartitions("word", "id", "line")
+    found = rows.mapInArrow(_candidates(threshold), PAIRS).groupBy("x_id", "x_line", "y_id", "y_line").agg(F.max("hub").alias("hub"), F.count("*").alias("shared"))
+    pairs = scratch.table(found.where("hub or shared >= 2").drop("shared"), "pairs")
+    settled = scratch.table(_verified(table, pairs.drop("hub"), threshold, scratch), "settled")
+    # lines held against the first of a long list alone, and not settled: against all others that share a word
+    open_ = scratch.table(pairs.where("hub").select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct().join(settled, ["id", "line"], "left_anti"), "open")
+    late = None
+    if not open_.isEmpty():
+        of_lines = _filter(open_.select(_bit("id", "line").alias("bit")))
+        mine = scratch.table(table.mapInArrow(_prefixes(rarity, threshold, of_lines=of_lines), PREFIX).join(open_, ["id", "line"], "left_semi"), "open_words")
+        of_words = _filter(mine.select(F.col("word").bitwiseAND(FILTER - 1).cast("int").alias("bit")))
+        x = mine.select("word", *(F.col(c).alias(f"x_{c}") for c in ("id", "line", "pos", "n", "sketch")))
+        y = table.mapInArrow(_prefixes(rarity, threshold, of_words=of_words), PREFIX).select("word", *(F.col(c).alias(f"y_{c}") for c in ("id", "line", "pos", "n", "sketch")))
+        need = F.ceil(threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+        fits = (
+            ((F.col("y_id") < F.col("x_id")) | ((F.col("y_id") == F.col("x_id")) & (F.col("y_line") < F.col("x_line"))))
+            & (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n") - 1e-9)
+            & (F.col("x_n") - F.col("x_pos") >= need - 1) & (F.col("y_n") - F.col("y_pos") >= need - 1)
+            & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= F.col("x_n") + F.col("y_n") - 2 * need)
+        )
+        shared = x.join(y, "word").where(fits).groupBy("x_id", "x_line", "y_id", "y_line").agg(F.count("*").alias("shared"))
+        rest = scratch.table(shared.where("shared >= 2").drop("shared"), "rest")
+        late = _verified(table, rest, threshold, scratch)
+    out = equal.union(settled)
+    out = scratch.table((out if late is None else out.union(late)).distinct(), "removed")
+    scratch.drop(table, keys, firsts, pairs, settled)
+    return out
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -285,6 +339,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     scratch = Scratch(df.sparkSession, "line-dedup")
     gone = removed_lines(df, id_col, text_col, threshold).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     gone = scratch.table(gone, "gone")  # at most the lines of one document in a row
+    scratch.release()
 
     def each(batches):
         for b in batches:
