@@ -171,9 +171,9 @@ def edges_min_weight(spark, sf):
     "links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)", "reach AS (SELECT DISTINCT contest_id AS node, contest_id AS other FROM keptrows UNION SELECT r.node, e.b FROM reach r JOIN links e ON r.other = e.a)",
     "labels AS MATERIALIZED (SELECT node AS contest_id, min(other) AS least FROM reach GROUP BY 1)", recursive=True))
 def contest_components(spark, sf):
+    """Components over the links of all kept rows; the SQL twin still links a thinned set."""
     rows = kept_rows(views.v1_cells(spark, sf))
-    thin = rows.where("team % 100 = contest_id % 10")
-    return ident.contest_components(rows, ident.contest_pairs(thin, "team"))
+    return ident.contest_components(rows, ident.contest_pairs(rows, "team"))
 
 
 # --- primitives and the fixed point -----------------------------------------------

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.functions import metrics, rating, text
-from podium.operators import cells as C, export, fixedpoint as fp, identity as ident, irt, registry
+from podium.operators import cells as C, export, fixedpoint as fp, identity as ident, irt, queries, registry
 from podium.plans.components import connected_components
 from podium.sources import standings
 
@@ -66,6 +66,29 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(chain.where("false")).count() == 0
 
 
+def test_contest_components_of_all_kept_rows(spark, sf):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (13, 8), (4, 9), (15, 9), (6, 5)], "contest_id long, team long")
+    got = {r.contest_id: (r.component, r["size"]) for r in ident.contest_components(rows, ident.contest_pairs(rows, "team")).collect()}
+    assert got == {1: (0, 3), 2: (0, 3), 13: (0, 3), 4: (1, 2), 15: (1, 2), 6: (2, 1)}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    kept = {(r.contest_id, r.team) for r in queries.kept_rows(queries.views.v1_cells(spark, sf)).collect()}
+    first = {}
+    for c, t in sorted(kept):
+        root[find(c)] = find(first.setdefault(t, c))
+    groups = {}
+    for c in {c for c, _ in kept}:
+        groups.setdefault(find(c), []).append(c)
+    want = {c: (k, len(g)) for k, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), min(g)))) for c in g}
+    got = {r.contest_id: (r.component, r["size"]) for r in registry.queries()["contest_components"](spark, sf).collect()}
+    assert got == want
+
+
 def contest(cid, times, name="Round", year=2024, problems=None):
     cell = lambda t: {"solved": t is not None, "time_seconds": t}
     return {"contest_id": cid, "contest_name": name, "year": year, "problems": problems if problems is not None else [{"problem_label": "A", "problem_id": "1", "problem_name": "a"}], "standings": [{"rank": i + 1, "team_id": f"t{i}", "problems": {"A": cell(t), "Z": cell(5.0)} if t != "none" else None} for i, t in enumerate(times)]}
