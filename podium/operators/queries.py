@@ -35,6 +35,25 @@ def quick(cells: DataFrame) -> DataFrame:
     return c.select(*PROBLEM, "solved", (rating.MU0 - rating.S * rating.logit("rate")).alias("b"), (800 + (F.col("contest_id") * 7 + F.col("label") * 131) % 2400).cast("double").alias("rating"))
 
 
+def with_level(q: DataFrame) -> DataFrame:
+    """Adds the made-up label's ``level``, where the contest has an editorial; leaves out problems without one."""
+    q = q.withColumn("lab", F.element_at(F.array(*map(F.lit, (*text.FIVE_LEVELS, "unknown", "unknown"))), ((F.col("contest_id") + F.col("label")) % 7 + 1).cast("int")))
+    q = q.withColumn("editorial", F.when(F.col("contest_id") % 3 != 0, F.lit(" see notes "))).where("trim(editorial) <> ''")
+    return q.withColumn("level", text.level("lab")).where("level is not null")
+
+
+def converged(fit):
+    """``fit``, raising an error where it stops short of its eps."""
+
+    def whole(*args, **options):
+        got = fit(*args, **options)
+        if not got[-1]:
+            raise RuntimeError(f"not converged after {len(got[-2])} steps: the last change was {got[-2][-1]}")
+        return got
+
+    return whole
+
+
 # --- sources, flattening, filters -------------------------------------------------
 
 @query(O.select("SELECT contest_id, team, CAST(label AS VARCHAR) AS label, y, tau FROM kept", O.BASE))
@@ -310,9 +329,7 @@ _LEVEL = "CASE (contest_id + label) % 7 WHEN 0 THEN 'very_easy' WHEN 1 THEN 'eas
  FROM (SELECT *, {_LEVEL} AS lab FROM quick WHERE contest_id % 3 <> 0) WHERE lab <> 'unknown' GROUP BY 1""", O.BASE, O.COUNTS, O.QUICK))
 def llm_bucket_report(spark, sf):
     """Difficulty by label level, where the contest has an editorial."""
-    q = quick(kept(spark, sf)).withColumn("lab", F.element_at(F.array(*map(F.lit, (*text.FIVE_LEVELS, "unknown", "unknown"))), ((F.col("contest_id") + F.col("label")) % 7 + 1).cast("int")))
-    q = q.withColumn("editorial", F.when(F.col("contest_id") % 3 != 0, F.lit(" see notes "))).where("trim(editorial) <> ''")
-    return q.withColumn("level", text.level("lab")).where("level is not null").groupBy("level").agg(F.count("*").alias("n"), r(F.median("b"), 3).alias("median_b"), r(F.avg("b"), 3).alias("mean_b"))
+    return with_level(quick(kept(spark, sf))).groupBy("level").agg(F.count("*").alias("n"), r(F.median("b"), 3).alias("median_b"), r(F.avg("b"), 3).alias("mean_b"))
 
 
 @query("SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS alnum, trim(regexp_replace(lower('  ' || p_name || '   X'), '\\s+', ' ', 'g')) AS spaced FROM part")
@@ -437,17 +454,42 @@ def viewer_teams(spark, sf):
 @query(O.select("""SELECT cfg, count(DISTINCT team_key) AS teams, count(DISTINCT contest_id) AS contests FROM (SELECT 'baseline' AS cfg, * FROM keyedi UNION ALL SELECT 'filtered', k.* FROM keyedi k JOIN long USING (contest_id) UNION ALL SELECT 'season filtered', k.* FROM keyedj k JOIN long USING (contest_id)) WHERE solved > 0 GROUP BY 1""",
     O.CELLS, O.ROWS, O.CONTESTS, O.identity(False, "i"), O.identity(True, "j"), "long AS MATERIALIZED (SELECT contest_id FROM cells GROUP BY 1 HAVING max(tau) >= 3.5 * 3600)", recursive=True))
 def season_experiment(spark, sf):
-    """Teams and contests left by three configurations of identity and filter."""
+    """Three configurations of identity and filter: what they leave, how it hangs together, and how well the anchored survival fit agrees with outside ratings and label levels.
+
+    The SQL twin has the first three columns.
+    """
     plain, season = _keyed(spark, sf, False), _keyed(spark, sf, True)
     long = short_contest_filter(spark, sf).select("contest_id")
     parts = [("baseline", plain), ("filtered", plain.join(long, "contest_id", "left_semi")), ("season filtered", season.join(long, "contest_id", "left_semi"))]
-    out = None
+    cells = kept(spark, sf)
+    ratings = quick(cells).select(*PROBLEM, "rating")
+    scratch, out = Scratch(spark, "season"), None
     for name, rows in parts:
-        one = rows.where("solved > 0").agg(F.countDistinct("team_key").alias("teams"), F.countDistinct("contest_id").alias("contests")).select(F.lit(name).alias("cfg"), "teams", "contests")
+        rows = scratch.table(rows.where("solved > 0").select("contest_id", "team", "team_key"), "rows")
+        one = scratch.table(trial(rows, cells, ratings).select(F.lit(name).alias("cfg"), "*"), "trial")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def trial(rows: DataFrame, cells: DataFrame, ratings: DataFrame) -> DataFrame:
+    """One row of figures for kept rows (contest_id, team, team_key), kept cells and outside ratings by problem.
+
+    Abilities belong to team keys.  Contests that stand for the trusted seasons
+    are fitted first and give the prior means of the fit of all.
+    """
+    keyed = cells.join(rows, ["contest_id", "team"]).drop("team").withColumnRenamed("team_key", "team")
+    obs = Scratch(cells.sparkSession, "trial").table(C.exposure(keyed), "obs")
+    b = anchor.anchored_fit(obs.where("contest_id % 4 = 0"), obs, fit_fn=converged(irt.fit), model="survival")[1]
+    comps = ident.contest_components(rows, ident.contest_pairs(rows)).agg(F.countDistinct("component").alias("components"), F.max("size").alias("largest"))
+    rated = b.join(ratings, PROBLEM)
+    counts = rows.agg(F.countDistinct("team_key").alias("teams"), F.countDistinct("contest_id").alias("contests"))
+    outside = metrics.spearman(rated, "b", "rating", ties=PROBLEM).select(r("rho", 5).alias("spearman"))
+    loco = metrics.loco_rmse(rated, "b", "rating", "contest_id").select(r("loco_rmse", 3).alias("loco_rmse"))
+    levels = metrics.spearman(with_level(b), "level", "b", ties=PROBLEM).select(r("rho", 5).alias("level_spearman"))
+    # counts has exactly one row, and so has the result
+    return counts.join(comps).join(outside, F.lit(True), "left").join(loco, F.lit(True), "left").join(levels, F.lit(True), "left")
+
+
 @query(None)
 def json_export(spark, sf):
     """Ratings as records, written and read back."""

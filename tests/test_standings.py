@@ -89,6 +89,60 @@ def test_contest_components_of_all_kept_rows(spark, sf):
     assert got == want
 
 
+def plain_survival(obs, prior, eps=0.5):
+    """(theta, b) by key of (contest, team, label, y, rho), by the same Newton steps in numpy."""
+    teams, probs = sorted({o[1] for o in obs}), sorted({(o[0], o[2]) for o in obs})
+    t, p = np.array([teams.index(o[1]) for o in obs]), np.array([probs.index((o[0], o[2])) for o in obs])
+    y, rho = np.array([float(o[3]) for o in obs]), np.array([o[4] for o in obs])
+    scale, prec = 400 / np.log(10), 1 / 400**2
+    mu = np.array([prior.get(k, 2000.0) for k in teams])
+    theta, b = np.full(len(teams), 2000.0), np.full(len(probs), 2000.0)
+    for _ in range(500):
+        was = theta, b
+        h = np.log(2) * np.exp((theta[t] - b[p]) / scale) * rho
+        theta = np.clip(theta + (np.bincount(t, y - h) / scale - prec * (theta - mu)) / (np.bincount(t, h) / scale**2 + prec), 800, 4000)
+        h = np.log(2) * np.exp((theta[t] - b[p]) / scale) * rho
+        b = np.clip(b + (-np.bincount(p, y - h) / scale - prec * (b - 2000)) / (np.bincount(p, h) / scale**2 + prec), 800, 4000)
+        if max(np.abs(theta - was[0]).max(), np.abs(b - was[1]).max()) < eps:
+            return dict(zip(teams, theta)), dict(zip(probs, b))
+    raise AssertionError("no convergence")
+
+
+def test_season_trial(spark):
+    rng = np.random.default_rng(6)
+    # contests 4, 5, 7 share teams, 10 stands alone; teams 1 and 2 are one key
+    cells = [(c, t, k, int(rng.random() < 0.75 - 0.15 * k), float(rng.integers(60, 9000))) for c, ts in ((4, (1, 3, 5)), (5, (2, 3, 6)), (7, (1, 2, 6)), (10, (8, 9))) for t in ts for k in range(4)]
+    cells = [(c, t, k, 1 if k == 0 else y, tau if y or k == 0 else None) for c, t, k, y, tau in cells]
+    key = {t: "mem:1|2" if t < 3 else f"id:{t}" for t in range(1, 10)}
+    rows = sorted({(c, t, key[t]) for c, t, *_ in cells})
+    rating = {(c, k): 800.0 + (c * 7 + k * 131) % 2400 for c, _, k, *_ in cells}
+    got = queries.trial(
+        spark.createDataFrame(rows, "contest_id long, team long, team_key string"), spark.createDataFrame(cells, "contest_id long, team long, label long, y int, tau double"),
+        spark.createDataFrame([(*p, v) for p, v in rating.items()], "contest_id long, label long, rating double"),
+    ).first()
+    length = {c: max(x[4] for x in cells if x[0] == c and x[3]) for c in (4, 5, 7, 10)}
+    obs = [(c, key[t], k, y, tau / length[c] if y else 1.0) for c, t, k, y, tau in cells]
+    _, b = plain_survival(obs, plain_survival([o for o in obs if o[0] % 4 == 0], {})[0])
+    rank = lambda v: np.argsort(np.argsort(v, kind="stable"))
+    probs = sorted(b)
+    x, y = np.array([b[p] for p in probs]), np.array([rating[p] for p in probs])
+    out = []
+    for c in length:
+        left = np.array([p[0] != c for p in probs])
+        out.append(np.polyval(np.polyfit(x[left], y[left], 1), x[~left]) - y[~left])
+    lab = [(sum(p) % 7, b[p]) for p in probs if p[0] % 3 and sum(p) % 7 < 5]
+    assert (got.teams, got.contests, got.components, got.largest) == (6, 4, 2, 3)
+    assert got.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1], abs=1e-4)
+    assert got.loco_rmse == pytest.approx(np.sqrt(np.mean(np.concatenate(out) ** 2)), abs=0.05)
+    assert got.level_spearman == pytest.approx(np.corrcoef(rank([v for v, _ in lab]), rank([v for _, v in lab]))[0, 1], abs=1e-4)
+
+
+def test_a_stopped_fit_is_an_error(spark):
+    cells = spark.createDataFrame([(1, t, k, int(t > k)) for t in range(5) for k in range(4)], "contest_id long, team long, label long, y int")
+    with pytest.raises(RuntimeError, match="not converged after 1 steps"):
+        queries.converged(irt.fit)(cells, "rasch", max_iter=1)
+
+
 def contest(cid, times, name="Round", year=2024, problems=None):
     cell = lambda t: {"solved": t is not None, "time_seconds": t}
     return {"contest_id": cid, "contest_name": name, "year": year, "problems": problems if problems is not None else [{"problem_label": "A", "problem_id": "1", "problem_name": "a"}], "standings": [{"rank": i + 1, "team_id": f"t{i}", "problems": {"A": cell(t), "Z": cell(5.0)} if t != "none" else None} for i, t in enumerate(times)]}
