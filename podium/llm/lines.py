@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-cased words.  A line goes if an earlier one (by
-document id, then line number) has a Jaccard similarity of the threshold or
+document id, row and line number) has a Jaccard similarity of the threshold or
 more with it.  Words of a line are ordered by rarity (counts of a fixed number
 of word buckets; any common order gives exact results).  Similar lines share two
 words in their prefixes in that order, at positions that leave room for the
@@ -242,8 +242,6 @@ def _candidates(threshold: float):
 
 
 def _pair_batch(rows, x, y, hub):
-    same = (rows["id"][x] == rows["id"][y]) & (rows["line"][x] == rows["line"][y])  # rows that repeat an id
-    x, y, hub = x[~same], y[~same], hub[~same]
     return pa.RecordBatch.from_arrays([pa.array(rows["id"][x]), pa.array(rows["line"][x]), pa.array(rows["id"][y]), pa.array(rows["line"][y]), pa.array(hub)], names=["x_id", "x_line", "y_id", "y_line", "hub"])
 
 
@@ -280,16 +278,38 @@ def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scr
     return alike.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct()
 
 
+def _keyed(df: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``__key``, a number of each row's own in the order of the ids; null ids count as the last.
+
+    The ids themselves serve where no two rows share one.  Else rows are
+    numbered in the order of (id, place in the input), in a scratch copy, since
+    all scans must see the same numbers.
+    """
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
+    if df.select(ident.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return df.withColumn("__key", ident)
+    placed = df.withColumn("__id", ident).withColumn("__at", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange("__id", "__at").sortWithinPartitions("__id", "__at")
+    return scratch.table(dealt.withColumn("__key", F.monotonically_increasing_id()).drop("__id", "__at"), "keyed")
+
+
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, line): lines with an earlier line at least as similar as the threshold.
+    """(id, line): a row for each line with an earlier line at least as similar as the threshold.
 
     Lines are numbered from 0 between line feeds; lines without words are never
-    removed.  Null ids count as the last id.  Rows that repeat an id are one
-    document: what is removed of it is removed of each.
+    removed.  Null ids count as the last id.  Rows that share an id are documents
+    of their own, in the order of the input.
     """
-    spark = df.sparkSession
+    keyed = _keyed(df, id_col, Scratch(df.sparkSession, "line-keys"))
+    ids = keyed.select("__key", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("__id"))
+    return _removed(keyed, text_col, threshold).join(ids, F.col("id") == F.col("__key")).select(F.col("__id").alias("id"), "line")
+
+
+def _removed(keyed: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """(id, line) as ``removed_lines``, the id being ``__key``, which no two rows share."""
+    spark = keyed.sparkSession
     scratch = Scratch(spark, "lines")
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs = keyed.select(F.col("__key").alias("id"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.table(docs.mapInArrow(_block_table, TABLE), "blocks")
     # equal sets: all but the first go
     keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int"), "keys")
@@ -333,11 +353,13 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of ``df``, their texts without the lines that ``removed_lines`` names.
 
-    A text may become empty; a null text stays null; an empty table gives no
-    rows.  Columns of any name may be there besides.
+    Rows that share an id, null or not, are documents of their own: each loses
+    its own lines only.  A text may become empty; a null text stays null; an
+    empty table gives no rows.  Columns of any name may be there besides.
     """
     scratch = Scratch(df.sparkSession, "line-dedup")
-    gone = removed_lines(df, id_col, text_col, threshold).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
+    keyed = _keyed(df, id_col, scratch)
+    gone = _removed(keyed, text_col, threshold).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     gone = scratch.table(gone, "gone")  # at most the lines of one document in a row
     scratch.release()
 
@@ -354,7 +376,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
 
-    joined = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).join(gone, F.col("__key") == F.col("__id"), "left").drop("__id")
+    joined = keyed.join(gone, F.col("__key") == F.col("__id"), "left").drop("__id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), "__key", "__gone").mapInArrow(each, fields)
 

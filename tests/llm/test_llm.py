@@ -336,6 +336,22 @@ def test_line_dedup(docs, odd, monkeypatch):
     assert lines.line_dedup(odd.where("false")).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [
+        (1, "one fish two fish red fish\nkeep this line of one"), (None, "one fish two fish red fish\nalone in the first null row"),
+        (None, "unique text of the second null row\nanother line that nobody repeats"), (None, "a third null row says this\nalone in the first null row"),
+        (5, "five has its own first line\none fish two fish red fish"), (5, "other words stand at the start here\nand again in the second place"), (5, "five has its own first line\nlast words"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 99, r.text) for r in lines.line_dedup(df).collect())
+    nulls = [t for i, t in got if i == 99]
+    assert len(got) == 7 and (1, rows[0][1]) in got
+    assert rows[2][1] in nulls and sum("alone in the first null row" in t for t in nulls) == 1 and not any("fish" in t for t in nulls)
+    fives = [t for i, t in got if i == 5]
+    assert rows[5][1] in fives and sum("five has its own first line" in t for t in fives) == 1 and not any("fish" in t for t in fives)
+    assert sum("last words" in t for t in fives) == 1 and sum("says this" in t for t in nulls) == 1
+
+
 def test_line_dedup_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHORT_LIST", 4)
     rng = np.random.default_rng(4)
