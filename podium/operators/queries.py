@@ -1,6 +1,8 @@
 """The registered queries: operators applied to the standings-shaped views, each with its SQL twin.
 
-Iterative queries make a fixed number of steps in both engines.
+The fixed point and the 2PL fit run until they converge and raise an error if
+they don't; their SQL twins stop after a few steps.  The other iterative
+queries make a fixed number of steps in both engines.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from podium.operators.registry import query
 from podium.plans.scratch import Scratch
 from podium.sources import standings, views
 
+#: FP_STEPS is for SQL only.
 STEPS, FP_STEPS = 8, 2
 PROBLEM = ["contest_id", "label"]
 
@@ -225,7 +228,7 @@ def performance_rating(spark, sf):
 
 @query(O.select(f"SELECT team, round(theta, 2) AS theta FROM fa_{FP_STEPS}", O.BASE, O.fixedpoint("keptrows", "a", FP_STEPS)))
 def fixedpoint_theta(spark, sf):
-    theta, *_ = fp.estimate(kept_rows(views.v1_cells(spark, sf)), eps=None, max_iter=FP_STEPS)
+    theta, *_ = converged(fp.estimate)(kept_rows(views.v1_cells(spark, sf)))
     return theta.select("team", r("theta", 2).alias("theta"))
 
 
@@ -233,7 +236,7 @@ def fixedpoint_theta(spark, sf):
 def fixedpoint_difficulty(spark, sf):
     cells = views.v1_cells(spark, sf)
     rows = kept_rows(cells)
-    theta, *_ = fp.estimate(rows, eps=None, max_iter=FP_STEPS)
+    theta, *_ = converged(fp.estimate)(rows)
     return fp.rate_problems(cells.select(*PROBLEM).distinct(), rows, C.kept_cells(cells), theta).select(*PROBLEM, r("b", 2).alias("b"))
 
 
@@ -241,7 +244,7 @@ def fixedpoint_difficulty(spark, sf):
     f"prior AS MATERIALIZED (SELECT team, (2000.0 + w * n * theta) / (1 + w * n) AS mu, 1 + w * n AS strength FROM wa JOIN fa_{FP_STEPS} USING (team))", "later AS MATERIALIZED (SELECT * FROM keptrows WHERE contest_id % 4 <> 0)", O.fixedpoint("later", "b", FP_STEPS, "prior")))
 def fixedpoint_anchored(spark, sf):
     rows = kept_rows(views.v1_cells(spark, sf))
-    theta, *_ = anchor.anchored_fixedpoint(rows.where("contest_id % 4 = 0"), rows.where("contest_id % 4 <> 0"), eps=None, max_iter=FP_STEPS)
+    theta, *_ = anchor.anchored_fixedpoint(rows.where("contest_id % 4 = 0"), rows.where("contest_id % 4 <> 0"), fit_fn=converged(fp.estimate))
     return theta.select("team", r("theta", 2).alias("theta"))
 
 
@@ -306,7 +309,7 @@ def survival_anchored(spark, sf):
 
 @query(O.select("SELECT contest_id, label, round(b, 3) AS b, round(exp(g), 5) AS alpha FROM bd_6", O.BASE, O.twopl(6, 3, "kept")))
 def twopl_alpha(spark, sf):
-    return irt.fit_2pl(kept(spark, sf), warmup=3, eps=None, max_iter=6)[1].select(*PROBLEM, r("b", 3).alias("b"), r("alpha", 5).alias("alpha"))
+    return converged(irt.fit_2pl)(kept(spark, sf))[1].select(*PROBLEM, r("b", 3).alias("b"), r("alpha", 5).alias("alpha"))
 
 
 # --- metrics and validation -------------------------------------------------------
@@ -416,7 +419,7 @@ def twopl_region_quantiles(spark, sf):
     """Discrimination by region, and how tightly difficulty follows the solve rate."""
     cells = views.v1_cells(spark, sf)
     obs = C.kept_cells(cells)
-    b = irt.fit_2pl(obs, warmup=2, eps=None, max_iter=4)[1]
+    b = converged(irt.fit_2pl)(obs)[1]
     t = b.join(C.solve_counts(obs), PROBLEM).join(views.v1_contests(cells).select("contest_id", "region"), "contest_id").withColumn("x", rating.logit("rate"))
     w = Window.partitionBy("region")
     t = t.withColumn("e", F.col("b") - (F.regr_slope("b", "x").over(w) * F.col("x") + F.regr_intercept("b", "x").over(w)))

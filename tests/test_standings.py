@@ -137,6 +137,61 @@ def test_season_trial(spark):
     assert got.level_spearman == pytest.approx(np.corrcoef(rank([v for v, _ in lab]), rank([v for _, v in lab]))[0, 1], abs=1e-4)
 
 
+def plain_fixedpoint(rows, prior=None, eps=0.5):
+    """Team to theta of (contest, team, rank), to convergence."""
+    teams = sorted({t for _, t, _ in rows})
+    c, t, rank = np.array([x[0] for x in rows]), np.array([teams.index(x[1]) for x in rows]), np.array([float(x[2]) for x in rows])
+    n = np.bincount(t)
+    w = 1 - 0.9**n
+    mu, strength = (np.array([(prior or {}).get(k, (2000.0, 1.0))[i] for k in teams]) for i in (0, 1))
+    theta = np.full(len(teams), 2000.0)
+    for _ in range(100):
+        perf = np.zeros(len(rows))
+        for k in np.unique(c):
+            perf[c == k] = fp.invert_field(theta[t[c == k]], rank[c == k])
+        was, theta = theta, np.clip((w * np.bincount(t, perf) + strength * mu) / (w * n + strength), 800, 4000)
+        if np.abs(theta - was).max() < eps:
+            return dict(zip(teams, theta)), dict(zip(teams, w * n))
+    raise AssertionError("no convergence")
+
+
+def test_fixedpoint_queries_converge(spark, sf):
+    rows = [(r.contest_id, r.team, r["rank"]) for r in queries.kept_rows(queries.views.v1_cells(spark, sf)).collect()]
+    theta, _ = plain_fixedpoint(rows)
+    got = {r.team: r.theta for r in registry.queries()["fixedpoint_theta"](spark, sf).collect()}
+    assert got == pytest.approx(theta, abs=0.02)
+    first, s = plain_fixedpoint([x for x in rows if x[0] % 4 == 0])
+    theta, _ = plain_fixedpoint([x for x in rows if x[0] % 4], {t: ((2000 + s[t] * v) / (1 + s[t]), 1 + s[t]) for t, v in first.items()})
+    got = {r.team: r.theta for r in registry.queries()["fixedpoint_anchored"](spark, sf).collect()}
+    assert got == pytest.approx(theta, abs=0.02)
+
+
+def test_twopl_queries_converge(spark, sf):
+    obs = [(r.contest_id, r.team, r.label, r.y) for r in queries.kept(spark, sf).collect()]
+    teams, probs = sorted({o[1] for o in obs}), sorted({(o[0], o[2]) for o in obs})
+    t_at, p_at = {k: i for i, k in enumerate(teams)}, {k: i for i, k in enumerate(probs)}
+    t, p, y = np.array([t_at[o[1]] for o in obs]), np.array([p_at[(o[0], o[2])] for o in obs]), np.array([float(o[3]) for o in obs])
+    theta, b, g, scale, prec = np.full(len(teams), 2000.0), np.full(len(probs), 2000.0), np.zeros(len(probs)), 400 / np.log(10), 1 / 400**2
+    for it in range(400):
+        was = theta, b, g
+        d = np.exp(g)[p] / scale
+        q = lambda: 1 / (1 + np.exp(-d * (theta[t] - b[p])))
+        theta = np.clip(theta + (np.bincount(t, d * (y - q())) - prec * (theta - 2000)) / (np.bincount(t, d * d * q() * (1 - q())) + prec), 800, 4000)
+        b = np.clip(b + (-np.bincount(p, d * (y - q())) - prec * (b - 2000)) / (np.bincount(p, d * d * q() * (1 - q())) + prec), 800, 4000)
+        if it >= 15:
+            eta = d * (theta[t] - b[p])
+            g = np.clip(g + (np.bincount(p, (y - q()) * eta) - 4 * g) / (np.bincount(p, q() * (1 - q()) * eta**2) + 4), -1.5, 1.5)
+            if max(np.abs(theta - was[0]).max(), np.abs(b - was[1]).max()) < 0.5 and np.abs(g - was[2]).max() < 0.005:
+                break
+    got = {(r.contest_id, r.label): (r.b, r.alpha) for r in registry.queries()["twopl_alpha"](spark, sf).collect()}
+    assert it > 15 and set(got) == set(probs)
+    assert [got[k][0] for k in probs] == pytest.approx(b, abs=0.01) and [got[k][1] for k in probs] == pytest.approx(np.exp(g), abs=1e-3)
+    names = ("North", "South", "East", "West", "Centre")
+    for r in registry.queries()["twopl_region_quantiles"](spark, sf).collect():
+        alpha = np.exp(g)[[names[c % 5] == r.region for c, _ in probs]]
+        assert r.n == len(alpha) and [r.q25, r.q50, r.q75, r.q90] == pytest.approx(np.quantile(alpha, [0.25, 0.5, 0.75, 0.9]), abs=1e-3)
+
+
 def test_a_stopped_fit_is_an_error(spark):
     cells = spark.createDataFrame([(1, t, k, int(t > k)) for t in range(5) for k in range(4)], "contest_id long, team long, label long, y int")
     with pytest.raises(RuntimeError, match="not converged after 1 steps"):
