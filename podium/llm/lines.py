@@ -3,17 +3,23 @@
 A line is the set of its lower-cased words.  A line goes if an earlier one (by
 document id, row and line number) has a Jaccard similarity of the threshold or
 more with it.  Words of a line are ordered by rarity (counts of a fixed number
-of word buckets; any common order gives exact results).  Similar lines share two
-words in their prefixes in that order, at positions that leave room for the
-overlap they need, and have fitting lengths; a parity sketch of the sets, whose
-bits cannot differ in more places than the sets do, is checked beside these.
+of word buckets; any common order gives exact results).  Lines as similar as
+the threshold share several words in their prefixes in that order, at positions
+that leave room for the overlap they need, and have fitting lengths; a parity
+sketch of the sets, whose bits cannot differ in more places than the sets do,
+is checked beside these.
 
 Texts are read once: a block table keeps each line's distinct words as numbers.
-Lines of equal sets are brought down to the first.  Lines that share a prefix
-word come together, and go on if they share two; in a long list of them a line that may match the earliest
-one of about its size is only held against that one, which settles groups of
-near copies in linear work, and should that fail, against all others in a
-second round.  Candidates are verified on the whole word sets.
+Lines of equal sets are brought down to the first, and only those go on.  Lines
+that share a prefix word come together, in packed rows, and are candidates if
+they share enough of them.  A word of very many lines makes no list: its lines
+are split by the pigeonhole principle instead, by signatures of parts of the
+words of which similar lines have one in common.  In a long list a line that
+may match the earliest one of about its size is only held against that one,
+which settles groups of near copies in linear work, and should that fail,
+against all others in a second round.  Candidates are verified on the whole
+word sets.  Words are told apart by 64 bits and sets, where they are equal, by
+128 bits of hash; results are exact but for collisions of these.
 """
 
 from __future__ import annotations
@@ -22,77 +28,87 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from podium.llm.bpe import _said, _spread, _squeezed, _unsaid
-from podium.llm.words import blocks
+from podium.llm.bpe import _said, _spread, _squeezed
+from podium.llm.words import Split, blocks
 from podium.plans.scratch import Scratch
 
 THRESHOLD = 0.8
-BUCKETS = 1 << 22
+#: Word buckets that rarity is counted by.
+BUCKETS = 1 << 23
 #: Bits of the filters that keep lines and words without candidates from travelling.
 FILTER = 1 << 24
 LAST_ID = (1 << 63) - 1
 BLOCK_BYTES = 8_000_000
 #: Lists of lines that share a word, up to which all pairs are looked at.
 SHORT_LIST = 64
+#: Occurrences of a word (of its bucket) from which its lines are split by signatures.
+HOT_WORD = 1 << 17
+#: Rows that share a shuffled bucket, about, and rows that a task gathers before it sends them.
+BUCKET_ROWS, SENT_ROWS = 500_000, 1_000_000
+#: Lines of so few words have a sketch of 64 bits, others of 128.
+SHORT_LINE = 48
 
+TABLE = "block long, ids array<long>, lines array<int>, sizes array<int>, again long, numbers binary, hashes binary"
 
-class _Hashes(dict):
-    """Word to its number here; ``h`` holds the words' hashes."""
 
-    def __init__(self) -> None:
-        self.h: list[int] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.h.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-
-TABLE = "ids array<long>, lines array<int>, sizes array<int>, again long, numbers binary, hashes binary"
+def _lower(column: pa.Array) -> pa.Array:
+    column = pc.fill_null(column, "")
+    if pc.all(pc.string_is_ascii(column)).as_py() in (True, None):
+        return pc.ascii_lower(column)
+    return pa.array([t.lower() for t in column.to_pylist()], pa.large_string())
 
 
 def _block_table(batches):
     """A row a block: the document id, number and distinct words of each line with words."""
+    part, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
         for b in blocks(batch, chars=BLOCK_BYTES):
-            index = _Hashes()
-            number = index.__getitem__
-            doc, no, sizes, flat = [], [], [], []
-            for row, text in enumerate(b.column(1).to_pylist()):
-                for k, line in enumerate((text or "").lower().split("\n")):
-                    w = line.split()
-                    if w:
-                        doc.append(row)
-                        no.append(k)
-                        sizes.append(len(w))
-                        flat.extend(map(number, w))
-            n, v = len(doc), len(index)
-            if not n:
+            split = Split(_lower(b.column(1)), controls=True)
+            if not len(split.starts):
                 continue
-            key = np.unique(np.repeat(np.arange(n), sizes) * v + np.array(flat, np.int64))
-            line, word = key // v, key % v
+            feeds = np.flatnonzero(split.data[:-8] == 10)
+            text = np.repeat(np.arange(b.num_rows), split.sizes)
+            at = np.searchsorted(feeds, split.starts)
+            new = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(text) != 0)))
+            first = np.flatnonzero(new)
+            no = at[first] - np.searchsorted(feeds, split.edges)[text[first]]
+            coded = pa.array(split.hashes()).dictionary_encode()
+            h, number = coded.dictionary.to_numpy(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            v, n = len(h), len(first)
+            key = np.sort((np.cumsum(new) - 1) * v + number)
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            line, word = np.divmod(key, v)
             times = np.bincount(word, minlength=v)
             order = np.lexsort((-times, times == 1))
             renumbered = np.empty(v, np.int64)
             renumbered[order] = np.arange(v)
             again = int((times > 1).sum())
             cols = [
-                pa.array([b.column(0).take(pa.array(doc)).to_pylist()], pa.list_(pa.int64())), pa.array([no], pa.list_(pa.int32())), pa.array([np.bincount(line, minlength=n)], pa.list_(pa.int32())),
-                pa.array([again], pa.int64()), pa.array([_squeezed(_unsaid(renumbered[word], again))], pa.binary()), pa.array([np.array(index.h, np.uint64)[order].tobytes()], pa.binary()),
+                pa.array([part << 32 | nth]), pa.array([b.column(0).take(pa.array(text[first])).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([no.astype(np.int32)], pa.list_(pa.int32())), pa.array([np.bincount(line, minlength=n).astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([again], pa.int64()), pa.array([_squeezed(_once_unsaid(renumbered[word], again))], pa.binary()), pa.array([h[order].tobytes()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["ids", "lines", "sizes", "again", "numbers", "hashes"])
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lines", "sizes", "again", "numbers", "hashes"])
+            nth += 1
+
+
+def _once_unsaid(numbers: np.ndarray, first: int) -> np.ndarray:
+    """As ``_unsaid``, where numbers from ``first`` on come once each."""
+    return np.where(numbers >= first, 0, numbers + 1)
 
 
 def _unpacked(batches):
-    """(ids, line numbers, sizes, word numbers line by line, words' hashes) of each block."""
+    """(block, ids, line numbers, sizes, word numbers line by line, words' hashes, lines to skip) of each block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            get = lambda c: batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-            numbers = _said(_spread(batch.column(4)[i].as_py()), batch.column(3)[i].as_py())
-            yield get(0), get(1), get(2).astype(np.int64), numbers, np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+            get = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+            numbers = _said(_spread(batch.column("numbers")[i].as_py()), batch.column("again")[i].as_py())
+            skip = batch.column("skip")[i].as_py() if "skip" in batch.schema.names else None
+            yield batch.column("block")[i].as_py(), get("ids"), get("lines"), get("sizes").astype(np.int64), numbers, np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64), skip or []
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -105,20 +121,13 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _counts(batches):
-    total = np.zeros(BUCKETS, np.int64)
-    for _, _, _, numbers, h in _unpacked(batches):
-        np.add.at(total, _bucket(h), np.bincount(numbers, minlength=len(h)))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-
 def _line_keys(batches):
     """128 bits for each line's set, whatever its order."""
-    for ids, lines, sizes, numbers, h in _unpacked(batches):
+    for block, ids, lines, sizes, numbers, h, _ in _unpacked(batches):
         at = np.cumsum(sizes) - sizes
         a, b = (np.add.reduceat(_mixed(h, k)[numbers], at).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids), pa.array(lines)], names=["set_a", "set_b", "id", "line"])
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids), pa.array(lines), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32))], names=["set_a", "set_b", "id", "line", "block", "at"])
 
 
 def _need(threshold: float, n):
@@ -126,123 +135,306 @@ def _need(threshold: float, n):
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-PREFIX = "word long, id long, line int, pos int, n int, sketch long"
+def _shared(n):
+    """Prefix words that two lines of ``n`` words or more must share: the prefix is as much longer than it need be for one."""
+    return 2 + n // 64
+
+
+#: Buckets whose counts travel together.
+CHUNK = 1 << 17
+
+
+def _counts(threshold: float):
+    """(chunk, counts, prefixes): occurrences by bucket, and the prefix words of all lines with the first chunk."""
+
+    def each(batches):
+        total, prefixes = np.zeros(BUCKETS, np.int32), 0
+        for _, _, _, sizes, numbers, h, _ in _unpacked(batches):
+            np.add.at(total, _bucket(h), np.bincount(numbers, minlength=len(h)).astype(np.int32))
+            prefixes += int((sizes - _need(threshold, sizes) + _shared(sizes)).sum())
+        if prefixes:
+            for c, part in enumerate(total.reshape(-1, CHUNK)):
+                blob = pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([blob], pa.binary()), pa.array([0 if c else prefixes])], names=["chunk", "counts", "prefixes"])
+
+    return each
+
+
+def _ranks(group: pa.Table) -> pa.Table:
+    """(chunk, ranks, prefixes): buckets' places in the order of rarity, a byte each; 0 for words that stand alone."""
+    total = np.zeros(CHUNK, np.int64)
+    for blob in group["counts"]:
+        total += np.frombuffer(pa.Codec("zstd").decompress(blob.as_py(), CHUNK * 4, asbytes=True), np.int32)
+    rank = np.minimum(255, np.round(10 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    return pa.table({"chunk": group["chunk"][:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "prefixes": pa.array([pc.sum(group["prefixes"]).as_py()])})
+
 
+def _hot_rank() -> int:
+    return min(255, round(10 * math.log2(HOT_WORD)))
 
-def _key_bit(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+
+def _line_bit(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return ((ids % FILTER) * 1000003 + lines) % FILTER
 
 
-def _prefixes(rarity, threshold: float, of_lines=None, of_words=None):
-    """Prefix words of the lines: of all, or of lines or words in a filter.
+def _sketch(h: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the words by seven bits of their hash, as two numbers; folded into the first for short lines."""
+    at, bit = np.cumsum(sizes) - sizes, np.uint64(1) << ((h >> np.uint64(57)) & np.uint64(63))
+    low, high = (np.bitwise_xor.reduceat(np.where(lane, bit, np.uint64(0))[numbers], at) for lane in (h >> np.uint64(63) == 0, h >> np.uint64(63) == 1))
+    short = sizes <= SHORT_LINE
+    return np.where(short, low ^ high, low), np.where(short, np.uint64(0), high)
+
+
+def _classes(threshold: float, most: int) -> list[int]:
+    """Edges of size classes: a line's matches are of its class or a neighbouring one."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(int(edges[-1] / threshold + 1e-9) + 1)
+    return edges
 
-    A word counted once is in no other line and is left out.
+
+def _signatures(threshold: float, wanted: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, h: np.ndarray):
+    """(line, signature) of the wanted lines.
+
+    Two similar lines, the larger of class c, differ in at most D words, so of
+    D + 1 parts that words are dealt to by their hash they have one in common.
+    A line has signatures for its own class and, as the smaller one, the next.
     """
+    edges = _classes(threshold, int(sizes.max(initial=1)))
+    own = np.searchsorted(edges, sizes, side="right") - 1
+    line_of, mixed = np.repeat(np.arange(len(sizes)), sizes), _mixed(h, 0xD6E8FEB86659FD93)
+    for c in np.unique(own[wanted]).tolist():
+        mine = wanted & (own == c)
+        use = np.repeat(mine, sizes)
+        place = np.cumsum(mine) - 1
+        for of in (c, c + 1):
+            largest = int(int(edges[of] / threshold + 1e-9))
+            parts = int(2 * largest * (1 - threshold) / (1 + threshold) + 1e-9) + 1
+            word = numbers[use]
+            part = (mixed >> np.uint64(33)).astype(np.int64)[word] % parts
+            got = np.zeros(int(mine.sum()) * parts, np.uint64)
+            np.add.at(got, place[line_of[use]] * parts + part, _mixed(h[word], 0xA24BAED4963EE407))
+            key = _mixed(got + np.tile(np.arange(parts, dtype=np.uint64), int(mine.sum())) * np.uint64(0x9FB21C651E98DF25) + np.uint64(of + 1), 0xE7037ED1A0B428DB)
+            yield np.repeat(np.flatnonzero(mine), parts), key
+
+
+FIELDS = (("word", np.uint32), ("id", np.int64), ("line", np.int32), ("pos", np.int32), ("n", np.int32), ("low", np.uint64), ("high", np.uint64), ("open", np.bool_))
+
+
+def _packed(rows: dict[str, np.ndarray]) -> bytes:
+    body = b"".join(np.ascontiguousarray(rows[c].astype(t)).tobytes() for c, t in FIELDS)
+    return len(rows["word"]).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 0, {}
+    body = pa.Codec("zstd").decompress(blob[8:], n * sum(np.dtype(t).itemsize for _, t in FIELDS), asbytes=True)
+    for c, t in FIELDS:
+        size = n * np.dtype(t).itemsize
+        out[c] = np.frombuffer(body[at : at + size], t)
+        at += size
+    return out
+
+
+def _prefixes(rarity, threshold: float, n_buckets: int, of_lines=None, of_words=None, as_blocks: bool = True):
+    """(bucket, packed rows): the lines' prefix words, or signatures where one of these is hot.
+
+    With filters, only words in ``of_words`` are sent and lines in ``of_lines``
+    are marked open.  A word counted once is in no other line and is left out.
+    """
+
+    hot_rank = _hot_rank()
+
+    def of_block(rank, open_, wanted, block):
+        _, ids, lines, sizes, numbers, h, skip = block
+        of_word = rank[_bucket(h)]
+        alive = np.ones(len(sizes), bool)
+        alive[skip] = False
+        if wanted is not None:  # lines with a wanted word, or that may have signatures
+            some = wanted[(h & np.uint64(FILTER - 1)).astype(np.int64)] | (of_word >= hot_rank)
+            alive &= np.logical_or.reduceat(some[numbers], np.cumsum(sizes) - sizes)
+        if not alive.all():
+            numbers = numbers[np.repeat(alive, sizes)]
+            ids, lines, sizes = ids[alive], lines[alive], sizes[alive]
+        if not len(sizes):
+            return None
+        v, at = len(h), np.cumsum(sizes) - sizes
+        order = np.lexsort((h, of_word))
+        place = np.empty(v, np.int64)
+        place[order] = np.arange(v)
+        key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * v + place[numbers])
+        line, word = key // v, order[key % v]
+        pos = np.arange(len(key)) - at[line]
+        use = (pos < (sizes - _need(threshold, sizes) + _shared(sizes))[line]) & (of_word[word] > 0)
+        hot = use & (of_word[word] >= hot_rank)
+        signed = np.zeros(len(sizes), bool)
+        signed[line[hot]] = True
+        use &= ~hot
+        found = [(line[use], h[word[use]], pos[use])]
+        if signed.any():
+            found += [(x, k, np.full(len(x), -1)) for x, k in _signatures(threshold, signed, sizes, numbers, h)]
+        line, word, pos = (np.concatenate(x) for x in zip(*found))
+        if wanted is not None:
+            use = wanted[(word & np.uint64(FILTER - 1)).astype(np.int64)]
+            line, word, pos = line[use], word[use], pos[use]
+        low, high = _sketch(h, numbers, sizes)
+        marked = open_[_line_bit(ids, lines)] if open_ is not None else np.zeros(len(sizes), bool)
+        return {"key": word, "id": ids[line], "line": lines[line], "pos": pos, "n": sizes[line], "low": low[line], "high": high[line], "open": marked[line]}
+
+    def sent(gathered):
+        rows = {c: np.concatenate([g[c] for g in gathered]) for c in gathered[0]}
+        if not len(rows["key"]):
+            return
+        bucket = ((rows["key"] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+        rows["word"] = (rows.pop("key") & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        rows = {c: x[order] for c, x in rows.items()}
+        blobs = [_packed({c: x[i:j] for c, x in rows.items()}) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     def each(batches):
         rank = rarity.value
-        wanted_lines = None if of_lines is None else np.unpackbits(of_lines.value).view(bool)
-        wanted_words = None if of_words is None else np.unpackbits(of_words.value).view(bool)
-        for ids, lines, sizes, numbers, h in _unpacked(batches):
-            v, at = len(h), np.cumsum(sizes) - sizes
-            sketch = np.bitwise_xor.reduceat((np.uint64(1) << (h >> np.uint64(58)))[numbers], at).view(np.int64)
-            of_word = rank[_bucket(h)]
-            order = np.lexsort((h, of_word))
-            place = np.empty(v, np.int64)
-            place[order] = np.arange(v)
-            key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * v + place[numbers])
-            line, word = key // v, order[key % v]
-            pos = np.arange(len(key)) - at[line]
-            use = (pos < (sizes - _need(threshold, sizes) + 2)[line]) & (of_word[word] > 0)
-            if wanted_lines is not None:
-                use &= wanted_lines[_key_bit(ids, lines)][line]
-            if wanted_words is not None:
-                use &= wanted_words[(h & np.uint64(FILTER - 1)).astype(np.int64)][word]
-            line, word, pos = line[use], word[use], pos[use]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[word].view(np.int64)), pa.array(ids[line]), pa.array(lines[line]), pa.array(pos.astype(np.int32)), pa.array(sizes[line].astype(np.int32)), pa.array(sketch[line])],
-                names=["word", "id", "line", "pos", "n", "sketch"],
-            )
+        bits = [None if f is None else np.unpackbits(f.value, bitorder="little").view(bool) for f in (of_lines, of_words)]
+        gathered, held = [], 0
+        for block in _unpacked(batches) if as_blocks else batches:
+            got = of_block(rank, *bits, block)
+            if got is None:
+                continue
+            gathered.append(got)
+            held += len(got["key"])
+            if held > SENT_ROWS:
+                yield from sent(gathered)
+                gathered, held = [], 0
+        if gathered:
+            yield from sent(gathered)
 
     return each
 
 
-def _may_match(threshold: float, pos_x, n_x, sk_x, pos_y, n_y, sk_y):
-    """Length, positional and sketch filters, for two lines' first two common words.
+def _listed_by(rarity, threshold: float):
+    """(bit): of the keys that lines (id, line, words) are listed by."""
+    of_blocks = _prefixes(rarity, threshold, 1, as_blocks=False)
 
-    Similar lines of unequal sets share two words at least.
-    """
-    need = np.ceil(threshold / (1 + threshold) * (n_x + n_y) - 1e-9)
-    ok = (n_x - pos_x >= need - 1) & (n_y - pos_y >= need - 1) & (np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y) - 1e-9)
-    return ok & (np.bitwise_count((sk_x ^ sk_y).view(np.uint64)) <= n_x + n_y - 2 * need)
+    def as_block(batch):
+        sizes = np.diff(batch.column("words").offsets.to_numpy()).astype(np.int64)
+        h, numbers = np.unique(batch.column("words").flatten().to_numpy().view(np.uint64), return_inverse=True)
+        return None, batch.column("id").to_numpy(), batch.column("line").to_numpy(), sizes, numbers, h, []
 
+    def each(batches):
+        for batch in of_blocks(as_block(b) for b in batches if b.num_rows):
+            for blob in batch.column("rows"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_unpack(blob.as_py())["word"] & np.uint32(FILTER - 1)).astype(np.int32))], names=["bit"])
 
-PAIRS = "x_id long, x_line int, y_id long, y_line int, hub boolean"
+    return each
+
+
+def _may_match(threshold: float, col: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of places pass the length, positional and sketch filters at a common word; ``pos`` -1 is a signature."""
+    n_x, n_y = col["n"][x], col["n"][y]
+    ok = np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y) - 1e-9
+    at = np.flatnonzero(ok)
+    x, y, n_x, n_y = x[at], y[at], n_x[at], n_y[at]
+    low, high = col["low"][x] ^ col["low"][y], col["high"][x] ^ col["high"][y]
+    short = np.minimum(n_x, n_y) <= SHORT_LINE
+    apart = np.bitwise_count(np.where(short, low ^ high, low)).astype(np.int32) + np.bitwise_count(np.where(short, np.uint64(0), high))
+    need = np.ceil(threshold / (1 + threshold) * (n_x + n_y) - 1e-9).astype(np.int32)
+    spare = need - _shared(np.minimum(n_x, n_y)) + 1
+    ok[at] = (apart <= n_x + n_y - 2 * need) & (n_x - col["pos"][x] >= spare) & (n_y - col["pos"][y] >= spare)
+    return ok
 
 
-def _candidates(threshold: float):
-    """Of rows sorted by (word, id, line): pairs of a line and an earlier one that may match.
+PAIRS = "x_id long, x_line int, y_id long, y_line int, hub boolean, least int"
 
-    In a list longer than SHORT_LIST a line that may match the first of its size
-    class is paired with that one alone, and marked.
+
+def _candidates(threshold: float, late: bool):
+    """Of a bucket's packed rows: pairs of a line and an earlier one that may match.
+
+    Lists are ordered by length, so that a line meets those of about its length
+    alone.  In a list longer than SHORT_LIST a line that may match the first of
+    its size class is paired with that one alone, and marked.  In the ``late``
+    round all open lines are paired with all that may match.
     """
 
-    def pairs_of(rows: dict, done: int):
-        """All pairs in short lists, by distance in the list; long ones one by one."""
-        word = rows["word"][:done]
-        if not done:
-            return
+    def pairs_of(col):
+        """Pairs of places in rows sorted by (word, n), in any order, and whether one is a list's first."""
+        word, n = col["word"], col["n"]
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        length = np.diff(np.append(start, done))
+        length = np.diff(np.append(start, len(word)))
         run = np.repeat(np.arange(len(start)), length)
-        place = np.arange(done) - start[run]
-        col = {k: v[:done] for k, v in rows.items()}
-        pick = lambda i: (col["pos"][i], col["n"][i], col["sketch"][i])
-        short = length[run] <= SHORT_LIST
-        live = np.flatnonzero(short & (length[run] > 1))
+        least = start[run]
+        live = np.flatnonzero(length[run] <= SHORT_LIST)
         for d in range(1, SHORT_LIST):
-            live = live[place[live] >= d]
+            live = live[live - d >= least[live]]
+            live = live[n[live - d] >= threshold * n[live] - 1e-9]
             if not len(live):
                 break
-            ok = live[_may_match(threshold, *pick(live), *pick(live - d))]
+            ok = live[_may_match(threshold, col, live, live - d)]
             if len(ok):
-                yield ok, ok - d, np.zeros(len(ok), bool)
+                yield ok, ok - d, False
         for k in np.flatnonzero(length > SHORT_LIST).tolist():
             at = np.arange(start[k], start[k] + length[k])
-            size = np.floor(np.log(col["n"][at]) / math.log(1 + (1 - threshold) / 2)).astype(np.int64)
-            _, first, of = np.unique(size, return_index=True, return_inverse=True)
-            hub = at[first][of]
-            near = (hub != at) & _may_match(threshold, *pick(at), *pick(hub))
-            if near.any():
-                yield at[near], hub[near], np.ones(int(near.sum()), bool)
-            rest = at[~near]
-            for i in range(0, len(rest), 256):
-                x = rest[i : i + 256]
-                y = at[: int(x[-1] - at[0])]
-                a, b = np.nonzero(_may_match(threshold, *(c[:, None] for c in pick(x)), *(c[None, :] for c in pick(y))) & (y[None, :] < x[:, None]))
-                if len(a):
-                    yield x[a], y[b], np.zeros(len(a), bool)
-
-    def each(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = {c: b.column(c).to_numpy() for c in ("word", "id", "line", "pos", "n", "sketch")}
-            rows = now if held is None else {c: np.concatenate((held[c], now[c])) for c in now}
-            last = int(np.searchsorted(rows["word"], rows["word"][-1]))  # the last list may go on
-            for x, y, hub in pairs_of(rows, last):
-                yield _pair_batch(rows, x, y, hub)
-            held = {c: v[last:] for c, v in rows.items()}
-        if held is not None:
-            for x, y, hub in pairs_of(held, len(held["word"])):
-                yield _pair_batch(held, x, y, hub)
+            rest = at
+            if not late:
+                size = np.floor(np.log(n[at]) / math.log(1 + (1 - threshold) / 2)).astype(np.int64)
+                order = np.lexsort((col["line"][at], col["id"][at], size))
+                _, first, of = np.unique(size[order], return_index=True, return_inverse=True)
+                hub = np.empty(len(at), np.int64)
+                hub[order] = at[order[first[of]]]
+                near = (hub != at) & _may_match(threshold, col, at, hub)
+                if near.any():
+                    yield at[near], hub[near], True
+                rest = at[~near]
+            # of a pair, either may be the later one: both ways round, among all of the list
+            low = at[0] + np.searchsorted(n[at], np.ceil(threshold * n[rest] - 1e-9))
+            high = at[0] + np.searchsorted(n[at], np.floor(n[rest] / threshold + 1e-9), side="right")
+            upto = np.cumsum(high - low)
+            i = 0
+            while i < len(rest):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 1_000_000)))
+                many = (high - low)[i:j]
+                x = np.repeat(rest[i:j], many)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[i:j], many)
+                later = (col["id"][y] < col["id"][x]) | ((col["id"][y] == col["id"][x]) & (col["line"][y] < col["line"][x]))
+                if late:
+                    later &= col["open"][x]
+                x, y = x[later], y[later]
+                ok = _may_match(threshold, col, x, y)
+                if ok.any():
+                    yield x[ok], y[ok], False
+                i = j
+
+    def each(group: pa.Table) -> pa.Table:
+        blobs = [_unpack(b.as_py()) for b in group["rows"]]
+        rows = {c: np.concatenate([b[c] for b in blobs]) for c, _ in FIELDS}
+        del blobs
+        # by word and length; words of one line alone go
+        order = np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rows["n"].astype(np.uint64))
+        word = rows["word"][order]
+        new = np.concatenate(([True], word[1:] != word[:-1], [True]))
+        order = order[~(new[1:] & new[:-1])]
+        rows = {c: v[order] for c, v in rows.items()}
+        out = []
+        if len(order):
+            for x, y, hub in pairs_of(rows):
+                # x is the later line
+                swap = (rows["id"][x] < rows["id"][y]) | ((rows["id"][x] == rows["id"][y]) & (rows["line"][x] < rows["line"][y]))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                if late:
+                    x, y = x[rows["open"][x]], y[rows["open"][x]]
+                least = np.where(rows["pos"][x] < 0, 1, _shared(np.minimum(rows["n"][x], rows["n"][y])))
+                out.append((rows["id"][x], rows["line"][x], rows["id"][y], rows["line"][y], np.full(len(x), hub), least.astype(np.int32)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.bool_, np.int32)]
+        return pa.table(dict(zip(("x_id", "x_line", "y_id", "y_line", "hub", "least"), map(pa.array, cols))))
 
     return each
 
 
-def _pair_batch(rows, x, y, hub):
-    return pa.RecordBatch.from_arrays([pa.array(rows["id"][x]), pa.array(rows["line"][x]), pa.array(rows["id"][y]), pa.array(rows["line"][y]), pa.array(hub)], names=["x_id", "x_line", "y_id", "y_line", "hub"])
+def _pairs(packed: DataFrame, threshold: float, late: bool) -> DataFrame:
+    """(x_id, x_line, y_id, y_line, hub): candidates that share enough words, or a signature, or a list's first line."""
+    found = packed.groupBy("bucket").applyInArrow(_candidates(threshold, late), PAIRS)
+    both = found.groupBy("x_id", "x_line", "y_id", "y_line").agg(F.max("hub").alias("hub"), F.min("least").alias("least"), F.count("*").alias("shared"))
+    return both.where("(x_id <> y_id or x_line <> y_line) and (hub or shared >= least)").select("x_id", "x_line", "y_id", "y_line", "hub")
 
 
 def _bit(ident, line):
@@ -252,19 +444,20 @@ def _bit(ident, line):
 
 def _filter(bits: DataFrame):
     """A broadcast filter of fixed size from a column of bit numbers; it only saves travel."""
-    out = np.zeros(FILTER, bool)
-    out[bits.distinct().toArrow().column(0).to_numpy()] = True
-    return bits.sparkSession.sparkContext.broadcast(np.packbits(out))
+    set_ = bits.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.expr("bit_or(shiftleft(1, bit & 7))").cast("short").alias("v")).toArrow()
+    out = np.zeros(FILTER // 8, np.uint8)
+    out[set_["at"].to_numpy()] = set_["v"].to_numpy()
+    return bits.sparkSession.sparkContext.broadcast(out)
 
 
-def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(id, line) of the x of pairs whose word sets are as similar as the threshold."""
+def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, line) of the x of pairs whose word sets are as similar as the threshold; and (id, line, words) of the lines of pairs, at least."""
     shared = _filter(pairs.select(_bit("x_id", "x_line").alias("bit")).union(pairs.select(_bit("y_id", "y_line").alias("bit"))))
 
     def fetch(batches):
-        wanted = np.unpackbits(shared.value).view(bool)
-        for ids, lines, sizes, numbers, h in _unpacked(batches):
-            keep = wanted[_key_bit(ids, lines)]
+        wanted = np.unpackbits(shared.value, bitorder="little").view(bool)
+        for _, ids, lines, sizes, numbers, h, _ in _unpacked(batches):
+            keep = wanted[_line_bit(ids, lines)]
             words = h[numbers[np.repeat(keep, sizes)]].view(np.int64)
             upto = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lines[keep]), pa.ListArray.from_arrays(pa.array(upto), pa.array(words))], names=["id", "line", "words"])
@@ -275,22 +468,25 @@ def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scr
     both = pairs.join(x, ["x_id", "x_line"]).join(y, ["y_id", "y_line"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     alike = both.where(common >= threshold * (F.size("x_words") + F.size("y_words") - common) - 1e-9)
-    return alike.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct()
+    return alike.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct(), sets
 
 
-def _keyed(df: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
-    """``df`` with ``__key``, a number of each row's own in the order of the ids; null ids count as the last.
+def _keyed(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(key, id, text, c0, c1, ...): ``df`` by column places, and a number of each row's own in the order of the ids.
 
-    The ids themselves serve where no two rows share one.  Else rows are
-    numbered in the order of (id, place in the input), in a scratch copy, since
-    all scans must see the same numbers.
+    Null ids count as the last.  The ids themselves serve where no two rows
+    share one.  Else rows are numbered in the order of (id, place in the input),
+    in a scratch copy, since all scans must see the same numbers.
     """
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    if df.select(ident.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return df.withColumn("__key", ident)
-    placed = df.withColumn("__id", ident).withColumn("__at", F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange("__id", "__at").sortWithinPartitions("__id", "__at")
-    return scratch.table(dealt.withColumn("__key", F.monotonically_increasing_id()).drop("__id", "__at"), "keyed")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    placed = df.toDF(*names)
+    ident, text = (F.col(names[df.columns.index(c)]) for c in (id_col, text_col))
+    ident = F.coalesce(ident.cast("long"), F.lit(LAST_ID))
+    placed = placed.select(ident.alias("id"), text.alias("text"), *names)
+    if placed.select("id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return placed.withColumn("key", F.col("id"))
+    dealt = placed.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("id", "at").sortWithinPartitions("id", "at")
+    return scratch.table(dealt.drop("at").withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -300,53 +496,50 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed.  Null ids count as the last id.  Rows that share an id are documents
     of their own, in the order of the input.
     """
-    keyed = _keyed(df, id_col, Scratch(df.sparkSession, "line-keys"))
-    ids = keyed.select("__key", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("__id"))
-    return _removed(keyed, text_col, threshold).join(ids, F.col("id") == F.col("__key")).select(F.col("__id").alias("id"), "line")
+    keyed = _keyed(df, id_col, text_col, Scratch(df.sparkSession, "line-keys"))
+    gone = _removed(keyed, threshold).withColumnRenamed("id", "of")
+    return gone.join(keyed.select("key", "id"), F.col("of") == F.col("key")).select("id", "line")
 
 
-def _removed(keyed: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """(id, line) as ``removed_lines``, the id being ``__key``, which no two rows share."""
+def _removed(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(id, line) as ``removed_lines``, the id being ``key``, which no two rows share."""
     spark = keyed.sparkSession
     scratch = Scratch(spark, "lines")
-    docs = keyed.select(F.col("__key").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    table = scratch.table(docs.mapInArrow(_block_table, TABLE), "blocks")
+    table = scratch.table(keyed.select("key", "text").mapInArrow(_block_table, TABLE), "blocks")
     # equal sets: all but the first go
-    keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int"), "keys")
-    firsts = scratch.table(keys.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("set_a", "set_b", "first"), "firsts")
-    equal = keys.join(firsts, ["set_a", "set_b"]).where("id > first.id or (id = first.id and line > first.line)").select("id", "line")
-    # rarity, by buckets
-    counted = table.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    rank = np.zeros(BUCKETS, np.uint8)
-    rank[counted["bucket"].to_numpy()] = np.minimum(255, np.round(10 * np.log2(counted["n"].to_numpy()))).astype(np.uint8)
+    keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int, block long, at int"), "keys")
+    firsts = keys.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("set_a", "set_b", "first")
+    firsts = scratch.table(firsts, "first_of_set")
+    equal = scratch.table(keys.join(firsts, ["set_a", "set_b"]).where("id > first.id or (id = first.id and line > first.line)").select("id", "line", "block", "at"), "equal")
+    scratch.drop(keys, firsts)
+    # rarity, by buckets: a byte each comes to the driver
+    counted = table.mapInArrow(_counts(threshold), "chunk long, counts binary, prefixes long").groupBy("chunk").applyInArrow(_ranks, "chunk long, ranks binary, prefixes long")
+    counted, rank = counted.collect(), np.zeros(BUCKETS, np.uint8)
+    for r in counted:
+        rank[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["ranks"], np.uint8)
+    rows = sum(r["prefixes"] for r in counted)
     rarity = spark.sparkContext.broadcast(rank)
-    # lines that share a prefix word
-    rows = table.mapInArrow(_prefixes(rarity, threshold), PREFIX).repartition("word").sortWithinPartitions("word", "id", "line")
-    found = rows.mapInArrow(_candidates(threshold), PAIRS).groupBy("x_id", "x_line", "y_id", "y_line").agg(F.max("hub").alias("hub"), F.count("*").alias("shared"))
-    pairs = scratch.table(found.where("hub or shared >= 2").drop("shared"), "pairs")
-    settled = scratch.table(_verified(table, pairs.drop("hub"), threshold, scratch), "settled")
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    # lines that share a prefix word, the first of equal sets alone; a block's list is as long as the block at most
+    skips = equal.groupBy("block").agg(F.collect_list("at").alias("skip"))
+    firsts = scratch.table(table.join(skips, "block", "left"), "firsts")
+    scratch.drop(table)
+    pairs = scratch.table(_pairs(firsts.mapInArrow(_prefixes(rarity, threshold, n_buckets), "bucket long, rows binary"), threshold, False), "pairs")
+    scratch.release()
+    found, sets = _verified(firsts, pairs.drop("hub"), threshold, scratch)
+    settled = scratch.table(found, "settled")
     # lines held against the first of a long list alone, and not settled: against all others that share a word
     open_ = scratch.table(pairs.where("hub").select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct().join(settled, ["id", "line"], "left_anti"), "open")
     late = None
     if not open_.isEmpty():
         of_lines = _filter(open_.select(_bit("id", "line").alias("bit")))
-        mine = scratch.table(table.mapInArrow(_prefixes(rarity, threshold, of_lines=of_lines), PREFIX).join(open_, ["id", "line"], "left_semi"), "open_words")
-        of_words = _filter(mine.select(F.col("word").bitwiseAND(FILTER - 1).cast("int").alias("bit")))
-        x = mine.select("word", *(F.col(c).alias(f"x_{c}") for c in ("id", "line", "pos", "n", "sketch")))
-        y = table.mapInArrow(_prefixes(rarity, threshold, of_words=of_words), PREFIX).select("word", *(F.col(c).alias(f"y_{c}") for c in ("id", "line", "pos", "n", "sketch")))
-        need = F.ceil(threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-        fits = (
-            ((F.col("y_id") < F.col("x_id")) | ((F.col("y_id") == F.col("x_id")) & (F.col("y_line") < F.col("x_line"))))
-            & (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n") - 1e-9)
-            & (F.col("x_n") - F.col("x_pos") >= need - 1) & (F.col("y_n") - F.col("y_pos") >= need - 1)
-            & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= F.col("x_n") + F.col("y_n") - 2 * need)
-        )
-        shared = x.join(y, "word").where(fits).groupBy("x_id", "x_line", "y_id", "y_line").agg(F.count("*").alias("shared"))
-        rest = scratch.table(shared.where("shared >= 2").drop("shared"), "rest")
-        late = _verified(table, rest, threshold, scratch)
-    out = equal.union(settled)
+        of_words = _filter(sets.join(open_, ["id", "line"], "left_semi").mapInArrow(_listed_by(rarity, threshold), "bit int"))
+        packed = firsts.mapInArrow(_prefixes(rarity, threshold, n_buckets, of_lines, of_words), "bucket long, rows binary")
+        rest = scratch.table(_pairs(packed, threshold, True).drop("hub"), "rest")
+        late, _ = _verified(firsts, rest, threshold, scratch)
+    out = equal.select("id", "line").union(settled)
     out = scratch.table((out if late is None else out.union(late)).distinct(), "removed")
-    scratch.drop(table, keys, firsts, pairs, settled)
+    scratch.drop(firsts, equal, pairs, settled, open_, sets)
     return out
 
 
@@ -358,27 +551,26 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     empty table gives no rows.  Columns of any name may be there besides.
     """
     scratch = Scratch(df.sparkSession, "line-dedup")
-    keyed = _keyed(df, id_col, scratch)
-    gone = _removed(keyed, text_col, threshold).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    gone = scratch.table(gone, "gone")  # at most the lines of one document in a row
+    keyed = _keyed(df, id_col, text_col, scratch)
+    gone = _removed(keyed, threshold).groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("gone")).withColumnRenamed("id", "of")  # at most the lines of one document in a row
     scratch.release()
+    place, fields = df.columns.index(text_col), df.schema.fields
 
     def each(batches):
         for b in batches:
-            at = b.schema.get_field_index(text_col)
             texts = []
-            for text, lines in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            for text, lines in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if text is not None and lines:
                     drop = set(lines)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
                 texts.append(text)
-            cols = b.columns[:-2]
-            cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
+            cols = b.columns[:-1]
+            cols[place] = pa.array(texts, b.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    joined = keyed.join(gone, F.col("__key") == F.col("__id"), "left").drop("__id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), "__key", "__gone").mapInArrow(each, fields)
+    names = [f"c{i}" for i in range(len(fields))]
+    joined = keyed.drop("id", "text").join(gone, F.col("key") == F.col("of"), "left").select(*names, "gone")
+    return joined.mapInArrow(each, StructType([StructField(n, f.dataType) for n, f in zip(names, fields)])).toDF(*df.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -325,8 +325,9 @@ def plain_removed(rows):
 
 
 def test_line_dedup(docs, odd, monkeypatch):
-    for short in (64, 2):  # long lists, too
+    for short, hot in ((64, lines.HOT_WORD), (2, lines.HOT_WORD), (64, 16)):  # long lists, and hot words, too
         monkeypatch.setattr(lines, "SHORT_LIST", short)
+        monkeypatch.setattr(lines, "HOT_WORD", hot)
         for df in (docs, odd):
             want = plain_removed([(r.doc_id, r.text) for r in df.collect()])
             assert {(r.id, r.line) for r in lines.removed_lines(df).collect()} == want
@@ -352,8 +353,10 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     assert sum("last words" in t for t in fives) == 1 and sum("says this" in t for t in nulls) == 1
 
 
-def test_line_dedup_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [lines.HOT_WORD, 4])
+def test_line_dedup_of_near_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(lines, "SHORT_LIST", 4)
+    monkeypatch.setattr(lines, "HOT_WORD", hot)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(30)]
     rows = []
