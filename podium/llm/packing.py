@@ -4,8 +4,8 @@ Only lengths matter for packing, and there are no more lengths than the
 capacity, so the corpus is reduced to a histogram of piece lengths.  The search
 runs on that histogram, whose size no input can change, and finds patterns (the
 lengths in a bin, and how many bins are filled so): around the largest piece
-left it enumerates undominated fillings by rising waste, and gives up a branch
-whose waste is more than a better solution could have.  A best-fit-decreasing
+left it enumerates all undominated fillings, and gives up a branch whose waste
+is more than a better solution could have.  A best-fit-decreasing
 solution is the first incumbent.  Pieces are then numbered within their length
 in Spark and find their sequence and offset from their number.
 """
@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from podium.llm.words import WordIds, blocks, default_path
+from podium.llm.words import WordIds, blocks, default_path, tidy
 from podium.plans.scratch import Scratch
 
 CAPACITY, END_ID = 2048, 0
-#: Fillings tried around a piece, and nodes that the search may open.
-BRANCHES, NODES = 4, 3_000
+#: Steps that the search may make, and fillings of each width that it looks at first.
+NODES, LIKELY = 20_000, 16
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,11 +40,12 @@ def token_pieces(
     """
     path = path or default_path()
 
+    @tidy
     def each(batches):
         vocab = WordIds(path)
         for batch in batches:
             for b in blocks(batch):
-                ids, counts = vocab.ids(b.column(1).to_pylist())
+                ids, counts = vocab.ids(b.column(1))
                 own = b.column(0)
                 # the end id after each document
                 full = np.full(len(ids) + len(counts), end_id, np.uint32)
@@ -97,33 +98,24 @@ def best_fit(counts: np.ndarray) -> list[tuple[dict[int, int], int]]:
     return [x for group in open_.values() for x in group]
 
 
-def _fillings(counts: np.ndarray, room: int, most: int, waste: int) -> list[dict[int, int]]:
-    """Undominated fillings of ``room``, by rising waste, at most ``most``, none of more than ``waste``.
+class _Steps:
+    """What is left of the steps that a search may make."""
 
-    Fillings of one to four pieces are looked at, all but the last piece from
-    those that are there, the last one the largest that then fits; and the one
-    of the largest that fits, again and again.  A filling is dominated if a
-    piece that is there could stand in for two of its pieces.
-    """
+    def __init__(self, n: int) -> None:
+        self.left = n
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def _likely(counts: np.ndarray, room: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, pieces) of fillings that waste little: up to three pieces that are there and the largest that then fits."""
     fits = np.flatnonzero(counts[: room + 1])[::-1]
-    if not len(fits):
-        return [{}] if room <= waste else []
     # the largest length that is there, up to each size
     upto = np.maximum.accumulate(np.where(counts[: room + 1] > 0, np.arange(room + 1), 0))
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-
-    def take(heads: np.ndarray) -> None:
-        """heads: rows of pieces in falling order; completes each by its last piece."""
-        rest = room - heads.sum(1)
-        heads, rest = heads[rest >= 0], rest[rest >= 0]
-        last = np.minimum(upto[rest], upto[heads[:, -1]]) if heads.shape[1] else upto[rest]
-        over = rest - last
-        for i in np.argsort(over, kind="stable")[: 4 * most].tolist():
-            items = (*heads[i].tolist(), *([int(last[i])] if last[i] else []))
-            found.append((int(over[i]), len(items), items))
-
-    take(np.empty((1, 0), np.int64))
-    for width, tops in ((1, (2048,)), (2, (48, 2048)), (3, (12, 12, 512))):
+    found: list[tuple[int, tuple[int, ...]]] = []
+    for tops in ((), (2048,), (48, 2048), (12, 12, 512)):
         if found and min(found)[0] == 0:
             break
         heads = np.empty((1, 0), np.int64)
@@ -131,28 +123,53 @@ def _fillings(counts: np.ndarray, room: int, most: int, waste: int) -> list[dict
             few = fits[:n] if len(fits) <= n else np.unique(np.concatenate((fits[: n // 2], fits[:: max(1, len(fits) // (n // 2))])))[::-1]
             heads = np.concatenate([np.repeat(heads, len(few), 0), np.tile(few, len(heads))[:, None]], 1)
         heads = heads[(np.diff(heads, axis=1) <= 0).all(1)]
-        if len(heads):
-            take(heads)
-    fill, left, over = [], counts[: room + 1].copy(), room
-    while over and (at := np.flatnonzero(left[: over + 1])).size:
-        x = int(at[-1])
-        n = int(min(left[x], over // x))
-        fill += [x] * n
-        over -= n * x
-        left[x] = 0
-    found.append((over, len(fill), tuple(fill)))
-    out, seen = [], set()
-    for over, _, items in sorted(found):
-        if over > waste or items in seen or len(out) == most:
-            continue
-        seen.add(items)
+        rest = room - heads.sum(1)
+        heads, rest = heads[rest >= 0], rest[rest >= 0]
+        last = np.minimum(upto[rest], upto[heads[:, -1]]) if heads.shape[1] else upto[rest]
+        over = rest - last
+        for i in np.argsort(over, kind="stable")[:LIKELY].tolist():
+            found.append((int(over[i]), (*heads[i].tolist(), *([int(last[i])] if last[i] else []))))
+    return sorted(found, key=lambda f: (f[0], len(f[1])))
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, steps: _Steps):
+    """Every undominated filling of ``room`` that wastes at most ``waste``, the likely ones first.
+
+    A filling is dominated if a piece that is there still fits beside it, or
+    could stand in for two of its pieces.  The likely fillings are only an
+    order to begin with: an enumeration of all follows.
+    """
+    lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    there = [int(counts[x]) for x in lengths]
+    after = [0] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        after[k] = after[k + 1] + lengths[k] * there[k]
+
+    def undominated(pattern: dict[int, int], over: int) -> bool:
+        if any(x <= over and pattern.get(x, 0) < n for x, n in zip(reversed(lengths), reversed(there))):
+            return False
+        some = [x for x, k in pattern.items() for _ in range(min(k, 2))]
+        return not any(some[i] + some[j] <= room and counts[some[i] + some[j]] > pattern.get(some[i] + some[j], 0) for i in range(len(some)) for j in range(i))
+
+    def enumerate_(first: int, left: int, chosen: dict[int, int]):
+        for k in range(first, len(lengths)):
+            if left - after[k] > waste or not steps.take():
+                break
+            x = lengths[k]
+            for n in range(min(there[k], left // x), 0, -1):
+                yield from enumerate_(k + 1, left - n * x, chosen | {x: n})
+        if left <= waste and undominated(chosen, left):
+            yield chosen
+
+    seen = set()
+    for over, items in _likely(counts, room):
         pattern = {x: items.count(x) for x in items}
-        if any(counts[x] < k for x, k in pattern.items()):
-            continue
-        if len(items) <= 4 and any(items[i] + items[j] <= room and counts[items[i] + items[j]] for i in range(len(items)) for j in range(i)):
-            continue
-        out.append(pattern)
-    return out
+        if over <= waste and all(counts[x] >= k for x, k in pattern.items()) and frozenset(pattern.items()) not in seen and undominated(pattern, over):
+            seen.add(frozenset(pattern.items()))
+            yield pattern
+    for pattern in enumerate_(0, room, {}):
+        if frozenset(pattern.items()) not in seen:
+            yield pattern
 
 
 def least_bins(counts: np.ndarray) -> int:
@@ -167,50 +184,55 @@ def least_bins(counts: np.ndarray) -> int:
     return int((alone + large + more).max())
 
 
-def bin_completion(counts: np.ndarray, nodes: int = NODES, branches: int = BRANCHES) -> tuple[list[tuple[dict[int, int], int]], bool]:
-    """Patterns that pack the histogram in as few bins as were found, and whether that is the least possible."""
+def bin_completion(counts: np.ndarray, nodes: int = NODES) -> tuple[list[tuple[dict[int, int], int]], bool]:
+    """Patterns that pack the histogram in as few bins as were found, and whether that is proved the least possible.
+
+    Around the largest piece left every undominated filling is tried, used as
+    often as it can be and then fewer times; a branch ends once its waste is
+    more than a better solution could have.  ``nodes`` alone ends the search early.
+    """
     cap = len(counts) - 1
     total = int((counts * np.arange(cap + 1)).sum())
-    best = best_fit(counts)
-    bound = least_bins(counts)
-    while nodes > 0 and (bins := sum(t for _, t in best)) > bound:
+    best, bound, steps = best_fit(counts), least_bins(counts), _Steps(nodes)
+
+    def options(left: np.ndarray, spare: int):
+        """(pattern, times, waste) around the largest piece of ``left``."""
+        top = int(np.flatnonzero(left)[-1])
+        left[top] -= 1
+        found = fillings(left.copy(), cap - top, spare, steps)
+        left[top] += 1
+        for fill in found:
+            pattern = {**fill, top: fill.get(top, 0) + 1}
+            waste = cap - sum(x * k for x, k in pattern.items())
+            most = min(int(left[x]) // k for x, k in pattern.items())
+            for times in range(min(most, spare // waste) if waste else most, 0, -1):
+                yield pattern, times, waste * times
+
+    while (bins := sum(t for _, t in best)) > bound:
         slack = (bins - 1) * cap - total
-        better = None
-        stack = [(counts.copy(), [], 0, None)]
-        while stack and nodes > 0:
-            left, done, wasted, options = stack.pop()
-            if options is None:
-                large = np.flatnonzero(left)
-                if not len(large):
+        better, stack = None, [(counts.copy(), [], 0, None)]
+        while stack:
+            left, done, wasted, more = stack.pop()
+            if more is None:
+                if not left.any():
                     better = done
                     break
-                top = int(large[-1])
-                left[top] -= 1
-                options = _fillings(left, cap - top, branches, slack - wasted)
-                left[top] += 1
-                options = iter([(top, f) for f in options])
-            nodes -= 1
-            step = next(options, None)
+                more = options(left, slack - wasted)
+            if not steps.take():
+                break
+            step = next(more, None)
             if step is None:
                 continue
-            stack.append((left, done, wasted, options))
-            top, fill = step
-            pattern = dict(fill)
-            pattern[top] = pattern.get(top, 0) + 1
-            waste = cap - sum(x * k for x, k in pattern.items())
-            times = min(int(left[x]) // k for x, k in pattern.items())
-            if waste:
-                times = min(times, (slack - wasted) // waste)
-            if times < 1:
-                continue
+            stack.append((left, done, wasted, more))
+            pattern, times, waste = step
             now = left.copy()
             for x, k in pattern.items():
                 now[x] -= k * times
-            stack.append((now, [*done, (pattern, times)], wasted + waste * times, None))
+            stack.append((now, [*done, (pattern, times)], wasted + waste, None))
         if better is None:
-            break
+            return best, steps.left >= 0
         best = better
-    return best, sum(t for _, t in best) == bound
+    return best, True
 
 
 def _table(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -231,16 +253,18 @@ def _table(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (``id``, ``piece``, ``length`` and any other columns).
+    """Adds sequence_id, offset and optimal to pieces (``id``, ``piece``, ``length`` and any other columns).
 
     Every piece of 1 to ``capacity`` tokens is placed; sequences are filled from
     offset 0 without gaps.  Repeated rows are placed as often as they come.
+    ``optimal`` says, the same in all rows, whether no packing in fewer
+    sequences exists; it is false where the search ended before that was known.
     """
     spark = pieces.sparkSession
     hist = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         hist[r["length"]] = r["count"]
-    patterns, _ = bin_completion(hist, nodes)
+    patterns, optimal = bin_completion(hist, nodes)
     table = spark.sparkContext.broadcast(_table(patterns))  # bounded by the capacity: each pattern uses some length up
     # number the pieces of each length: cells are counted, then numbered on their own
     salts = max(64, math.ceil(int(hist.sum()) / 50_000))
@@ -267,11 +291,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return numbered.select(*names, "nth").mapInArrow(each, f"{out}, sequence_id long, offset long")
+    return numbered.select(*names, "nth").mapInArrow(each, f"{out}, sequence_id long, offset long").withColumn("optimal", F.lit(optimal))
 
 
 def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, optimal.
 
     Null and empty texts are a piece of one end id.  Null ids are kept, repeated
     rows are packed as often as they come, an empty table gives no rows.  Other

@@ -6,6 +6,9 @@ it, so a text's ids are those of its white-space separated words in a row.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -15,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 
 #: str.split() also splits at these, which Unicode does not call white space.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
-#: Characters of text handled at a time, and words a process remembers.
-BLOCK_CHARS, WORDS_KEPT = 1_000_000, 300_000
+#: Characters of text handled at a time, and words and parts of words that a process remembers.
+BLOCK_CHARS, WORDS_KEPT, PARTS_KEPT = 4_000_000, 500_000, 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -32,6 +36,25 @@ def words(text: str | None) -> list[str]:
     return text.split()
 
 
+def tidy(each):
+    """A generator function that gives freed memory back to the system when it ends, since Python workers outlive their tasks."""
+
+    @functools.wraps(each)
+    def tidied(*args):
+        try:
+            yield from each(*args)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -96,69 +119,180 @@ class PartEncoder:
         return self.whole.encode(part, add_special_tokens=False).ids
 
 
-class WordIds(dict):
-    """Word to its number here; ids of all words lie flat in one array."""
+class Split:
+    """The white-space separated words of a column of texts, as places in its bytes.
 
-    def __init__(self, path: str) -> None:
-        self.encode = PartEncoder(path)
-        self.parts: dict[str, list[int]] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.first, self.count, self.end, self.known = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0, 0
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
-
-    def _settle(self) -> None:
-        if not self.fresh:
-            return
-        if len(self.parts) > WORDS_KEPT:
-            self.parts.clear()
-        known, got = self.parts, []
-        for w in self.fresh:
-            ids: list[int] = []
-            for p in parts(w):
-                x = known.get(p)
-                if x is None:
-                    x = known[p] = self.encode(p)
-                ids = ids + x if ids else x
-            got.append(ids)
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(counts.sum())
-        while self.end + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while self.known + len(got) > len(self.first):
-            self.first = np.concatenate((self.first, np.empty_like(self.first)))
-            self.count = np.concatenate((self.count, np.empty_like(self.count)))
-        self.flat[self.end : self.end + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.count[self.known : self.known + len(got)] = counts
-        self.first[self.known : self.known + len(got)] = self.end + np.cumsum(counts) - counts
-        self.known += len(got)
-        self.end += total
-        self.fresh = []
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    ``data`` holds the bytes of all texts (and eight zeros), ``starts`` and
+    ``ends`` the words' places there, ``sizes`` how many words each text has.
+    Null texts have none.  ``controls`` are the characters U+001C to U+001F,
+    which str.split() takes for white space and Unicode does not.
+    """
+
+    def __init__(self, column: pa.Array, controls: bool = False) -> None:
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        n = int(edges[-1] - edges[0])
+        self.data = np.zeros(n + 8, np.uint8)
+        if n:
+            self.data[:n] = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        self.edges = edges - edges[0]
+        word = _IN_WORD[int(controls)][self.data]
+        for lead, second, third in _WIDE_SPACES:
+            at = np.flatnonzero(self.data[:n] == lead)
+            at = at[np.isin(self.data[at + 1], second)]
+            if third:
+                at = at[np.isin(self.data[at + 2], third)]
+                word[at + 2] = False
+            word[at] = word[at + 1] = False
+        word[n:] = False
+        begins = word[:n].copy()
+        begins[1:] &= ~word[: n - 1] if n else True
+        stops = word[:n] & ~word[1 : n + 1]
+        inner = self.edges[(self.edges > 0) & (self.edges < n)]  # a word ends with its text
+        begins[inner] = word[inner]
+        stops[inner - 1] = word[inner - 1]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        self.sizes = np.diff(np.searchsorted(self.starts, self.edges))
+
+    def _eights(self) -> np.ndarray:
+        """Eight bytes from each place on, as one number."""
+        return np.ndarray((len(self.data) - 7,), np.uint64, self.data, strides=(1,))
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word."""
+        eights, length = self._eights(), self.ends - self.starts
+        h = length.astype(np.uint64) * _MIX[0]
+        live, at, rest = np.arange(len(length)), self.starts, length
+        for _ in range(_LONG // 8):
+            h[live] = _mixed(h[live] ^ (eights[at] & _LOW_BYTES[np.minimum(rest, 8)]))
+            more = rest > 8
+            if not more.any():
+                break
+            live, at, rest = live[more], at[more] + 8, rest[more] - 8
+        for i in np.flatnonzero(length > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+        return h
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word, place of each number's first word, its hash); equal words have one number, no others do."""
+        h = self.hashes()
+        coded = pa.array(h).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        eights, length = self._eights(), self.ends - self.starts
+        like = first[number]
+        same = length == length[like]
+        live, at, to, rest = np.arange(len(length)), self.starts, self.starts[like], length
+        while same.all() and len(live):
+            same[live] = (eights[at] ^ eights[to]) & _LOW_BYTES[np.minimum(rest, 8)] == 0
+            more = (rest > 8) & (live != like[live])
+            live, at, to, rest = live[more], at[more] + 8, to[more] + 8, rest[more] - 8
+        if not same.all():  # two words of one hash
+            known: dict[bytes, int] = {}
+            number = np.fromiter((known.setdefault(w, len(known)) for w in map(self.word, range(len(length)))), np.int64, len(length))
+            first = np.empty(len(known), np.int64)
+            first[number[::-1]] = np.arange(len(number))[::-1]
+        return number, first, h[first]
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_LOW_BYTES = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
+#: Words longer than so many bytes are hashed one by one.
+_LONG = 1024
+_IN_WORD = [np.array([not (9 <= b <= 13 or b == 32 or (odd and 28 <= b <= 31)) for b in range(256)]) for odd in (False, True)]
+#: Unicode white space beyond ASCII, as UTF-8: first byte, second bytes, third bytes.
+_WIDE_SPACES = ((0xC2, [0x85, 0xA0], []), (0xE1, [0x9A], [0x80]), (0xE2, [0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, [0x81], [0x9F]), (0xE3, [0x80], [0x80]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+class WordIds:
+    """Ids of texts, word by word.
+
+    A process remembers words of up to 16 bytes that it has met, in arrays
+    sorted by hash, whatever task it met them in; words used least lately are
+    forgotten.  A hit is one only if all bytes agree.
+    """
+
+    _shared: dict = {}
+
+    def __new__(cls, path: str):
+        if path not in cls._shared:
+            made = cls._shared[path] = super().__new__(cls)
+            made.encode, made.parts, made.block = PartEncoder(path), {}, 0
+            #: hash, first and second eight bytes, length, first id, number of ids, block of the last use
+            made.known = [np.empty(0, np.uint64) for _ in range(3)] + [np.empty(0, np.int64) for _ in range(4)]
+            made.flat = np.empty(0, np.uint32)
+        return cls._shared[path]
+
+    def _of_word(self, word: bytes) -> list[int]:
+        ids: list[int] = []
+        for p in parts(word.decode()):
+            got = self.parts.get(p)
+            if got is None:
+                got = self.parts[p] = self.encode(p)
+            ids = ids + got if ids else got
+        return ids
+
+    def _forget(self) -> None:
+        """Keeps the half used last."""
+        stamp = self.known[6]
+        keep = np.sort(np.argsort(-stamp, kind="stable")[: WORDS_KEPT // 2])
+        self.known = [x[keep] for x in self.known]
+        first, count = self.known[4:6]
+        ends = np.cumsum(count)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
+        self.known[4] = ends - count
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
-        if len(self) > WORDS_KEPT:
-            self._reset()
-        numbers, sizes = [], []
-        for t in texts:
-            w = words(t)
-            numbers.append(np.fromiter(map(self.__getitem__, w), np.int64, len(w)))
-            sizes.append(len(w))
-        self._settle()
-        at = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        count = self.count[at]
+        if len(self.known[0]) > WORDS_KEPT:
+            self._forget()
+        if len(self.parts) > PARTS_KEPT:
+            self.parts = {}
+        self.block += 1
+        split = Split(column)
+        number, first, h = split.distinct()
+        at = split.starts[first]
+        length = split.ends[first] - at
+        eights = split._eights()
+        one = eights[at] & _LOW_BYTES[np.minimum(length, 8)]
+        two = eights[np.minimum(at + 8, len(eights) - 1)] & _LOW_BYTES[np.clip(length - 8, 0, 8)]
+        place = np.minimum(np.searchsorted(self.known[0], h), len(self.known[0]) - 1)
+        hit = length <= 16
+        if len(self.known[0]):
+            for mine, theirs in zip((h, one, two, length), self.known):
+                hit &= theirs[place] == mine
+        else:
+            hit[:] = False
+        self.known[6][place[hit]] = self.block
+        fresh = np.flatnonzero(~hit)
+        got = [self._of_word(split.word(i)) for i in first[fresh].tolist()]
+        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32)))
+        count_of, first_of = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        count_of[hit], first_of[hit] = self.known[5][place[hit]], self.known[4][place[hit]]
+        count_of[fresh] = np.fromiter(map(len, got), np.int64, len(got))
+        first_of[fresh] = len(self.flat) + np.cumsum(count_of[fresh]) - count_of[fresh]
+        count = count_of[number]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.arange(total) + np.repeat(self.first[at] - ends + count, count)]
-        upto = np.concatenate(([0], ends))[np.cumsum(sizes)] if sizes else np.empty(0, np.int64)
+        out = flat[np.arange(total) + np.repeat(first_of[number] - ends + count, count)]
+        upto = np.concatenate(([0], ends))[np.cumsum(split.sizes)]
+        fresh = fresh[length[fresh] <= 16]
+        if len(fresh):
+            new = (h[fresh], one[fresh], two[fresh], length[fresh], first_of[fresh], count_of[fresh], np.full(len(fresh), self.block))
+            known = [np.concatenate(x) for x in zip(self.known, new)]
+            order = np.argsort(known[0])
+            self.known, self.flat = [x[order] for x in known], flat
         return out, np.diff(upto, prepend=0)
 
 
