@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from podium.llm.bpe import _said, _spread, _squeezed
-from podium.llm.words import Split, blocks
+from podium.llm.words import Split, blocks, give_back, tidy
 from podium.plans.scratch import Scratch
 
 THRESHOLD = 0.8
@@ -43,13 +43,13 @@ BUCKETS = 1 << 23
 #: Bits of the filters that keep lines and words without candidates from travelling.
 FILTER = 1 << 24
 LAST_ID = (1 << 63) - 1
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 #: Lists of lines that share a word, up to which all pairs are looked at.
 SHORT_LIST = 64
 #: Occurrences of a word (of its bucket) from which its lines are split by signatures.
 HOT_WORD = 1 << 17
 #: Rows that share a shuffled bucket, about, and rows that a task gathers before it sends them.
-BUCKET_ROWS, SENT_ROWS = 500_000, 1_000_000
+BUCKET_ROWS, SENT_ROWS = 250_000, 500_000
 #: Lines of so few words have a sketch of 64 bits, others of 128.
 SHORT_LINE = 48
 
@@ -63,6 +63,7 @@ def _lower(column: pa.Array) -> pa.Array:
     return pa.array([t.lower() for t in column.to_pylist()], pa.large_string())
 
 
+@tidy
 def _block_table(batches):
     """A row a block: the document id, number and distinct words of each line with words."""
     part, nth = TaskContext.get().partitionId(), 0
@@ -121,6 +122,7 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
+@tidy
 def _line_keys(batches):
     """128 bits for each line's set, whatever its order."""
     for block, ids, lines, sizes, numbers, h, _ in _unpacked(batches):
@@ -147,6 +149,7 @@ CHUNK = 1 << 17
 def _counts(threshold: float):
     """(chunk, counts, prefixes): occurrences by bucket, and the prefix words of all lines with the first chunk."""
 
+    @tidy
     def each(batches):
         total, prefixes = np.zeros(BUCKETS, np.int32), 0
         for _, _, _, sizes, numbers, h, _ in _unpacked(batches):
@@ -293,6 +296,7 @@ def _prefixes(rarity, threshold: float, n_buckets: int, of_lines=None, of_words=
         blobs = [_packed({c: x[i:j] for c, x in rows.items()}) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
+    @tidy
     def each(batches):
         rank = rarity.value
         bits = [None if f is None else np.unpackbits(f.value, bitorder="little").view(bool) for f in (of_lines, of_words)]
@@ -391,7 +395,7 @@ def _candidates(threshold: float, late: bool):
             upto = np.cumsum(high - low)
             i = 0
             while i < len(rest):
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 1_000_000)))
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 400_000)))
                 many = (high - low)[i:j]
                 x = np.repeat(rest[i:j], many)
                 y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[i:j], many)
@@ -425,6 +429,8 @@ def _candidates(threshold: float, late: bool):
                 least = np.where(rows["pos"][x] < 0, 1, _shared(np.minimum(rows["n"][x], rows["n"][y])))
                 out.append((rows["id"][x], rows["line"][x], rows["id"][y], rows["line"][y], np.full(len(x), hub), least.astype(np.int32)))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.bool_, np.int32)]
+        del rows, out
+        give_back()
         return pa.table(dict(zip(("x_id", "x_line", "y_id", "y_line", "hub", "least"), map(pa.array, cols))))
 
     return each
@@ -454,6 +460,7 @@ def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scr
     """(id, line) of the x of pairs whose word sets are as similar as the threshold; and (id, line, words) of the lines of pairs, at least."""
     shared = _filter(pairs.select(_bit("x_id", "x_line").alias("bit")).union(pairs.select(_bit("y_id", "y_line").alias("bit"))))
 
+    @tidy
     def fetch(batches):
         wanted = np.unpackbits(shared.value, bitorder="little").view(bool)
         for _, ids, lines, sizes, numbers, h, _ in _unpacked(batches):
@@ -505,7 +512,7 @@ def _removed(keyed: DataFrame, threshold: float) -> DataFrame:
     """(id, line) as ``removed_lines``, the id being ``key``, which no two rows share."""
     spark = keyed.sparkSession
     scratch = Scratch(spark, "lines")
-    table = scratch.table(keyed.select("key", "text").mapInArrow(_block_table, TABLE), "blocks")
+    table = scratch.table(keyed.select("key", "text").mapInArrow(_block_table, TABLE), "blocks", "lz4_raw")  # the large columns are squeezed already
     # equal sets: all but the first go
     keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int, block long, at int"), "keys")
     firsts = keys.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("set_a", "set_b", "first")
@@ -522,7 +529,7 @@ def _removed(keyed: DataFrame, threshold: float) -> DataFrame:
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
     # lines that share a prefix word, the first of equal sets alone; a block's list is as long as the block at most
     skips = equal.groupBy("block").agg(F.collect_list("at").alias("skip"))
-    firsts = scratch.table(table.join(skips, "block", "left"), "firsts")
+    firsts = scratch.table(table.join(skips, "block", "left"), "firsts", "lz4_raw")
     scratch.drop(table)
     pairs = scratch.table(_pairs(firsts.mapInArrow(_prefixes(rarity, threshold, n_buckets), "bucket long, rows binary"), threshold, False), "pairs")
     scratch.release()

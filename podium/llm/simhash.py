@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from podium.llm.words import give_back, tidy
 from podium.plans.components import connected_components
 from podium.plans.scratch import Scratch
 
@@ -53,6 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp long): the fingerprint's bits as a signed long."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    @tidy
     def each(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
@@ -138,8 +140,14 @@ def _collide(fps: np.ndarray, used: np.ndarray, bits: int, half: int, fixed: int
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(src, dst): enough of the pairs of distinct fingerprints within ``radius`` to join all that are linked."""
-    half = (radius + 1) // 2
+    """(src, dst): enough of the pairs of distinct fingerprints within ``radius`` to join all that are linked.
+
+    ``radius`` is even: links are thinned among all pairs that emit a common
+    variant, which for an odd radius would hold pairs one bit further apart.
+    """
+    if radius % 2:
+        raise ValueError("an odd radius is not supported")
+    half = radius // 2
     bits = prefix_bits(n, half)
     masks = _ball(bits, half)
     head = F.shiftrightunsigned("fp", 64 - bits)
@@ -163,29 +171,33 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             x, y = np.concatenate(a), np.concatenate(b)
             keep = _forest(x, y, len(fp))
             a, b = fp[x[keep]].view(np.int64), fp[y[keep]].view(np.int64)
+        give_back()
         return pa.table({"src": pa.array(np.array(a, np.int64)), "dst": pa.array(np.array(b, np.int64))})
 
     found = dealt.groupBy("prefix").applyInArrow(each, "src long, dst long")
-    apart = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().where(apart <= radius)
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _roots(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, root): each distinct fingerprint's component, named by one of its fingerprints."""
+    distinct = scratch.table(fps.select("fp").distinct(), "distinct")
+    comps = connected_components(scratch.table(links(distinct, distinct.count(), radius), "links"))
+    return scratch.table(distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")), "roots")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id): documents linked by fingerprints at ``radius`` or fewer differing bits.
 
     ``component_id`` is the least id reachable.  Null and wordless texts have
-    fingerprint zero and link like any other; repeated rows are returned as
-    often as they come; a null id is never a component's name, and a component
-    of null ids alone has none; an empty table gives no rows.  Other columns are
-    not read.
+    fingerprint zero and link like any other; repeated rows, and rows that share
+    an id, are returned as often as they come, each with its own text's group; a
+    null id is never a component's name, and a component of null ids alone has
+    none; an empty table gives no rows.  Other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.table(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    fps = scratch.table(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    edges = scratch.table(links(fps, fps.count(), radius), "links")
-    comps = connected_components(edges)
-    labelled = fps.join(comps, fps.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    labelled = scratch.table(labelled, "labelled")
+    least = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    labelled = scratch.table(least.join(_roots(docs, radius, scratch), "fp"), "labelled")
     named = scratch.table(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     of_fp = scratch.table(labelled.join(named, "root").select("fp", "component_id"), "of_fp")
     return docs.join(of_fp, "fp").select(
@@ -193,5 +205,26 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row of each group of ``simhash_groups``: that of the least id, null ids last.
+
+    Rows are told apart by themselves, so of rows that share an id each stays or
+    goes with its own group; of equal ids in one group one row stays.  Columns of
+    any name may be there besides; an empty table gives no rows.
+    """
+    scratch = Scratch(df.sparkSession, "near-copies")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = scratch.table(df.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    ident, text = (names[df.columns.index(c)] for c in (id_col, text_col))
+    # a row's number stands for its id here
+    fps = scratch.table(fingerprints(rows, "row", text, shingle), "fingerprints")
+    order = F.struct(F.col(ident).isNull(), F.col(ident), F.col("row"))
+    of_row = fps.withColumnRenamed("id", "row").join(rows.select("row", order.alias("first")), "row")
+    first = of_row.groupBy("fp").agg(F.min("first").alias("first"))
+    kept = first.join(_roots(fps, radius, scratch), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = scratch.table(kept.select(F.col("first.row").alias("row")), "kept")
+    return rows.join(kept, "row", "left_semi").select(*names).toDF(*df.columns)
+
+
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
