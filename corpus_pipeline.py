@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from podium.llm.lines import line_dedup
 from podium.llm.packing import packed_documents
-from podium.llm.simhash import simhash_groups
+from podium.llm.simhash import without_near_copies
 from podium.llm.toxicity import THRESHOLD, toxicity
 from podium.plans.scratch import Scratch
 
@@ -18,7 +18,8 @@ from podium.plans.scratch import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels, carry=True).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    scored = toxicity(docs, labels, carry=True)
+    return scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id in each SimHash group; rows that share no id with any group (null ids) stay."""
-    groups = simhash_groups(docs)
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the least id in each SimHash group; rows that share an id go by their own texts."""
+    return without_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
