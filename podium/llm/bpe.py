@@ -15,10 +15,11 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from podium.llm.words import PartEncoder, blocks, default_path, parts, tokenizer, words
+from podium.llm.words import PartEncoder, Split, blocks, default_path, parts, tidy, tokenizer
 
 #: Bytes of text in a block.  A block's words and numbers are held by one task.
 BLOCK_BYTES = 32_000_000
@@ -34,28 +35,30 @@ def _numbered(batches):
     """(block, batch, numbers of the texts' words in a row, texts' word counts, how many words come again, words' parts, parts).
 
     Words that come again are numbered by falling frequency, then the others in
-    the order they come, which need not be written down.  A block's name follows from the partition and its place there, so both
-    passes over the same files give the same blocks.
+    the order they come, which need not be written down.  A block's name is a
+    digest of its ids and texts, its partition and its place there: both passes
+    give a block the same name only if they read the same rows in it.
     """
     part, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
         for b in blocks(batch, chars=BLOCK_BYTES):
-            index, of_parts = _Numbers(), _Numbers()
-            rows = []
-            for t in b.column(1).to_pylist():
-                w = words(t)
-                rows.append(np.fromiter(map(index.__getitem__, w), np.uint32, len(w)))
-            flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-            times = np.bincount(flat, minlength=len(index))
+            split = Split(b.column(1))
+            name = xxhash.xxh3_64(np.array([part, nth, b.num_rows, b.column(1).null_count], np.int64).tobytes())
+            name.update(str(b.column(0).to_pylist()).encode())
+            name.update(split.edges.tobytes())
+            name.update(split.data.tobytes())
+            flat, first, _ = split.distinct()
+            times = np.bincount(flat, minlength=len(first))
             order = np.lexsort((-times, times == 1))
             number = np.empty(len(order), np.uint32)
             number[order] = np.arange(len(order))
-            by_number = list(index)
-            made = [[of_parts[p] for p in parts(by_number[i])] for i in order.tolist()]
-            yield part << 32 | nth, b, number[flat], [len(r) for r in rows], int((times > 1).sum()), made, of_parts
+            of_parts = _Numbers()
+            made = [[of_parts[p] for p in parts(split.word(i).decode())] for i in first[order].tolist()]
+            yield name.intdigest() - (1 << 63), b, number[flat], split.sizes, int((times > 1).sum()), made, of_parts
             nth += 1
 
 
+@tidy
 def _words_of(batches):
     for block, *_, of_parts in _numbered(batches):
         n = len(of_parts)
@@ -97,6 +100,7 @@ def _said(numbers: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+@tidy
 def _texts_of(batches):
     for block, b, flat, sizes, again, made, of_parts in _numbered(batches):
         counts = np.fromiter(map(len, made), np.int64, len(made))
@@ -133,7 +137,7 @@ def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish
 
     def each(text: pa.Table, asked: pa.Table) -> pa.Table:
         if text.num_rows != 1 or asked.num_rows != text["n_parts"][0].as_py():
-            raise RuntimeError("a block's words do not match its texts: the input must not change between two reads")
+            raise RuntimeError("a block's words do not match its texts: rows must come the same way in two reads of the input")
         part_ids: list = [None] * asked.num_rows
         for at, x in zip(asked["at"].to_pylist(), asked["ids"].to_pylist()):
             part_ids[at] = np.frombuffer(x, "<u2" if narrow else "<u4").tolist()
@@ -187,11 +191,7 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     side, once for each distinct word of a block.
     """
     path = path or default_path()
-    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
-    table = [""] * (max(vocab.values()) + 1)
-    for p, i in vocab.items():
-        table[i] = p
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast({r["id"]: r["piece"] for r in pieces(df.sparkSession, path).collect()})
 
     def finish(doc_ids, rows, ids):
         piece = shared.value
