@@ -1,12 +1,12 @@
 """Embedding near-duplicates: spherical k-means cells and blocked cosine products.
 
 Equal vectors are brought down to one with a count.  A vector is at home in the
-cell of its nearest centroid and a guest in cells whose centroid is almost as
-near (``margin``); each cell compares those at home with all it holds.  With
-margin 2 * sqrt(2 - 2 * threshold) no link can be lost, whatever the vectors;
-the smaller default loses next to none (tests measure it against brute force).
-Cells larger than a block are compared block by block, so that a hot cell is
-many tasks.
+cell of its nearest centroid.  Two linked vectors with different homes lie on
+either side of the plane halfway between these centroids and are at most
+``sqrt(2 - 2 * threshold)`` apart, so one of them is within half of that of the
+plane; it is a guest in the other's cell.  Each cell compares those at home with
+all it holds, so no link is lost, whatever the vectors.  Cells larger than a
+block are compared block by block, so that a hot cell is many tasks.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from podium.llm.vectors import lengths, matrix, usable
 from podium.plans.components import connected_components
 from podium.plans.scratch import Scratch
 
-THRESHOLD, MARGIN = 0.95, 0.2
+THRESHOLD = 0.95
 #: Documented bounds: rows that centroids are fitted on, and cells.
-FIT_ROWS, MAX_CELLS, PER_CELL = 20_000, 4_096, 512
+FIT_ROWS, MAX_CELLS, PER_CELL = 20_000, 4_096, 2_048
 BLOCK = 2_048
 
 MADE = "id long, links long, other long"
@@ -45,7 +45,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(shared, margin: float):
+def _visits(near: np.ndarray, home: np.ndarray, centroids: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a vector is a guest of (or at home in) each cell; ``near`` are its cosines with the centroids."""
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+    gap = near[np.arange(len(near)), home][:, None] - near
+    return gap <= np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 * apart[home] + 1e-9
+
+
+def _assign(shared, threshold: float):
     """(id, m, home, cells, v) with v of unit length."""
 
     def each(batches):
@@ -54,14 +61,14 @@ def _assign(shared, margin: float):
             if b.num_rows:
                 x = _unit(matrix(b.column(2)))
                 near = x @ c.T
-                best = near.max(1)
-                cells = [np.flatnonzero(row >= top - margin).astype(np.int32) for row, top in zip(near, best)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.argmax(1).astype(np.int32)), pa.array(cells, pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "m", "home", "cells", "v"])
+                home = near.argmax(1)
+                cells = [np.flatnonzero(row).astype(np.int32) for row in _visits(near, home, c, threshold)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "m", "home", "cells", "v"])
 
     return each
 
 
-def _compare(shared, margin: float, threshold: float):
+def _compare(shared, threshold: float):
     """Links of a block of those at home (side 0) with a block of all in the cell (side 1)."""
 
     def each(key, group):
@@ -79,7 +86,11 @@ def _compare(shared, margin: float, threshold: float):
             i, j = rows[i], right[j]
             # a pair that two cells see counts once: both at home here by the order of ids, else in the lesser cell that sees it
             same = home[j] == cell
-            seen_there = (x[i] * centroids[home[j]]).sum(1) >= (x[i] @ centroids.T).max(1) - margin if len(i) and not same.all() else np.zeros(len(i), bool)
+            seen_there = np.zeros(len(i), bool)
+            if not same.all():
+                some = np.unique(i)
+                seen = _visits(x[some] @ centroids.T, home[some], centroids, threshold)
+                seen_there = seen[np.searchsorted(some, i), home[j]]
             use = np.where(same, ids[i] < ids[j], (home[j] > cell) | ~seen_there)
             i, j = i[use], j[use]
             np.add.at(links, i, m[j])
@@ -104,12 +115,13 @@ def _compare(shared, margin: float, threshold: float):
     return each
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row, by cosine of ``threshold`` or more in double precision.
 
     ``n_links`` counts the other vectors linked directly, equal ones included;
     ``component_id`` is the least id reachable, itself included; one row per
-    component is kept.  Rows whose vector is null, empty, all zero or holds null
+    component is kept.  Rows that share an id are vectors of their own.  Rows
+    whose vector is null, empty, all zero or holds null
     or non-finite components link with nothing, nor do rows with a null id
     (their component is null); vectors of unequal length never link; an empty
     table gives no rows.  Other columns are not read.
@@ -121,32 +133,35 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     keyed = scratch.table(every.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("v", F.when(F.col("fine"), F.col("v"))), "rows")
     group = [F.size("v").alias("dim"), F.xxhash64("v").alias("k1"), F.sha1(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("k2")]
     rows = keyed.where("fine").select("id", "v", *group)
-    reps = scratch.table(rows.groupBy("dim", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")), "distinct")
+    reps = scratch.table(rows.groupBy("dim", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("key", F.monotonically_increasing_id()), "distinct")
     made = None
     for dim in lengths(reps, "v"):
-        own = reps.where(F.col("dim") == dim).select(F.col("rep").alias("id"), "m", "v")
+        own = reps.where(F.col("dim") == dim).select(F.col("key").alias("id"), "m", "v")
         n = own.count()
         drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / n) + 1)
         sample = _unit(matrix(own.where(drawn).orderBy("id").select("v").toArrow()["v"]))
         k = max(1, min(MAX_CELLS, n // PER_CELL, len(sample) // 8))
         shared = spark.sparkContext.broadcast(fit_cells(sample, k) if len(sample) else np.zeros((1, dim)))
-        placed = scratch.table(own.mapInArrow(_assign(shared, margin), "id long, m long, home int, cells array<int>, v array<double>"), "placed")
+        placed = scratch.table(own.mapInArrow(_assign(shared, threshold), "id long, m long, home int, cells array<int>, v array<double>"), "placed")
         held = placed.select("id", "m", "home", F.explode("cells").alias("cell"), "v")
-        # blocks of each cell: at most MAX_CELLS counts come to the driver
-        sizes = {r["cell"]: r["n"] for r in held.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        parts = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 1) // BLOCK)) for c in range(k)]), F.col("cell") + 1)
-        held = held.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        left = held.where("home = cell").select("cell", F.col("block").alias("i"), others.alias("j"), F.lit(0).alias("side"), "id", "m", "home", "v")
-        right = held.select("cell", others.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "m", "home", "v")
-        part = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_compare(shared, margin, threshold), MADE)
+        # blocks of those at home and of all in each cell: at most MAX_CELLS counts come to the driver
+        sizes = {r["cell"]: (r["h"], r["n"]) for r in held.groupBy("cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("h"), F.count("*").alias("n")).collect()}
+        n_blocks = lambda at: F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(c, (1, 1))[at] // BLOCK))) for c in range(k)]), F.col("cell") + 1)
+        held = held.withColumn("rows", n_blocks(0)).withColumn("cols", n_blocks(1))
+        block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = held.where("home = cell").select("cell", block("rows").alias("i"), all_("cols").alias("j"), F.lit(0).alias("side"), "id", "m", "home", "v")
+        right = held.select("cell", all_("rows").alias("i"), block("cols").alias("j"), F.lit(1).alias("side"), "id", "m", "home", "v")
+        part = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_compare(shared, threshold), MADE)
         made = part if made is None else made.unionByName(part)
     made = scratch.table(made if made is not None else spark.createDataFrame([], MADE), "links")
     counts = made.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(made.where("other is not null"), "id", "other")
+    labelled = scratch.table(reps.select("dim", "k1", "k2", "rep", "m", "key").join(comps, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("component", "key")), "labelled")
+    named = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_rep = scratch.table(
-        reps.select("dim", "k1", "k2", "rep", "m").join(counts, F.col("rep") == counts["id"], "left").join(comps, F.col("rep") == F.col("node"), "left")
-        .select("dim", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+        labelled.join(named, "root").join(counts, F.col("key") == counts["id"], "left")
+        .select("dim", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"),
         "of_rep",
     )
     linked = rows.select("id", "dim", "k1", "k2").join(of_rep, ["dim", "k1", "k2"]).select(F.col("id").alias(id_col), "n_links", "component_id")
