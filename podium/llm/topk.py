@@ -22,7 +22,7 @@ K, SCALE, PIVOTS = 5, 256, 32
 PIVOT_SAMPLE = 2_000
 CANDIDATE_BLOCK, QUERY_BLOCK, LEAST_BLOCK, WANTED_BLOCKS = 16_384, 8_192, 512, 32
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, vec_row long, score long"
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -41,10 +41,10 @@ def _scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
     return x.astype(np.int64) @ q.astype(np.int64)
 
 
-def search_block(q_ids, q, q_far, c_ids, c, c_far, k: int):
-    """The k best candidates of a block for each query: (query row, candidate row, score).
+def search_block(q_rows, q, q_far, c_rows, c_ids, c, c_far, k: int):
+    """The k best candidates of a block for each query: (query's place, candidate's place, score).
 
-    ``*_far`` are the pivot tables, pivots by rows.
+    ``*_far`` are the pivot tables, pivots by rows; a query's own row is no candidate.
     """
     norms = (c**2).sum(1)
     top = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
@@ -55,14 +55,14 @@ def search_block(q_ids, q, q_far, c_ids, c, c_far, k: int):
         q_norm = (q[i] ** 2).sum()
         # rounding of distances is far below this slack
         bound = (q_norm + norms - least**2) / 2 + 1e-7 * (q_norm + norms) + 1e-6
-        bound = np.where(c_ids == q_ids[i], -np.inf, bound)
+        bound = np.where(c_rows == q_rows[i], -np.inf, bound)
         order = np.argsort(-bound, kind="stable")
         order = order[np.isfinite(bound[order])]
         rows, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 64
         while at < len(order) and (len(rows) < k or bound[order[at]] >= scores[-1]):
             some = order[at : at + step]
             rows, scores = np.concatenate((rows, some)), np.concatenate((scores, _scores(q[i], c[some], exact)))
-            best = np.lexsort((c_ids[rows], -scores))[:k]
+            best = np.lexsort((c_rows[rows], c_ids[rows], -scores))[:k]
             rows, scores = rows[best], scores[best]
             at, step = at + step, step * 2
         out.append((np.full(len(rows), i), rows, scores))
@@ -75,42 +75,43 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
     Components become floor(scale * x).  Queries are rows whose id is divisible
     by ``every``; candidates all rows but the query's own, ties going to the
     lesser id.  Rows with a null id, a null or empty vector, or null or
-    non-finite components take no part; rows repeated in full count once;
-    vectors of unequal length are not compared; with fewer than k candidates all
+    non-finite components take no part; rows that share an id, or are repeated,
+    are queries and candidates of their own, each with its own ranks; vectors of
+    unequal length are not compared; with fewer than k candidates all
     are returned; an empty table gives no rows.  Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "topk")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    ints = scratch.table(rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")).distinct(), "ints")
+    ints = scratch.table(rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")).withColumn("row", F.monotonically_increasing_id()), "ints")
     found = None
     for dim in lengths(ints, "v"):
         own = ints.where(F.size("v") == dim)
         n, n_q = own.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
         if not n_q:
             continue
-        near = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, PIVOT_SAMPLE / n) + 1)
+        near = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, PIVOT_SAMPLE / n) + 1)
         sample = matrix(own.where(near).select("v").toArrow()["v"])
         sample = sample if len(sample) else matrix(own.limit(1).select("v").toArrow()["v"])
         shared = spark.sparkContext.broadcast(_pivots(sample, pivots))  # at most ``pivots`` rows
-        tabled = scratch.table(own.mapInArrow(_table(shared), "id long, v array<double>, far array<double>"), "pivot_table")
+        tabled = scratch.table(own.select("row", "id", "v").mapInArrow(_table(shared), "row long, id long, v array<double>, far array<double>"), "pivot_table")
         per = min(CANDIDATE_BLOCK, max(LEAST_BLOCK, n // WANTED_BLOCKS))
         c_blocks, q_blocks = -(-n // per), -(-n_q // QUERY_BLOCK)
-        c = tabled.select(F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "id", "v", "far")
-        q = tabled.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("q"), "id", "v", "far")
+        own_names = [F.col(x).alias(x) for x in ("row", "id", "v", "far")]  # the two sides must not share attributes
+        c = tabled.select(F.pmod(F.xxhash64("row"), F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), *own_names)
+        q = tabled.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int").alias("q"), "row", "id", "v", "far")
 
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-            q_ids, c_ids = left["id"].to_numpy(), right["id"].to_numpy()
-            i, j, score = search_block(q_ids, matrix(left["v"]), matrix(left["far"]).T, c_ids, matrix(right["v"]), matrix(right["far"]).T, k)
-            return pa.table({"query_id": pa.array(q_ids[i]), "vec_id": pa.array(c_ids[j]), "score": pa.array(score)})
+                return pa.table({c: pa.array([], pa.int64()) for c in ("query_row", "query_id", "vec_id", "vec_row", "score")})
+            i, j, score = search_block(left["row"].to_numpy(), matrix(left["v"]), matrix(left["far"]).T, right["row"].to_numpy(), right["id"].to_numpy(), matrix(right["v"]), matrix(right["far"]).T, k)
+            return pa.table({"query_row": left["row"].take(pa.array(i)), "query_id": left["id"].take(pa.array(i)), "vec_id": right["id"].take(pa.array(j)), "vec_row": right["row"].take(pa.array(j)), "score": pa.array(score)})
 
         part = q.groupBy("c", "q").cogroup(c.groupBy("c", "q")).applyInArrow(each, FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -118,10 +119,10 @@ def _table(shared):
     def each(batches):
         pivots = shared.value
         for b in batches:
-            x = matrix(b.column(1))
+            x = matrix(b.column(2))
             if len(x):
                 far = np.sqrt(np.maximum(0, ((x[:, None, :] - pivots[None, :, :]) ** 2).sum(2))) if len(x) * pivots.size < 1 << 26 else np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(far), pa.list_(pa.float64()))], names=["id", "v", "far"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(far), pa.list_(pa.float64()))], names=["row", "id", "v", "far"])
 
     return each
 
