@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags.  A block is described by its own
-word count and link density, by those of its neighbours, and by where it
-stands; a decision tree, grown here on a small labelled table of page
-fragments, tells article text from the rest.
+word count and link density, by those of its neighbours, and by what its
+containers are called; a decision tree, grown here on a small labelled table of
+pages, tells article text from the rest.
 """
 
 from __future__ import annotations
@@ -27,17 +27,90 @@ _BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form head header li main menu nav ol section table title ul".split())
-_OUTSIDE = frozenset("aside dialog fieldset footer form head menu nav title".split())
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|widget|menu|nav\w*|breadcrumbs?"
-    r"|comments?|disqus|replies|respond|discussion|share|sharing|social|follow|related|recommended|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|pagination|tags|legal|copyright|skip)(?:$|[\s_-]|\d)",
-    re.I,
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that a new one of the group ends, as far as the tags they may lie in.
+_ENDED_BY = {
+    **{t: (frozenset({"p"}), frozenset()) for t in _BREAKS - {"html", "body"}},
+    "li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu"})),
+    **{t: (frozenset({"dt", "dd", "p"}), frozenset({"dl"})) for t in ("dt", "dd")},
+    **{t: (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})) for t in ("td", "th")},
+    "tr": (frozenset({"tr", "td", "th", "p"}), frozenset({"table"})),
+}
+_OUTSIDE = frozenset("aside dialog fieldset footer head menu nav title".split())
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Words that class names, ids and roles are made of.
+_COMMENTS = frozenset("comment comments disqus replies reply respond discussion responses".split())
+_NOISE = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts "
+    "popup modal overlay sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs share sharing social follow related recommended recommendations "
+    "newsletter subscribe subscription signup login search footer header masthead topbar toolbar pager pagination tags legal copyright skip contentinfo complementary dialog".split()
 )
-_CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-]|\d)", re.I)
+_CONTENT = frozenset("article content contents post posts entry story main body text".split())
+#: A name with one of these says how the page is laid out, not what the element is.
+_LAYOUT = frozenset("no with without has have is layout wrapper wrap wrappers container containers page site grid row rows col column columns left right full width".split())
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "outside", "noise", "article", "content", "paragraph", "heading", "item", "header")
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "outside", "noise", "article", "content", "paragraph", "title", "heading", "item", "header")
+
+
+@lru_cache(maxsize=4096)
+def _meaning(names: str) -> str:
+    """``comments``, ``noise``, ``content`` or nothing, from an element's class names, id and role.
+
+    A name of content words alone outweighs other names of the same element.
+    """
+    found = set()
+    for name in names.split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if parts & _LAYOUT:
+            continue
+        if parts & _NOISE:
+            found.add("comments" if parts & _COMMENTS else "noise")
+        elif parts and parts & _CONTENT:
+            found.add("content")
+    if "content" in found:
+        return "content"
+    return "comments" if "comments" in found else "noise" if found else ""
+
+
+class _Container:
+    """An element that blocks lie in."""
+
+    __slots__ = ("tag", "above", "meaning", "hidden", "main", "article", "h1", "blocks", "words", "linked")
+
+    def __init__(self, tag: str, above: "_Container | None", attributes: str) -> None:
+        self.tag, self.above, self.hidden = tag, above, False
+        self.main = self.article = self.h1 = False
+        self.blocks = self.words = self.linked = 0
+        names = []
+        if attributes and tag not in ("html", "body"):
+            for kind, *values in _ATTRIBUTE.findall(attributes):
+                kind, value = kind.lower(), "".join(values)
+                if kind == "style":
+                    self.hidden |= bool(_HIDDEN.search(value))
+                elif kind == "hidden" or kind == "aria-hidden":
+                    self.hidden |= value.lower() != "false" and (kind == "hidden" or value.lower() == "true")
+                else:
+                    names.append(value)
+        self.meaning = _meaning(" ".join(names)) if names else ""
+
+    def chain(self):
+        at = self
+        while at is not None:
+            yield at
+            at = at.above
+
+    def outside(self, plain: float) -> bool:
+        """Whether the element's tag puts it outside the article; a form around the article does not."""
+        return self.hidden or self.tag in _OUTSIDE or (self.tag == "form" and not self.h1 and not self.holds(plain))
+
+    def noise(self, plain: float) -> bool:
+        return self.meaning == "comments" or (self.meaning == "noise" and not self.holds(plain))
+
+    def holds(self, plain: float) -> bool:
+        """Whether the element is the page's frame, whatever it is called: the article lies in it, or most plain text."""
+        return self.main or (self.article and self.h1) or (self.blocks > 3 and self.words - self.linked > max(100, 0.5 * plain))
 
 
 def blocks(html: str | None) -> list[tuple[str, list[float]]]:
@@ -47,24 +120,21 @@ def blocks(html: str | None) -> list[tuple[str, list[float]]]:
     block leave nothing; a line break is white space.
     """
     html = html or ""
-    out: list[tuple[str, list[float]]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, noise, content
+    found: list[tuple[str, int, int, _Container]] = []
+    inner = _Container("html", None, "")
     text: list[str] = []
     linked: list[str] = []
-    in_link, kind = 0, "body"
+    in_link = 0
 
     def flush() -> None:
         nonlocal text, linked
         words = unescape("".join(text)).split() if text else []
         if words:
-            n_links = len(unescape("".join(linked)).split()) if linked else 0
-            tags = [s[0] for s in stack]
-            inside = "article" in tags or "main" in tags
-            out.append((" ".join(words), [
-                float(len(words)), min(1.0, n_links / len(words)), 0.0, 0.0, 0.0, 0.0,
-                float(any(s[1] for s in stack)), float(any(s[2] for s in stack)), float(inside), float(any(s[3] for s in stack)),
-                float(kind in ("p", "pre", "blockquote", "dd")), float(kind in ("h1", "h2", "h3", "h4", "h5", "h6")), float(kind in ("li", "td", "th", "dt", "option")), float("header" in tags and not inside),
-            ]))
+            n_links = min(len(words), len(unescape("".join(linked)).split())) if linked else 0
+            found.append((" ".join(words), len(words), n_links, inner))
+            for c in inner.chain():
+                c.blocks, c.words, c.linked = c.blocks + 1, c.words + len(words), c.linked + n_links
+                c.h1 |= inner.tag == "h1"
         text, linked = [], []
 
     at = 0
@@ -88,22 +158,48 @@ def blocks(html: str | None) -> list[tuple[str, list[float]]]:
             text.append(" ")
         elif tag in _BREAKS:
             flush()
-            kind = "body" if m[2] else tag
-            if tag in _CONTAINERS:
-                if m[2]:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
-                else:
-                    names = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-                    if tag in ("body", "head"):
-                        stack = [s for s in stack if s[0] not in ("head", "title")]
-                        names = ""
-                    stack.append((tag, tag in _OUTSIDE, bool(names and _NOISE.search(names)), bool(names and _CONTENT.search(names))))
+            if m[2]:
+                for c in inner.chain():
+                    if c.tag == tag and c.above is not None:
+                        inner = c.above
+                        break
+                continue
+            ends, within = _ENDED_BY.get(tag, (frozenset(), frozenset()))
+            if tag == "body":
+                ends = frozenset({"head", "title"})
+            last = None
+            for c in inner.chain():
+                if c.tag in within or c.above is None:
+                    break
+                if c.tag in ends:
+                    last = c
+                elif not within and c.tag not in _HEADINGS:
+                    break
+            if last is not None:
+                inner = last.above
+            if tag != "hr":
+                inner = _Container(tag, inner, m[4])
+                if tag in ("main", "article") and inner.meaning not in ("noise", "comments"):
+                    for c in inner.above.chain():
+                        c.main |= tag == "main"
+                        c.article |= tag == "article"
     if at < len(html):
         text.append(html[at:])
     flush()
+    plain = float(sum(n - k for _, n, k, _ in found))
+    out: list[tuple[str, list[float]]] = []
+    states: dict[int, list[float]] = {}
+    for words, n, n_links, c in found:
+        state = states.get(id(c))
+        if state is None:
+            up = list(c.chain())
+            tags = [x.tag for x in up]
+            inside = "article" in tags or "main" in tags
+            state = states[id(c)] = [
+                float(any(x.outside(plain) for x in up)), float(any(x.noise(plain) for x in up)), float(inside), float(any(x.meaning == "content" for x in up)),
+                float(c.tag in ("p", "pre", "blockquote", "dd")), float(c.tag == "h1"), float(c.tag in _HEADINGS), float(c.tag in ("li", "td", "th", "dt", "option")), float("header" in tags and not inside),
+            ]
+        out.append((words, [float(n), n_links / n, 0.0, 0.0, 0.0, 0.0, *state]))
     for i, (_, f) in enumerate(out):
         if i:
             f[2], f[3] = out[i - 1][1][0], out[i - 1][1][1]
@@ -116,29 +212,46 @@ def _w(n: int) -> str:
     return " ".join(["word"] * n)
 
 
-# Labelled fragments: a page, and for each of its blocks 1 if it is article text.
-_W = "the article goes on with some more words of running text that tell the reader what happened"
-LABELLED: tuple[tuple[str, str], ...] = (
-    (f"<html><head><title>t page</title></head><body><nav><ul><li><a href=1>home</a></li><li><a href=2>news</a></li></ul></nav><article><h1>Some title</h1><p>{_W}</p><p>Short.</p><p>{_W} {_W}</p></article><footer>all rights reserved by us</footer></body></html>", "00011110"),
-    (f"<body><header><p>Site name</p><a href=1>sign in</a></header><div class='ad'>Buy this now, it is good.</div><main><h2>Title here</h2><p>{_W}<p>Two words<p>{_W}</main><aside><h3>Popular</h3><p>{_W}</p></aside>", "000111100"),
-    (f"<body><div id=sidebar><p>{_W}</p><a href=1>more</a></div><div class=content><h1>A title</h1><p>{_W}</p><ul><li>first point</li><li>second one</li></ul><p>End.</p></div><div class=comments><p>{_W}</p><p>nice</p></div>", "001111100"),
-    (f"<body><div class=cookie-notice>We use cookies on this site. {_W}</div><article><p>One.</p><blockquote>{_W}</blockquote><table><tr><td>cell</td><td>other cell</td></tr></table><section class=comments><h3>Comments</h3><p>{_W}</p></section></article><form><p>Your mail address</p></form>", "01111000"),
-    (f"<p>{_W}</p><p>Tiny.</p><p>{_W}</p>", "111"),
-    ("just a few plain words", "1"),
-    (f"<div><a href=1>link one</a> <a href=2>link two</a> <a href=3>link three</a></div><div>{_W} {_W}</div><div>{_W} <a href=4>with a link</a></div><div><a href=5>next page</a></div>", "0110"),
-    (f"<article><header><h1>Own title</h1></header><p>{_W}</p><p><a href=1>A linked sentence of the text</a></p><div class=share><a href=2>share</a></div><div class=related><p>{_W}</p></div><p>Last.</p></article>", "111001"),
-    (f"<article><ul><li>first</li><li>second item</li></ul><div>plain {_W}</div><div>few words</div><footer>filed under things</footer><nav><a href=1>next</a></nav></article>", "111100"),
-    # article text of all lengths, whatever stands next to it
-    *((f"<nav><a href=1>x {_w(a)}</a></nav><article><h1>{_w(a)}</h1>" + "".join(f"<p>{_w(n)}</p>" for n in rest) + f"</article><footer>{_w(b)}</footer>", "01" + "1" * len(rest) + "0")
-      for a, b, rest in ((3, 9, (1, 300, 5, 90, 2, 40, 700, 1, 1)), (40, 70, (600, 2, 1, 55, 8)), (9, 2, (4, 4, 30, 1200, 1, 90)), (15, 120, (1,)), (2, 300, (70, 1)), (7, 12, (2, 2, 2, 250)))),
-    *((f"<div class=ad>{_w(a)}</div><div id=main>" + "".join(f"<p>{_w(n)}</p>" for n in rest) + f"</div><div class='comment-list'><p>{_w(b)}</p><p>{_w(a)}</p></div>", "0" + "1" * len(rest) + "00")
-      for a, b, rest in ((20, 3, (1, 150, 6, 45)), (2, 90, (400, 2, 1)), (300, 700, (12, 3, 60)))),
-    *((f"<ul><li><a href=1>{_w(a)}</a></li><li><a href=2>{_w(b)}</a></li></ul>" + "".join(f"<p>{_w(n)}</p>" for n in rest) + f"<div><a href=3>{_w(b)}</a> <a href=4>{_w(a)}</a></div>", "00" + "1" * len(rest) + "0")
-      for a, b, rest in ((1, 2, (1, 200, 8, 60)), (8, 20, (30, 2)), (3, 60, (900, 4, 1)))),
-    (f"<body><div><h1>Old page</h1></div><table><tr><td><a href=1>a</a><br><a href=2>b</a></td><td>{_W} {_W} {_W}</td></tr></table>", "101"),
-    # text without any structure
-    ("word", "1"), ("<p>word</p>", "1"), ("<div>a few words</div>", "1"), ("<p>one</p><p>two three</p><p>four</p>", "111"), ("<h1>title</h1><p>one</p><ul><li>two</li><li>three</li></ul>", "1111"), ("<table><tr><td>one</td><td>two three</td></tr></table>", "11"),
-)
+def _links(*sizes: int) -> str:
+    return "".join(f"<li><a href=1>{_w(n)}</a></li>" for n in sizes)
+
+
+def _labelled() -> list[tuple[str, str]]:
+    """The labelled table: pages, and for each of their blocks 1 if it is article text.
+
+    Titles and paragraphs are of all lengths and stand next to anything, so that
+    lengths alone tell nothing where the containers do.
+    """
+    table = []
+    titles, bodies = (1, 2, 3, 9, 30), ((1,), (2, 1), (300, 5, 90), (40, 700, 1, 1), (4, 4, 30, 1200, 1, 90), (12, 250))
+    for i, title in enumerate(titles):
+        for j, body in enumerate(bodies):
+            a, b = (1, 3, 20, 120, 400)[(i + j) % 5], (2, 9, 60, 300)[(i * 2 + j) % 4]
+            text = f"<h1>{_w(title)}</h1>" + "".join(f"<p>{_w(n)}</p>" for n in body)
+            marks = "1" * (len(body) + 1)
+            menu, foot = f"<nav><ul>{_links(a % 7 + 1, b % 5 + 1)}</ul></nav>", f"<footer>{_w(b)}</footer>"
+            table += [
+                # marked up by meaning
+                (f"<head><title>{_w(title)}</title></head><body>{menu}<article>{text}</article>{foot}", "000" + marks + "0"),
+                (f"<header><p>{_w(a)}</p></header><main>{text}</main><aside><h3>{_w(title)}</h3><p>{_w(b)}</p></aside>", "0" + marks + "00"),
+                (f"<article>{text}<p><a href=1>{_w(b)}</a></p><footer>{_w(a)}</footer></article><form><p>{_w(b)}</p></form>", marks + "100"),
+                (f"<article><header>{text}</header></article><section class=comments><p>{_w(a)}</p><p>{_w(b)}</p></section>", marks + "00"),
+                (f"<article><ul><li>{_w(a)}</li><li>{_w(b)}</li></ul>{text}</article><footer><a href=1>{_w(a)}</a> <a href=2>{_w(b)}</a></footer>", "11" + marks + "0"),
+                (f"{menu}<article>{text}<h2>{_w(title)}</h2><ul>{_links(a % 7 + 1, b % 5 + 1, 4)}</ul><p>{_w(b)}</p></article>", "00"[: menu.count("<li>")] + marks + "11111"),
+                # by names
+                (f"<div class=ad>{_w(a)}</div><div id=main-content>{text}</div><div class=comment-list><p>{_w(b)}</p><p>{_w(a)}</p></div>", "0" + marks + "00"),
+                (f"<p class=cookie-notice>{_w(b)}</p><div class='post no-sidebar'>{text}</div><div id=sidebar><p>{_w(a)}</p><ul>{_links(2, 5)}</ul></div>", "0" + marks + "000"),
+                # by links and neighbours alone
+                (f"<ul>{_links(a % 9 + 1, b % 9 + 1)}</ul>{text}<div><a href=1>{_w(b)}</a> <a href=2>{_w(a)}</a></div>", "00" + marks + "0"),
+                (f"<table><tr><td><a href=1>{_w(a)}</a><br><a href=2>{_w(b)}</a></td><td>{text}</td></tr></table>", "0" + marks),
+                (f"<div>{text}</div><h3>{_w(title)}</h3><ul>{_links(a % 9 + 1, b % 7 + 1, 2)}</ul>", marks + "0000"),
+                (f"<div><h1>{_w(title)}</h1><div><a href=1>{_w(a % 7 + 1)}</a></div><p>{_w(b)}</p><p>{_w(a)}</p></div>", "1011"),
+                (text, marks),
+            ]
+    for n in (1, 3, 40, 900):
+        table += [(_w(n), "1"), (f"<p>{_w(n)}</p>", "1"), (f"<div>{_w(n)}</div><div>{_w(3)}</div>", "11"), (f"<h1>{_w(n)}</h1><p>{_w(2)}</p><ul><li>{_w(n)}</li><li>{_w(4)}</li></ul>", "1111"), (f"<table><tr><td>{_w(n)}</td><td>{_w(2)}</td></tr></table>", "11")]
+        table += [(f"<div>{_w(n)} {_w(60)} <a href=1>{_w(8)}</a></div><div><a href=2>{_w(2)}</a></div>", "10")]
+    return table
 
 
 def _gini(n: int, k: int) -> float:
@@ -172,7 +285,7 @@ def grow(rows: list[list[float]], labels: list[int], depth: int = 8, least: int
 def tree():
     """The tree of the labelled table."""
     rows, labels = [], []
-    for html, marks in LABELLED:
+    for html, marks in _labelled():
         found = blocks(html)
         if len(found) != len(marks):
             raise ValueError(f"{len(found)} blocks but {len(marks)} labels: {[t[:20] for t, _ in found]}")
