@@ -4,12 +4,14 @@ Rows are ordered by (hash of the text, id, row), so equal texts are neighbours.
 Counts of rows and exact weights below candidate key boundaries are taken over
 all partitions; leaves of the histogram that hold a wanted splitter, or too
 many rows, are probed again with longer prefixes until they are fine enough.
-The leaves then fix every row's shard and the place where its leaf starts, and
-one exchange by leaf numbers the rows.
+A row then finds its leaf as the probes did, round by round; the leaf fixes its
+shard and the place where the leaf starts, and one exchange by leaf numbers the
+rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -37,14 +39,14 @@ def _cuts(leaves: list[tuple], n_shards: int) -> list[float]:
     return [total * i / n_shards for i in range(1, n_shards)]
 
 
-def _histogram(meta: DataFrame, n_shards: int, tolerance: float, rows_per_leaf: float) -> list[tuple]:
-    """Leaves in key order, refined until splitters meet the tolerance.
+def _histogram(meta: DataFrame, n_shards: int, tolerance: float, rows_per_leaf: float) -> tuple[list[tuple], list[dict[str, int]]]:
+    """Leaves in key order, refined until splitters meet the tolerance; and for each round the leaves split, with their children's length.
 
     A leaf is probed again one digit beyond what all its keys share.  At most
     16**3 + 15 * (splitters + 1 / rows_per_leaf) leaves a round are held on the
     driver, whatever the number of rows.
     """
-    leaves = _probe(meta, None, FIRST_DIGITS)
+    leaves, splits = _probe(meta, None, FIRST_DIGITS), []
     total_n, total_w = sum(x[1] for x in leaves), sum(x[2] for x in leaves)
     fine_w, fine_n = total_w / n_shards * tolerance, max(LEAST_ROWS, total_n * rows_per_leaf)
     while True:
@@ -58,7 +60,8 @@ def _histogram(meta: DataFrame, n_shards: int, tolerance: float, rows_per_leaf:
             if n > 1 and (n > fine_n or (holds and w > fine_w)):
                 coarse.append((leaf, os.path.commonprefix([low, high])))
         if not coarse:
-            return leaves
+            return leaves, splits
+        splits.append({leaf: len(shared) + 1 for leaf, shared in coarse})
         gone = {leaf for leaf, _ in coarse}
         leaves = [x for x in leaves if x[0] not in gone]
         by_len: dict[int, list[str]] = {}
@@ -68,17 +71,23 @@ def _histogram(meta: DataFrame, n_shards: int, tolerance: float, rows_per_leaf:
             leaves += _probe(meta, group, length + 1)
 
 
-def _place(leaves: list[tuple], n_shards: int) -> list[tuple[str, str, str, int, int]]:
-    """(head, leaf, end of leaf, shard, first slot): a cut goes to the nearest leaf edge."""
+def _place(leaves: list[tuple], n_shards: int) -> list[tuple[str, int, int]]:
+    """(leaf, shard, first slot): a cut goes to the nearest leaf edge."""
     cuts, out, low, shard, first = _cuts(leaves, n_shards), [], 0, 0, 0
     for leaf, n, w, _, _ in leaves:
         while shard < n_shards - 1 and low + w / 2 > cuts[shard]:
             shard, first = shard + 1, 0
-        out.append((leaf[:FIRST_DIGITS], leaf, leaf + "G", shard, first))  # G sorts after every hex digit
+        out.append((leaf, shard, first))
         low, first = low + w, first + n
     return out
 
 
+def _local(spark, rows: list[dict], fields: str) -> DataFrame:
+    """Rows of the driver as a table, without Python workers."""
+    kind = "array<struct<" + ", ".join(f.strip().replace(" ", ":") for f in fields.split(",")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
 def shards(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, law: str = "bytes",
     tolerance: float = 1 / 256, overhead: int = 16, rows_per_leaf: float = 1 / 2048,
@@ -112,11 +121,15 @@ def shards(
         ),
         "meta",
     )
-    leaves = _histogram(meta, n_shards, tolerance if law == "bytes" else 0.0, rows_per_leaf)
-    placed = spark.createDataFrame(_place(leaves, n_shards) or [("", "", "", 0, 0)], "head string, leaf string, upto string, shard int, first long")
-    in_leaf = meta.withColumn("head", F.substring("key", 1, FIRST_DIGITS)).join(
-        F.broadcast(placed), "head"
-    ).where((F.col("key") >= F.col("leaf")) & (F.col("key") < F.col("upto")))
+    leaves, splits = _histogram(meta, n_shards, tolerance if law == "bytes" else 0.0, rows_per_leaf)
+    # tables of at most as many rows as the driver holds leaves, with one row for each key
+    in_leaf = meta.withColumn("leaf", F.substring("key", 1, FIRST_DIGITS))
+    for split in splits:
+        deeper = _local(spark, [{"of": leaf, "digits": digits} for leaf, digits in split.items()], "of string, digits int")
+        in_leaf = in_leaf.join(F.broadcast(deeper), F.col("leaf") == F.col("of"), "left")
+        in_leaf = in_leaf.withColumn("leaf", F.when(F.col("of").isNull(), F.col("leaf")).otherwise(F.expr("substring(key, 1, digits)"))).drop("of", "digits")
+    placed = _local(spark, [{"leaf": leaf, "shard": shard, "first": first} for leaf, shard, first in _place(leaves, n_shards)], "leaf string, shard int, first bigint")
+    in_leaf = in_leaf.join(F.broadcast(placed), "leaf")
     nth = F.row_number().over(Window.partitionBy("leaf").orderBy("key")) - 1
     return in_leaf.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(law).alias("law"), "shard",
