@@ -3,8 +3,11 @@
 Rules seed the hosts: a host's trusted (blocked) seed is the share of its pages
 that a rule allows (blocks).  Trust runs along the links between hosts, as
 personalised PageRank; distrust runs against them, so that a host that links to
-blocked ones takes part in their distrust.  A host is blocked if its distrust
-exceeds its trust by more than a threshold.
+blocked ones takes part in their distrust.  A host's margin is its distrust less
+its trust, as a share of both where they exceed 1, and it is blocked above a
+cut.  The cut is fitted on the pages that rules judge: each is left out of its
+host's seeds, and the cut that then tells blocked from allowed pages best is
+taken.
 """
 
 from __future__ import annotations
@@ -14,11 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from podium.plans.scratch import Scratch
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-4, 0.5
+DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-4
+#: The cut where rules do not judge pages of both kinds, and steps of the margin that the fit looks at.
+THRESHOLD, STEPS = 0.5, 1_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template|textarea)\b.*?</\1\s*>"
+
+
 def _lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,8 +52,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, n): links between different hosts, from anchors with absolute addresses."""
-    found = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), 1)).alias("href"))
+    """(src, dst, n): links between different hosts, from anchors with absolute addresses outside comments and scripts."""
+    seen = F.when(F.col(html_col).contains("//"), F.regexp_replace(html_col, _UNSEEN, " "))
+    found = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(seen, F.lit(_HREF), 1)).alias("href"))
     absolute = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))
     ends = found.where(F.col("href").contains("//")).select("src", host_of(absolute).alias("dst"))
     return ends.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -78,8 +87,43 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     return score
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, host, path, rule, verdict, trust, distrust) of every page.
+def margin(trust: Column, distrust: Column) -> Column:
+    """Distrust less trust, from -1 to 1."""
+    return (distrust - trust) / F.greatest(F.lit(1.0), distrust + trust)
+
+
+def fitted_cut(hosts: DataFrame, default: float = THRESHOLD) -> float:
+    """The cut of best balanced accuracy over rule-judged pages, each left out of its host's seeds.
+
+    ``hosts`` (host, pages, allow, block, trust, distrust) with counts of pages
+    and scores.  Half-way between the margins on either side of it.
+    """
+    n, a, b = F.col("pages"), F.col("allow"), F.col("block")
+    others = F.greatest(n - 1, F.lit(1))
+    came_t, came_d = F.col("trust") - a / n, F.col("distrust") - b / n  # what neighbours gave
+    kinds = F.array(
+        F.struct(F.lit(True).alias("blocked"), b.alias("weight"), margin(came_t + a / others, came_d + (b - 1) / others).alias("m")),
+        F.struct(F.lit(False).alias("blocked"), a.alias("weight"), margin(came_t + (a - 1) / others, came_d + b / others).alias("m")),
+    )
+    step = F.floor((F.col("k.m") + 1) * STEPS)
+    counts = hosts.select(F.explode(kinds).alias("k")).where("k.weight > 0").groupBy(step.alias("step")).agg(
+        F.sum(F.when(F.col("k.blocked"), F.col("k.weight")).otherwise(0)).alias("block"), F.sum(F.when(F.col("k.blocked"), 0).otherwise(F.col("k.weight"))).alias("allow")
+    )
+    rows = sorted((r["step"], r["block"], r["allow"]) for r in counts.collect())  # one a step at most
+    blocked, allowed = (sum(r[i] for r in rows) for i in (1, 2))
+    if not blocked or not allowed:
+        return default
+    best, left_b, left_a = (0.0, default), 0, 0
+    for (at, b_, a_), after in zip(rows, [r[0] for r in rows[1:]] + [2 * STEPS + 1]):
+        left_b, left_a = left_b + b_, left_a + a_
+        right = left_a / allowed + (blocked - left_b) / blocked
+        if right >= best[0] - 1e-12:  # of equal ones the one that blocks least
+            best = (right, (at + after + 1) / 2 / STEPS - 1)
+    return best[1]
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float | None = None) -> DataFrame:
+    """(id, host, path, rule, verdict, trust, distrust) of every page; without a threshold, the cut is fitted.
 
     Null urls and urls without :// have an empty host and path, no rule and no
     seeds, hence are allowed.  Null html has no links; null ids and repeated
@@ -88,20 +132,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     url = F.col(url_col)
-    found = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
+    found = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     found = found.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    found = scratch.table(found.select(id_col, "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("by_rule")), "rules")
-    share = lambda v: (F.count_if(F.col("by_rule") == v) / F.count("*")).alias(v)
-    hosts = scratch.table(found.where("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts")
+    found = scratch.table(found.select("id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("by_rule")), "rules")
+    of = lambda v: F.count_if(F.col("by_rule") == v).alias(v)
+    hosts = scratch.table(found.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), of("allow"), of("block")), "hosts")
     links = scratch.table(host_links(pages, url_col, html_col), "links")
-    trust = propagate(hosts.select("host", F.col("allow").alias("seed")), links)
-    distrust = propagate(hosts.select("host", F.col("block").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    scores = scratch.table(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
-    judged = found.join(scores, "host", "left")
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")
-    return judged.select(id_col, "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    trust = propagate(hosts.select("host", (F.col("allow") / F.col("pages")).alias("seed")), links)
+    distrust = propagate(hosts.select("host", (F.col("block") / F.col("pages")).alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    scores = hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
+    scores = scratch.table(scores.fillna(0.0, ["trust", "distrust"]), "scores")
+    cut = fitted_cut(scores) if threshold is None else threshold
+    judged = found.join(scores.select("host", "trust", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
+    by_host = F.when(margin(F.col("trust"), F.col("distrust")) > cut, "block").otherwise("allow")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
