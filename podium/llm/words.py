@@ -181,14 +181,17 @@ class Split:
         first = np.empty(len(coded.dictionary), np.int64)
         first[number[::-1]] = np.arange(len(number))[::-1]
         eights, length = self._eights(), self.ends - self.starts
-        like = first[number]
-        same = length == length[like]
-        live, at, to, rest = np.arange(len(length)), self.starts, self.starts[like], length
-        while same.all() and len(live):
-            same[live] = (eights[at] ^ eights[to]) & _LOW_BYTES[np.minimum(rest, 8)] == 0
-            more = (rest > 8) & (live != like[live])
-            live, at, to, rest = live[more], at[more] + 8, to[more] + 8, rest[more] - 8
-        if not same.all():  # two words of one hash
+        same = True
+        for i in range(0, len(number), 1 << 18):
+            like = first[number[i : i + (1 << 18)]]
+            live = np.flatnonzero(like != np.arange(i, i + len(like)))
+            at, to, rest = self.starts[i + live], self.starts[like[live]], length[i + live]
+            same &= bool((rest == length[like[live]]).all())
+            while same and len(at):
+                same = not ((eights[at] ^ eights[to]) & _LOW_BYTES[np.minimum(rest, 8)]).any()
+                more = rest > 8
+                at, to, rest = at[more] + 8, to[more] + 8, rest[more] - 8
+        if not same:  # two words of one hash
             known: dict[bytes, int] = {}
             number = np.fromiter((known.setdefault(w, len(known)) for w in map(self.word, range(len(length)))), np.int64, len(length))
             first = np.empty(len(known), np.int64)
