@@ -32,11 +32,11 @@ def select(body: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + body
 
 
-def newton(model: str, steps: int, obs: str, tag: str, prior: str | None = None) -> str:
-    """CTEs t{tag}_k (team, mu, theta) and b{tag}_k (contest_id, label, b)."""
+def newton(model: str, steps: int, obs: str, tag: str, prior: str | None = None, eps: float = 0.5) -> str:
+    """CTEs t{tag}_k (team, mu, theta) and b{tag}_k (contest_id, label, b): steps that change nothing once the fit has converged."""
     join = f"LEFT JOIN {prior} p USING (team)" if prior else ""
     mu = "coalesce(p.theta, 2000.0)" if prior else "2000.0"
-    out = [f"t{tag}_0 AS MATERIALIZED (SELECT team, {mu} AS mu, 2000.0 AS theta FROM (SELECT DISTINCT team FROM {obs}) {join})", f"b{tag}_0 AS MATERIALIZED (SELECT DISTINCT contest_id, label, 2000.0 AS b FROM {obs})"]
+    out = [f"t{tag}_0 AS MATERIALIZED (SELECT team, {mu} AS mu, 2000.0 AS theta FROM (SELECT DISTINCT team FROM {obs}) {join})", f"b{tag}_0 AS MATERIALIZED (SELECT DISTINCT contest_id, label, 2000.0 AS b FROM {obs})", f"e{tag}_0 AS MATERIALIZED (SELECT false AS done)"]
     if model == "rasch":
         p = "1 / (1 + pow(10, (b - theta) / 400))"
         res, cur = f"y - {p}", f"({p}) * (1 - {p})"
@@ -45,53 +45,65 @@ def newton(model: str, steps: int, obs: str, tag: str, prior: str | None = None)
         res, cur = f"y - {h}", h
     prec = 1 / 400.0**2
     for k in range(steps):
-        new_t = CLIP.format(f"theta + (g / {S!r} - {prec!r} * (theta - mu)) / (h / {S * S!r} + {prec!r})")
-        out.append(f"t{tag}_{k + 1} AS MATERIALIZED (SELECT team, mu, {new_t} AS theta FROM (SELECT team, mu, theta, sum({res}) AS g, sum({cur}) AS h FROM {obs} JOIN t{tag}_{k} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY team, mu, theta))")
-        new_b = CLIP.format(f"b + (-g / {S!r} - {prec!r} * (b - 2000.0)) / (h / {S * S!r} + {prec!r})")
-        out.append(f"b{tag}_{k + 1} AS MATERIALIZED (SELECT contest_id, label, {new_b} AS b FROM (SELECT contest_id, label, b, sum({res}) AS g, sum({cur}) AS h FROM {obs} JOIN t{tag}_{k + 1} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY contest_id, label, b))")
+        live = f"(SELECT * FROM {obs} WHERE NOT (SELECT done FROM e{tag}_{k}))"
+        new = CLIP.format(f"theta + (g / {S!r} - {prec!r} * (theta - mu)) / (h / {S * S!r} + {prec!r})")
+        out.append(f"t{tag}_{k + 1} AS MATERIALIZED (SELECT o.team, o.mu, coalesce(n.theta, o.theta) AS theta FROM t{tag}_{k} o LEFT JOIN (SELECT team, {new} AS theta FROM (SELECT team, mu, theta, sum({res}) AS g, sum({cur}) AS h FROM {live} JOIN t{tag}_{k} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY team, mu, theta)) n USING (team))")
+        new = CLIP.format(f"b + (-g / {S!r} - {prec!r} * (b - 2000.0)) / (h / {S * S!r} + {prec!r})")
+        out.append(f"b{tag}_{k + 1} AS MATERIALIZED (SELECT contest_id, label, coalesce(n.b, o.b) AS b FROM b{tag}_{k} o LEFT JOIN (SELECT contest_id, label, {new} AS b FROM (SELECT contest_id, label, b, sum({res}) AS g, sum({cur}) AS h FROM {live} JOIN t{tag}_{k + 1} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY contest_id, label, b)) n USING (contest_id, label))")
+        out.append(f"e{tag}_{k + 1} AS MATERIALIZED (SELECT (SELECT max(abs(a.theta - b.theta)) FROM t{tag}_{k} a JOIN t{tag}_{k + 1} b USING (team)) < {eps!r} AND (SELECT max(abs(a.b - b.b)) FROM b{tag}_{k} a JOIN b{tag}_{k + 1} b USING (contest_id, label)) < {eps!r} AS done)")
     return ",\n".join(out)
 
 
-def twopl(steps: int, warmup: int, obs: str, tag: str = "d", sigma_g: float = 0.5) -> str:
-    out = [f"t{tag}_0 AS MATERIALIZED (SELECT DISTINCT team, 2000.0 AS mu, 2000.0 AS theta FROM {obs})", f"b{tag}_0 AS MATERIALIZED (SELECT DISTINCT contest_id, label, 2000.0 AS b, 0.0 AS g FROM {obs})"]
+def twopl(steps: int, warmup: int, obs: str, tag: str = "d", sigma_g: float = 0.5, eps: float = 0.5, eps_g: float = 0.005) -> str:
+    """CTEs t{tag}_k (team, mu, theta) and b{tag}_k (contest_id, label, b, g): steps that change nothing once the fit has converged."""
+    out = [f"t{tag}_0 AS MATERIALIZED (SELECT DISTINCT team, 2000.0 AS mu, 2000.0 AS theta FROM {obs})", f"b{tag}_0 AS MATERIALIZED (SELECT DISTINCT contest_id, label, 2000.0 AS b, 0.0 AS g FROM {obs})", f"e{tag}_0 AS MATERIALIZED (SELECT false AS done)"]
     d = f"exp(g) / {S!r}"
     p = f"1 / (1 + exp(-({d} * (theta - b))))"
     prec, prec_g = 1 / 400.0**2, 1 / sigma_g**2
     for k in range(steps):
+        live = f"(SELECT * FROM {obs} WHERE NOT (SELECT done FROM e{tag}_{k}))"
         new = CLIP.format(f"theta + (gr - {prec!r} * (theta - mu)) / (h + {prec!r})")
-        out.append(f"t{tag}_{k + 1} AS MATERIALIZED (SELECT team, mu, {new} AS theta FROM (SELECT team, mu, theta, sum({d} * (y - {p})) AS gr, sum({d} * {d} * ({p}) * (1 - {p})) AS h FROM {obs} JOIN t{tag}_{k} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY team, mu, theta))")
+        out.append(f"t{tag}_{k + 1} AS MATERIALIZED (SELECT o.team, o.mu, coalesce(n.theta, o.theta) AS theta FROM t{tag}_{k} o LEFT JOIN (SELECT team, {new} AS theta FROM (SELECT team, mu, theta, sum({d} * (y - {p})) AS gr, sum({d} * {d} * ({p}) * (1 - {p})) AS h FROM {live} JOIN t{tag}_{k} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY team, mu, theta)) n USING (team))")
         new = CLIP.format(f"b + (gr - {prec!r} * (b - 2000.0)) / (h + {prec!r})")
         mid = f"x{tag}_{k + 1}" if k >= warmup else f"b{tag}_{k + 1}"
-        out.append(f"{mid} AS MATERIALIZED (SELECT contest_id, label, {new} AS b, g FROM (SELECT contest_id, label, b, g, sum(-{d} * (y - {p})) AS gr, sum({d} * {d} * ({p}) * (1 - {p})) AS h FROM {obs} JOIN t{tag}_{k + 1} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY contest_id, label, b, g))")
+        out.append(f"{mid} AS MATERIALIZED (SELECT contest_id, label, coalesce(n.b, o.b) AS b, o.g FROM b{tag}_{k} o LEFT JOIN (SELECT contest_id, label, {new} AS b FROM (SELECT contest_id, label, b, g, sum(-{d} * (y - {p})) AS gr, sum({d} * {d} * ({p}) * (1 - {p})) AS h FROM {live} JOIN t{tag}_{k + 1} USING (team) JOIN b{tag}_{k} USING (contest_id, label) GROUP BY contest_id, label, b, g)) n USING (contest_id, label))")
         if k >= warmup:
             eta = f"({d} * (theta - b))"
             new = f"greatest(least(g + (gr - {prec_g!r} * g) / (h + {prec_g!r}), 1.5), -1.5)"
-            out.append(f"b{tag}_{k + 1} AS MATERIALIZED (SELECT contest_id, label, b, {new} AS g FROM (SELECT contest_id, label, b, g, sum((y - {p}) * {eta}) AS gr, sum(({p}) * (1 - {p}) * {eta} * {eta}) AS h FROM {obs} JOIN t{tag}_{k + 1} USING (team) JOIN {mid} USING (contest_id, label) GROUP BY contest_id, label, b, g))")
+            out.append(f"b{tag}_{k + 1} AS MATERIALIZED (SELECT contest_id, label, o.b, coalesce(n.g, o.g) AS g FROM {mid} o LEFT JOIN (SELECT contest_id, label, {new} AS g FROM (SELECT contest_id, label, b, g, sum((y - {p}) * {eta}) AS gr, sum(({p}) * (1 - {p}) * {eta} * {eta}) AS h FROM {live} JOIN t{tag}_{k + 1} USING (team) JOIN {mid} USING (contest_id, label) GROUP BY contest_id, label, b, g)) n USING (contest_id, label))")
+            out.append(f"e{tag}_{k + 1} AS MATERIALIZED (SELECT (SELECT max(abs(a.theta - b.theta)) FROM t{tag}_{k} a JOIN t{tag}_{k + 1} b USING (team)) < {eps!r} AND (SELECT max(abs(a.b - b.b)) < {eps!r} AND max(abs(a.g - b.g)) < {eps_g!r} FROM b{tag}_{k} a JOIN b{tag}_{k + 1} b USING (contest_id, label)) AS done)")
+        else:
+            out.append(f"e{tag}_{k + 1} AS MATERIALIZED (SELECT false AS done)")
     return ",\n".join(out)
 
 
-def performance(field: str, tag: str, halvings: int = 25) -> str:
-    """CTE perf{tag} (contest_id, team, perf) of a field (contest_id, team, rank, theta)."""
-    def places(at: str, src: str) -> str:
-        return f"SELECT p.contest_id, p.team, sum(CASE WHEN r.team <> p.team THEN 1 / (1 + pow(10, ({at} - r.theta) / 400)) ELSE 0 END) AS s FROM {src} p JOIN {field} r USING (contest_id) GROUP BY p.contest_id, p.team"
+def performance(field: str, tag: str) -> str:
+    """CTE perf{tag} (contest_id, team, perf) of a field (contest_id, team, rank, theta), by 25 halvings, two a CTE."""
+    def places(src: str, **points: str) -> str:
+        sums = ", ".join(f"sum(CASE WHEN r.team <> p.team THEN 1 / (1 + pow(10, ({at} - r.theta) / 400)) ELSE 0 END) AS {name}" for name, at in points.items())
+        return f"SELECT p.contest_id, p.team, {sums} FROM {src} p JOIN {field} r USING (contest_id) GROUP BY p.contest_id, p.team"
 
+    mid, first, third = "((p.lo + p.hi) / 2)", "((p.lo + (p.lo + p.hi) / 2) / 2)", "(((p.lo + p.hi) / 2 + p.hi) / 2)"
     out = [f"q{tag}_0 AS MATERIALIZED (SELECT contest_id, team, theta, rank - 1 AS target, 800.0 AS lo, 4000.0 AS hi FROM {field})"]
-    for k in range(halvings):
-        out.append(f"q{tag}_{k + 1} AS MATERIALIZED (SELECT q.contest_id, q.team, theta, target, CASE WHEN s > target THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN s > target THEN hi ELSE (lo + hi) / 2 END AS hi FROM q{tag}_{k} q JOIN ({places('(p.lo + p.hi) / 2', f'q{tag}_{k}')}) z USING (contest_id, team))")
-    out.append(f"ends{tag} AS MATERIALIZED (SELECT a.contest_id, a.team, a.s AS at_lo, b.s AS at_hi FROM ({places('800.0', f'q{tag}_0')}) a JOIN ({places('4000.0', f'q{tag}_0')}) b USING (contest_id, team))")
-    out.append(f"perf{tag} AS MATERIALIZED (SELECT contest_id, team, CASE WHEN at_lo <= target THEN 800.0 WHEN at_hi >= target THEN 4000.0 ELSE (lo + hi) / 2 END AS perf FROM q{tag}_{halvings} JOIN ends{tag} USING (contest_id, team))")
+    for k in range(12):
+        low = f"CASE WHEN m > target THEN CASE WHEN t > target THEN {third} ELSE {mid} END ELSE CASE WHEN f > target THEN {first} ELSE p.lo END END"
+        high = f"CASE WHEN m > target THEN CASE WHEN t > target THEN p.hi ELSE {third} END ELSE CASE WHEN f > target THEN {mid} ELSE {first} END END"
+        out.append(f"q{tag}_{k + 1} AS MATERIALIZED (SELECT p.contest_id, p.team, p.theta, target, {low} AS lo, {high} AS hi FROM q{tag}_{k} p JOIN ({places(f'q{tag}_{k}', m=mid, f=first, t=third)}) z USING (contest_id, team))")
+    out.append(f"q{tag}_13 AS MATERIALIZED (SELECT p.contest_id, p.team, target, CASE WHEN m > target THEN {mid} ELSE p.lo END AS lo, CASE WHEN m > target THEN p.hi ELSE {mid} END AS hi FROM q{tag}_12 p JOIN ({places(f'q{tag}_12', m=mid)}) z USING (contest_id, team))")
+    out.append(f"perf{tag} AS MATERIALIZED (SELECT contest_id, team, CASE WHEN l <= target THEN 800.0 WHEN h >= target THEN 4000.0 ELSE (lo + hi) / 2 END AS perf FROM q{tag}_13 JOIN ({places(f'q{tag}_0', l='800.0', h='4000.0')}) z USING (contest_id, team))")
     return ",\n".join(out)
 
 
-def fixedpoint(rows: str, tag: str, steps: int, prior: str | None = None) -> str:
-    """CTEs f{tag}_k (team, theta): steps of the fixed point."""
+def fixedpoint(rows: str, tag: str, steps: int, prior: str | None = None, eps: float = 0.5) -> str:
+    """CTEs f{tag}_k (team, theta): steps of the fixed point, which change nothing once it has converged."""
     join = f"LEFT JOIN {prior} p USING (team)" if prior else ""
     mu, st = ("coalesce(p.mu, 2000.0)", "coalesce(p.strength, 1.0)") if prior else ("2000.0", "1.0")
-    out = [f"w{tag} AS MATERIALIZED (SELECT team, n, 1 - pow(0.9, n) AS w, {mu} AS mu, {st} AS strength FROM (SELECT team, count(*) AS n FROM {rows} GROUP BY 1) {join})", f"f{tag}_0 AS MATERIALIZED (SELECT team, 2000.0 AS theta FROM w{tag})"]
+    out = [f"w{tag} AS MATERIALIZED (SELECT team, n, 1 - pow(0.9, n) AS w, {mu} AS mu, {st} AS strength FROM (SELECT team, count(*) AS n FROM {rows} GROUP BY 1) {join})", f"f{tag}_0 AS MATERIALIZED (SELECT team, 2000.0 AS theta FROM w{tag})", f"e{tag}_0 AS MATERIALIZED (SELECT false AS done)"]
     for k in range(steps):
-        out.append(f"field{tag}_{k} AS MATERIALIZED (SELECT contest_id, team, rank, theta FROM {rows} JOIN f{tag}_{k} USING (team))")
+        out.append(f"field{tag}_{k} AS MATERIALIZED (SELECT contest_id, team, rank, theta FROM {rows} JOIN f{tag}_{k} USING (team) WHERE NOT (SELECT done FROM e{tag}_{k}))")
         out.append(performance(f"field{tag}_{k}", f"{tag}_{k}"))
-        out.append(f"f{tag}_{k + 1} AS MATERIALIZED (SELECT team, {CLIP.format('(w * s + strength * mu) / (w * n + strength)')} AS theta FROM w{tag} JOIN (SELECT team, sum(perf) AS s FROM perf{tag}_{k} GROUP BY 1) USING (team))")
+        out.append(f"f{tag}_{k + 1} AS MATERIALIZED (SELECT o.team, coalesce(n.theta, o.theta) AS theta FROM f{tag}_{k} o LEFT JOIN (SELECT team, {CLIP.format('(w * s + strength * mu) / (w * n + strength)')} AS theta FROM w{tag} JOIN (SELECT team, sum(perf) AS s FROM perf{tag}_{k} GROUP BY 1) USING (team)) n USING (team))")
+        out.append(f"e{tag}_{k + 1} AS MATERIALIZED (SELECT max(abs(a.theta - b.theta)) < {eps!r} AS done FROM f{tag}_{k} a JOIN f{tag}_{k + 1} b USING (team))")
     return ",\n".join(out)
 
 
@@ -129,3 +141,39 @@ def spearman(src: str, x: str, y: str, keys: str, ties: str, least: int = 2) ->
     k = f"{keys}, " if keys else ""
     return f"""(SELECT {k}CASE WHEN count(*) >= {least} AND min(_x) < max(_x) AND min(_y) < max(_y) THEN corr(rx, ry) END AS rho, count(*) AS n FROM
  (SELECT {k}{x} AS _x, {y} AS _y, row_number() OVER ({part}ORDER BY {x}, {ties}) AS rx, row_number() OVER ({part}ORDER BY {y}, {ties}) AS ry FROM {src}) {'GROUP BY ' + keys if keys else ''})"""
+
+
+def linked(tag: str, pairs: str, nodes: str) -> str:
+    """CTE labels{tag} (contest_id, least, size): components of contests linked by pairs (a, b)."""
+    return f"""links{tag} AS MATERIALIZED (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}),
+span{tag} AS (SELECT DISTINCT contest_id AS node, contest_id AS other FROM {nodes} UNION SELECT r.node, e.b FROM span{tag} r JOIN links{tag} e ON r.other = e.a),
+least{tag} AS MATERIALIZED (SELECT node AS contest_id, min(other) AS least FROM span{tag} GROUP BY 1),
+labels{tag} AS MATERIALIZED (SELECT contest_id, least, size FROM least{tag} JOIN (SELECT least, count(*) AS size FROM least{tag} GROUP BY 1) USING (least))"""
+
+
+def pairs(tag: str, key: str, rows: str) -> str:
+    """CTE pairs{tag} (a, b, weight) of contests that share a key."""
+    one = f"(SELECT DISTINCT contest_id, {key} AS k FROM {rows})"
+    return f"pairs{tag} AS MATERIALIZED (SELECT a.contest_id AS a, b.contest_id AS b, count(*) AS weight FROM {one} a JOIN {one} b ON a.k = b.k AND a.contest_id < b.contest_id GROUP BY 1,2)"
+
+
+def loco(src: str) -> str:
+    """(fit_rmse, loco_rmse, n) of rating on b in ``src`` (contest_id, b, rating)."""
+    return f"""(SELECT sqrt(avg(pow(fa * b + fc - rating, 2))) AS fit_rmse, sqrt(avg(pow(a * b + c - rating, 2))) AS loco_rmse, count(*) AS n FROM {src} JOIN
+ (SELECT g.contest_id, regr_slope(rating, b) AS a, regr_intercept(rating, b) AS c FROM (SELECT DISTINCT contest_id FROM {src}) g JOIN {src} q ON q.contest_id <> g.contest_id GROUP BY 1) USING (contest_id),
+ (SELECT regr_slope(rating, b) AS fa, regr_intercept(rating, b) AS fc FROM {src}))"""
+
+
+def trial(tag: str, rows: str, steps: int) -> tuple[list[str], str]:
+    """CTEs for an anchored survival fit over rows (contest_id, team, team_key), and the selection of its figures."""
+    ctes = [
+        f"cells{tag} AS MATERIALIZED (SELECT k.contest_id, team_key AS team, label, y, tau FROM kept k JOIN {rows} USING (contest_id, team))",
+        f"obs{tag} AS MATERIALIZED (SELECT c.*, CASE WHEN y = 1 THEN tau / length ELSE 1.0 END AS rho FROM cells{tag} c JOIN (SELECT contest_id, CASE WHEN max(tau) > 0 THEN max(tau) ELSE 18000.0 END AS length FROM cells{tag} GROUP BY 1) USING (contest_id))",
+        f"early{tag} AS MATERIALIZED (SELECT * FROM obs{tag} WHERE contest_id % 4 = 0)",
+        newton("survival", steps, f"early{tag}", f"m{tag}"), newton("survival", steps, f"obs{tag}", f"n{tag}", f"tm{tag}_{steps}"),
+        f"rated{tag} AS MATERIALIZED (SELECT contest_id, label, f.b, rating FROM bn{tag}_{steps} f JOIN quick USING (contest_id, label))",
+        f"levels{tag} AS MATERIALIZED (SELECT contest_id, label, b, (contest_id + label) % 7 AS level FROM bn{tag}_{steps} WHERE contest_id % 3 <> 0 AND (contest_id + label) % 7 < 5)",
+        pairs(tag, "team_key", rows), linked(tag, f"pairs{tag}", rows),
+    ]
+    return ctes, f"""SELECT (SELECT count(DISTINCT team_key) FROM {rows}) AS teams, (SELECT count(DISTINCT contest_id) FROM {rows}) AS contests, (SELECT count(DISTINCT least) FROM labels{tag}) AS components, (SELECT max(size) FROM labels{tag}) AS largest,
+ (SELECT round(rho, 5) FROM {spearman(f'rated{tag}', 'b', 'rating', '', 'contest_id, label')}) AS spearman, (SELECT round(loco_rmse, 3) FROM {loco(f'rated{tag}')}) AS loco_rmse, (SELECT round(rho, 5) FROM {spearman(f'levels{tag}', 'level', 'b', '', 'contest_id, label')}) AS level_spearman"""

@@ -1,8 +1,8 @@
 """The registered queries: operators applied to the standings-shaped views, each with its SQL twin.
 
-The fixed point and the 2PL fit run until they converge and raise an error if
-they don't; their SQL twins stop after a few steps.  The other iterative
-queries make a fixed number of steps in both engines.
+All fits run until they converge, and raise an error if they don't.  Their SQL
+twins make a number of steps that is enough at the sizes they are compared at;
+steps after convergence change nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from podium.operators.registry import query
 from podium.plans.scratch import Scratch
 from podium.sources import standings, views
 
-#: FP_STEPS is for SQL only.
-STEPS, FP_STEPS = 8, 2
+#: Steps of the SQL twins.
+STEPS, FP_STEPS, TWO_STEPS = 40, 18, 120
 PROBLEM = ["contest_id", "label"]
 
 
@@ -24,8 +24,13 @@ def r(c, places: int = 4):
     return F.round(c, places)
 
 
+def v1(spark, sf) -> DataFrame:
+    """The cells of V1, written once for all uses in a query."""
+    return Scratch(spark, "v1").table(views.v1_cells(spark, sf), "cells")
+
+
 def kept(spark, sf):
-    return C.kept_cells(views.v1_cells(spark, sf))
+    return C.kept_cells(v1(spark, sf))
 
 
 def kept_rows(cells: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def converged(fit):
 @query(O.select("SELECT contest_id, team, CAST(label AS VARCHAR) AS label, y, tau FROM kept", O.BASE))
 def json_standings_scan(spark, sf):
     """V1 as nested JSON in the scratch folder, read back and flattened."""
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = views.v1_rows(cells).join(
         cells.groupBy("contest_id", "team").agg(F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("string"), F.struct((F.col("y") == 1).alias("solved"), F.lit(0.0).alias("score"), F.col("tau").alias("time_seconds"), F.lit(0).alias("wrong_attempts"))))).alias("problems")), ["contest_id", "team"])
     st = rows.groupBy("contest_id").agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("team").cast("string").alias("team_id"), "problems")).alias("standings"))
@@ -86,18 +91,18 @@ def contest_dedupe_first(spark, sf):
 
 @query(O.select("SELECT contest_id, max(CASE WHEN y = 1 THEN tau END) AS last_solve FROM cells GROUP BY 1 HAVING max(CASE WHEN y = 1 THEN tau END) >= 3.5 * 3600", O.CELLS))
 def short_contest_filter(spark, sf):
-    c = views.v1_cells(spark, sf)
+    c = v1(spark, sf)
     return c.groupBy("contest_id").agg(F.max(F.when(F.col("y") == 1, F.col("tau"))).alias("last_solve")).where(F.col("last_solve") >= 3.5 * 3600)
 
 
 @query(O.select("SELECT contest_id, team, solved, penalty, rank FROM keptrows", O.BASE))
 def zero_solve_drop(spark, sf):
-    return views.v1_rows(views.v1_cells(spark, sf)).where("solved > 0").select("contest_id", "team", "solved", "penalty", "rank")
+    return views.v1_rows(v1(spark, sf)).where("solved > 0").select("contest_id", "team", "solved", "penalty", "rank")
 
 
 @query(O.select("SELECT contest_id, contest_name, CASE WHEN contest_name LIKE '%World Final%' THEN year - 1 ELSE year END AS season FROM contests", O.CELLS, O.CONTESTS))
 def season_of(spark, sf):
-    c = views.v1_contests(views.v1_cells(spark, sf))
+    c = views.v1_contests(v1(spark, sf))
     return c.select("contest_id", "contest_name", text.season_of("year", "contest_name").alias("season"))
 
 
@@ -133,19 +138,19 @@ def solve_rate_by_region(spark, sf):
 
 @query(O.select("SELECT team, count(*) AS n, round(1 - pow(0.9, count(*)), 6) AS w FROM keptrows GROUP BY 1", O.BASE))
 def team_reliability(spark, sf):
-    return fp.team_weights(kept_rows(views.v1_cells(spark, sf))).select("team", "n", r("w", 6).alias("w"))
+    return fp.team_weights(kept_rows(v1(spark, sf))).select("team", "n", r("w", 6).alias("w"))
 
 
 # --- identity and graph -----------------------------------------------------------
 
 @query(O.select("SELECT DISTINCT team, ros AS token FROM identi", O.CELLS, O.ROWS, O.CONTESTS, O.identity(False), recursive=True))
 def roster_token(spark, sf):
-    rows = views.v1_identity(views.v1_rows(views.v1_cells(spark, sf)))
+    rows = views.v1_identity(views.v1_rows(v1(spark, sf)))
     return rows.select("team", ident.roster_token("members").alias("token")).distinct()
 
 
 def _keyed(spark, sf, season: bool):
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = views.v1_identity(views.v1_rows(cells))
     scope = None
     if season:
@@ -165,36 +170,30 @@ def team_identity_season(spark, sf):
     return _keyed(spark, sf, True).select("contest_id", "team", "team_key")
 
 
-_PAIRS = "pairs AS MATERIALIZED (SELECT a.contest_id AS a, b.contest_id AS b, count(*) AS weight FROM (SELECT DISTINCT contest_id, {k} AS k FROM {t}) a JOIN (SELECT DISTINCT contest_id, {k} AS k FROM {t}) b ON a.k = b.k AND a.contest_id < b.contest_id GROUP BY 1,2)"
-
-
-@query(O.select("SELECT * FROM pairs", O.CELLS, O.ROWS, O.CONTESTS, O.identity(False), _PAIRS.format(k="team_key", t="keyedi"), recursive=True))
+@query(O.select("SELECT * FROM pairsp", O.CELLS, O.ROWS, O.CONTESTS, O.identity(False), O.pairs("p", "team_key", "keyedi"), recursive=True))
 def contest_pairs(spark, sf):
     return ident.contest_pairs(_keyed(spark, sf, False))
 
 
-@query(O.select("SELECT a, b, weight FROM pairs WHERE weight >= 2", O.CELLS, O.ROWS, O.CONTESTS, _PAIRS.format(k="team || '@' || coalesce(CAST(year AS VARCHAR), 'None')", t="(SELECT * FROM allrows JOIN contests USING (contest_id))")))
+@query(O.select("SELECT a, b, weight FROM pairsp WHERE weight >= 2", O.CELLS, O.ROWS, O.CONTESTS, O.pairs("p", "team || '@' || coalesce(CAST(year AS VARCHAR), 'None')", "(SELECT * FROM allrows JOIN contests USING (contest_id))")))
 def contest_pairs_by_year(spark, sf):
     """Teams count as another in each year; display edges have weight 2 or more."""
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = views.v1_rows(cells).join(views.v1_contests(cells).select("contest_id", "year"), "contest_id")
     rows = rows.withColumn("team_id", F.col("team").cast("string")).withColumn("members", F.lit(None).cast("array<string>"))
     known = ident.identities(ident.identity_edges(rows, suffix="year"))
     return ident.contest_pairs(ident.with_team_key(rows, known, suffix="year"), min_weight=2)
 
 
-@query(O.select("SELECT a, b, weight FROM pairs WHERE weight >= 20", O.BASE, _PAIRS.format(k="team", t="keptrows")))
+@query(O.select("SELECT a, b, weight FROM pairsp WHERE weight >= 20", O.BASE, O.pairs("p", "team", "keptrows")))
 def edges_min_weight(spark, sf):
-    return ident.contest_pairs(kept_rows(views.v1_cells(spark, sf)), "team", 20)
+    return ident.contest_pairs(kept_rows(v1(spark, sf)), "team", 20)
 
 
-@query(O.select("""SELECT l.contest_id, dense_rank() OVER (ORDER BY size DESC, least) - 1 AS component, size FROM labels l JOIN (SELECT least, count(*) AS size FROM labels GROUP BY 1) USING (least)""",
-    O.BASE, "thin AS MATERIALIZED (SELECT contest_id, team FROM keptrows WHERE team % 100 = contest_id % 10)", _PAIRS.format(k="team", t="thin"),
-    "links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)", "reach AS (SELECT DISTINCT contest_id AS node, contest_id AS other FROM keptrows UNION SELECT r.node, e.b FROM reach r JOIN links e ON r.other = e.a)",
-    "labels AS MATERIALIZED (SELECT node AS contest_id, min(other) AS least FROM reach GROUP BY 1)", recursive=True))
+@query(O.select("SELECT contest_id, dense_rank() OVER (ORDER BY size DESC, least) - 1 AS component, size FROM labelsc", O.BASE, O.pairs("c", "team", "keptrows"), O.linked("c", "pairsc", "keptrows"), recursive=True))
 def contest_components(spark, sf):
-    """Components over the links of all kept rows; the SQL twin still links a thinned set."""
-    rows = kept_rows(views.v1_cells(spark, sf))
+    """Components over the links of all kept rows."""
+    rows = kept_rows(v1(spark, sf))
     return ident.contest_components(rows, ident.contest_pairs(rows, "team"))
 
 
@@ -215,26 +214,26 @@ def _flat(rows):
 
 @query(O.select("SELECT contest_id, label, round(b, 3) AS b FROM ratedr", O.BASE, _FLAT, O.rate("flat")))
 def weighted_rating(spark, sf):
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = kept_rows(cells)
     return fp.rate_problems(cells.select(*PROBLEM).distinct(), rows, C.kept_cells(cells), _flat(rows)).select(*PROBLEM, r("b", 3).alias("b"))
 
 
 @query(O.select("SELECT contest_id, team, round(perf, 2) AS perf FROM perfp", O.BASE, _FLAT, "pfield AS MATERIALIZED (SELECT contest_id, team, rank, theta FROM keptrows JOIN flat USING (team))", O.performance("pfield", "p")))
 def performance_rating(spark, sf):
-    rows = kept_rows(views.v1_cells(spark, sf))
+    rows = kept_rows(v1(spark, sf))
     return fp.performance_ratings(rows, _flat(rows)).select("contest_id", "team", r("perf", 2).alias("perf"))
 
 
 @query(O.select(f"SELECT team, round(theta, 2) AS theta FROM fa_{FP_STEPS}", O.BASE, O.fixedpoint("keptrows", "a", FP_STEPS)))
 def fixedpoint_theta(spark, sf):
-    theta, *_ = converged(fp.estimate)(kept_rows(views.v1_cells(spark, sf)))
+    theta, *_ = converged(fp.estimate)(kept_rows(v1(spark, sf)))
     return theta.select("team", r("theta", 2).alias("theta"))
 
 
 @query(O.select("SELECT contest_id, label, round(b, 2) AS b FROM ratedr", O.BASE, O.fixedpoint("keptrows", "a", FP_STEPS), O.rate(f"fa_{FP_STEPS}")))
 def fixedpoint_difficulty(spark, sf):
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = kept_rows(cells)
     theta, *_ = converged(fp.estimate)(rows)
     return fp.rate_problems(cells.select(*PROBLEM).distinct(), rows, C.kept_cells(cells), theta).select(*PROBLEM, r("b", 2).alias("b"))
@@ -243,7 +242,7 @@ def fixedpoint_difficulty(spark, sf):
 @query(O.select(f"SELECT team, round(theta, 2) AS theta FROM fb_{FP_STEPS}", O.BASE, "trusted AS MATERIALIZED (SELECT * FROM keptrows WHERE contest_id % 4 = 0)", O.fixedpoint("trusted", "a", FP_STEPS),
     f"prior AS MATERIALIZED (SELECT team, (2000.0 + w * n * theta) / (1 + w * n) AS mu, 1 + w * n AS strength FROM wa JOIN fa_{FP_STEPS} USING (team))", "later AS MATERIALIZED (SELECT * FROM keptrows WHERE contest_id % 4 <> 0)", O.fixedpoint("later", "b", FP_STEPS, "prior")))
 def fixedpoint_anchored(spark, sf):
-    rows = kept_rows(views.v1_cells(spark, sf))
+    rows = kept_rows(v1(spark, sf))
     theta, *_ = anchor.anchored_fixedpoint(rows.where("contest_id % 4 = 0"), rows.where("contest_id % 4 <> 0"), fit_fn=converged(fp.estimate))
     return theta.select("team", r("theta", 2).alias("theta"))
 
@@ -252,7 +251,7 @@ def fixedpoint_anchored(spark, sf):
 
 def _fit(spark, sf, model):
     obs = C.exposure(kept(spark, sf))
-    return obs, irt.fit(obs, model, eps=None, max_iter=STEPS)
+    return obs, converged(irt.fit)(obs, model)
 
 
 @query(O.select(f"SELECT team, round(theta, 3) AS theta FROM tm_{STEPS}", O.BASE, O.newton("rasch", STEPS, "kept", "m")))
@@ -290,11 +289,11 @@ def survival_se(spark, sf):
 
 def _anchored(spark, sf, model):
     obs = C.exposure(kept(spark, sf))
-    return anchor.anchored_fit(obs.where("contest_id % 4 = 0"), obs.where("contest_id % 4 <> 0"), model=model, eps=None, max_iter=4)[1].select(*PROBLEM, r("b", 3).alias("b"))
+    return anchor.anchored_fit(obs.where("contest_id % 4 = 0"), obs.where("contest_id % 4 <> 0"), fit_fn=converged(irt.fit), model=model)[1].select(*PROBLEM, r("b", 3).alias("b"))
 
 
 def _anchored_sql(model):
-    return O.select("SELECT contest_id, label, round(b, 3) AS b FROM bn_4", O.BASE, O.LENGTH, "early AS MATERIALIZED (SELECT * FROM obs WHERE contest_id % 4 = 0)", "late AS MATERIALIZED (SELECT * FROM obs WHERE contest_id % 4 <> 0)", O.newton(model, 4, "early", "m"), O.newton(model, 4, "late", "n", "tm_4"))
+    return O.select(f"SELECT contest_id, label, round(b, 3) AS b FROM bn_{STEPS}", O.BASE, O.LENGTH, "early AS MATERIALIZED (SELECT * FROM obs WHERE contest_id % 4 = 0)", "late AS MATERIALIZED (SELECT * FROM obs WHERE contest_id % 4 <> 0)", O.newton(model, STEPS, "early", "m"), O.newton(model, STEPS, "late", "n", f"tm_{STEPS}"))
 
 
 @query(_anchored_sql("rasch"))
@@ -307,7 +306,7 @@ def survival_anchored(spark, sf):
     return _anchored(spark, sf, "survival")
 
 
-@query(O.select("SELECT contest_id, label, round(b, 3) AS b, round(exp(g), 5) AS alpha FROM bd_6", O.BASE, O.twopl(6, 3, "kept")))
+@query(O.select(f"SELECT contest_id, label, round(b, 3) AS b, round(exp(g), 5) AS alpha FROM bd_{TWO_STEPS}", O.BASE, O.twopl(TWO_STEPS, 15, "kept")))
 def twopl_alpha(spark, sf):
     return converged(irt.fit_2pl)(kept(spark, sf))[1].select(*PROBLEM, r("b", 3).alias("b"), r("alpha", 5).alias("alpha"))
 
@@ -361,7 +360,7 @@ _MODELS = "models AS MATERIALIZED (SELECT region, 'quick' AS model, contest_id,
 @query(O.select(f"SELECT region, model, round(rho, 5) AS rho, n FROM {O.spearman('models', 'x', 'rating', 'region, model', 'contest_id, label', 4)} UNION ALL SELECT 'pooled', model, round(rho, 5), n FROM {O.spearman('models', 'x', 'rating', 'model', 'contest_id, label', 4)}", O.BASE, O.COUNTS, O.QUICK, O.CONTESTS, _MODELS))
 def region_model_matrix(spark, sf):
     """Rank correlation with the outside rating by region and model, and pooled; null below four problems."""
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     q = quick(C.kept_cells(cells)).join(views.v1_contests(cells).select("contest_id", F.coalesce("region", F.lit("?")).alias("region")), "contest_id", "left")
     m = q.select("region", *PROBLEM, "rating", F.explode(F.array(F.struct(F.lit("quick").alias("model"), F.col("b").alias("x")), F.struct(F.lit("solves").alias("model"), (-F.col("solved").cast("double")).alias("x")))).alias("m")).select("region", *PROBLEM, "rating", "m.*")
     pooled = m.withColumn("region", F.lit("pooled"))
@@ -389,35 +388,35 @@ def calibrated(spark, sf):
 
 
 _SPLIT = "(team * 31 + label * 17 + contest_id) % 100 < 20"
-_TEST = f"test AS MATERIALIZED (SELECT y, 1 / (1 + pow(10, (b - theta) / 400)) AS p, contest_id, team, label FROM kept JOIN tm_4 USING (team) JOIN bm_4 USING (contest_id, label) WHERE {_SPLIT})"
+_TEST = f"test AS MATERIALIZED (SELECT y, 1 / (1 + pow(10, (b - theta) / 400)) AS p, contest_id, team, label FROM kept JOIN tm_{STEPS} USING (team) JOIN bm_{STEPS} USING (contest_id, label) WHERE {_SPLIT})"
 _TRAIN = f"train AS MATERIALIZED (SELECT * FROM kept WHERE NOT ({_SPLIT}))"
 
 
 def _held_out(spark, sf):
     obs = kept(spark, sf)
-    theta, b, *_ = irt.fit(obs.where(f"not ({_SPLIT})"), "rasch", eps=None, max_iter=4)
+    theta, b, *_ = converged(irt.fit)(obs.where(f"not ({_SPLIT})"), "rasch")
     return obs.where(_SPLIT).join(theta.select("team", "theta"), "team").join(b, PROBLEM).withColumn("p", irt.predicted("rasch"))
 
 
 @query(O.select("""SELECT round(avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))), 5) AS log_loss, round(avg(pow(pc - y, 2)), 5) AS brier, round((sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 5) AS auc, count(*) AS n
- FROM (SELECT y, pc, row_number() OVER (ORDER BY pc, contest_id, team, label) AS rk FROM (SELECT *, greatest(least(round(p, 9), 0.999999), 0.000001) AS pc FROM test))""", O.BASE, _TRAIN, O.newton("rasch", 4, "train", "m"), _TEST))
+ FROM (SELECT y, pc, row_number() OVER (ORDER BY pc, contest_id, team, label) AS rk FROM (SELECT *, greatest(least(round(p, 9), 0.999999), 0.000001) AS pc FROM test))""", O.BASE, _TRAIN, O.newton("rasch", STEPS, "train", "m"), _TEST))
 def holdout_metrics(spark, sf):
     t = _held_out(spark, sf).withColumn("p", F.round("p", 9))
     m = metrics.holdout_metrics(t, "y", "p", ["contest_id", "team", "label"])
     return m.select(*(r(c, 5).alias(c) for c in ("log_loss", "brier", "auc")), "n")
 
 
-@query(O.select("""SELECT CASE WHEN p < 0.1 THEN 0 WHEN p < 0.3 THEN 1 WHEN p < 0.5 THEN 2 WHEN p < 0.7 THEN 3 WHEN p < 0.9 THEN 4 ELSE 5 END AS bin, count(*) AS n, round(avg(p), 5) AS mean_pred, round(avg(y), 5) AS rate FROM test GROUP BY 1""", O.BASE, _TRAIN, O.newton("rasch", 4, "train", "m"), _TEST))
+@query(O.select("""SELECT CASE WHEN p < 0.1 THEN 0 WHEN p < 0.3 THEN 1 WHEN p < 0.5 THEN 2 WHEN p < 0.7 THEN 3 WHEN p < 0.9 THEN 4 ELSE 5 END AS bin, count(*) AS n, round(avg(p), 5) AS mean_pred, round(avg(y), 5) AS rate FROM test GROUP BY 1""", O.BASE, _TRAIN, O.newton("rasch", STEPS, "train", "m"), _TEST))
 def calibration_bins(spark, sf):
     return metrics.calibration_bins(_held_out(spark, sf), "y", "p").select("bin", "n", r("mean_pred", 5).alias("mean_pred"), r("rate", 5).alias("rate"))
 
 
 @query(O.select(f"""SELECT region, count(*) AS n, round(quantile_cont(alpha, 0.25), 4) AS q25, round(median(alpha), 4) AS q50, round(quantile_cont(alpha, 0.75), 4) AS q75, round(quantile_cont(alpha, 0.9), 4) AS q90, round(sqrt(avg(e * e)), 3) AS resid_sd, median(field) AS med_field
  FROM (SELECT region, alpha, field, b - (a * x + c) AS e FROM two JOIN (SELECT region, regr_slope(b, x) AS a, regr_intercept(b, x) AS c FROM two GROUP BY 1) USING (region)) GROUP BY 1""",
-    O.BASE, O.COUNTS, O.CONTESTS, O.twopl(4, 2, "kept"), "two AS MATERIALIZED (SELECT region, b, exp(g) AS alpha, field, ln(greatest(least(rate, 0.99), 0.01) / (1 - greatest(least(rate, 0.99), 0.01))) AS x FROM bd_4 JOIN counts USING (contest_id, label) JOIN contests USING (contest_id))"))
+    O.BASE, O.COUNTS, O.CONTESTS, O.twopl(TWO_STEPS, 15, "kept"), f"two AS MATERIALIZED (SELECT region, b, exp(g) AS alpha, field, ln(greatest(least(rate, 0.99), 0.01) / (1 - greatest(least(rate, 0.99), 0.01))) AS x FROM bd_{TWO_STEPS} JOIN counts USING (contest_id, label) JOIN contests USING (contest_id))"))
 def twopl_region_quantiles(spark, sf):
     """Discrimination by region, and how tightly difficulty follows the solve rate."""
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     obs = C.kept_cells(cells)
     b = converged(irt.fit_2pl)(obs)[1]
     t = b.join(C.solve_counts(obs), PROBLEM).join(views.v1_contests(cells).select("contest_id", "region"), "contest_id").withColumn("x", rating.logit("rate"))
@@ -429,7 +428,7 @@ def twopl_region_quantiles(spark, sf):
 
 @query(O.select("SELECT team, count(*) AS contests FROM keptrows GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", O.BASE))
 def top_recurring_teams(spark, sf):
-    return kept_rows(views.v1_cells(spark, sf)).groupBy("team").agg(F.count("*").alias("contests")).orderBy(F.desc("contests"), "team").limit(5)
+    return kept_rows(v1(spark, sf)).groupBy("team").agg(F.count("*").alias("contests")).orderBy(F.desc("contests"), "team").limit(5)
 
 
 @query(O.select("SELECT round(min(b), 3) AS least, round(max(b), 3) AS most, round(avg(b), 3) AS mean, count(*) AS n FROM quick", O.BASE, O.COUNTS, O.QUICK))
@@ -441,26 +440,35 @@ def rating_summary(spark, sf):
 
 @query(O.select("SELECT contest_id, contest_name AS name, coalesce(CAST(year AS VARCHAR), '?') AS year, region, teams, mean_theta, row_number() OVER (ORDER BY coalesce(year, 0) DESC, contest_name, contest_id) AS place FROM contests JOIN (SELECT contest_id, count(*) AS teams, round(avg(1500.0 + team * 37 % 1000), 0) AS mean_theta FROM keptrows GROUP BY 1) USING (contest_id)", O.BASE, O.CONTESTS))
 def viewer_contests(spark, sf):
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = kept_rows(cells)
     return export.contest_list(views.v1_contests(cells), rows.join(_flat(rows), "team"))
 
 
 @query(O.select("SELECT contest_id, team, coalesce(nullif(c_name, ''), '(unnamed)') AS name, coalesce(c_mktsegment, '') AS affiliation, rank, solved FROM keptrows LEFT JOIN customer ON team = c_custkey WHERE lower(concat_ws(' ', c_name, c_mktsegment)) LIKE '%build%'", O.BASE))
 def viewer_teams(spark, sf):
-    rows = kept_rows(views.v1_cells(spark, sf))
+    rows = kept_rows(v1(spark, sf))
     c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("team"), "c_name", "c_mktsegment")
     named = rows.join(c, "team", "left").select("contest_id", "team", text.or_default("c_name", "(unnamed)").alias("name"), text.or_default("c_mktsegment", "").alias("affiliation"), "rank", "solved")
     return named.where(text.text_filter("Build", "name", "affiliation"))
 
 
-@query(O.select("""SELECT cfg, count(DISTINCT team_key) AS teams, count(DISTINCT contest_id) AS contests FROM (SELECT 'baseline' AS cfg, * FROM keyedi UNION ALL SELECT 'filtered', k.* FROM keyedi k JOIN long USING (contest_id) UNION ALL SELECT 'season filtered', k.* FROM keyedj k JOIN long USING (contest_id)) WHERE solved > 0 GROUP BY 1""",
-    O.CELLS, O.ROWS, O.CONTESTS, O.identity(False, "i"), O.identity(True, "j"), "long AS MATERIALIZED (SELECT contest_id FROM cells GROUP BY 1 HAVING max(tau) >= 3.5 * 3600)", recursive=True))
-def season_experiment(spark, sf):
-    """Three configurations of identity and filter: what they leave, how it hangs together, and how well the anchored survival fit agrees with outside ratings and label levels.
+_TRIALS = {"baseline": ("s", "SELECT * FROM keyedi"), "filtered": ("t", "SELECT k.* FROM keyedi k JOIN long USING (contest_id)"), "season filtered": ("u", "SELECT k.* FROM keyedj k JOIN long USING (contest_id)")}
 
-    The SQL twin has the first three columns.
-    """
+
+def _season_sql() -> str:
+    ctes, rows = [], []
+    for name, (tag, source) in _TRIALS.items():
+        own, body = O.trial(tag, f"rows{tag}", STEPS)
+        ctes += [f"rows{tag} AS MATERIALIZED (SELECT contest_id, team, team_key FROM ({source}) WHERE solved > 0)", *own]
+        rows.append(f"SELECT '{name}' AS cfg, * FROM ({body})")
+    long = "long AS MATERIALIZED (SELECT contest_id FROM cells GROUP BY 1 HAVING max(tau) >= 3.5 * 3600)"
+    return O.select(" UNION ALL ".join(rows), O.BASE, O.COUNTS, O.QUICK, O.CONTESTS, O.identity(False, "i"), O.identity(True, "j"), long, *ctes, recursive=True)
+
+
+@query(_season_sql())
+def season_experiment(spark, sf):
+    """Three configurations of identity and filter: what they leave, how it hangs together, and how well the anchored survival fit agrees with outside ratings and label levels."""
     plain, season = _keyed(spark, sf, False), _keyed(spark, sf, True)
     long = short_contest_filter(spark, sf).select("contest_id")
     parts = [("baseline", plain), ("filtered", plain.join(long, "contest_id", "left_semi")), ("season filtered", season.join(long, "contest_id", "left_semi"))]
@@ -502,7 +510,7 @@ def json_export(spark, sf):
 @query(None)
 def html_export(spark, sf):
     """One HTML page with the contests' data embedded."""
-    cells = views.v1_cells(spark, sf)
+    cells = v1(spark, sf)
     rows = kept_rows(cells)
     contests = export.contest_list(views.v1_contests(cells), rows.join(_flat(rows), "team"))
     return export.html_page(contests, "Contests")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from podium.plans.scratch import Scratch
 
@@ -18,16 +19,37 @@ class Parameters:
     def __init__(self, spark: SparkSession, label: str, local_rows: int = LOCAL_ROWS) -> None:
         self.spark, self.scratch, self.local_rows = spark, Scratch(spark, label), local_rows
         self._small: dict[str, bool] = {}
+        self._held: dict[str, DataFrame] = {}
+        #: the greatest move of each table's parameters when it was last settled
+        self.moved: dict[str, float] = {}
 
-    def settle(self, name: str, df: DataFrame) -> DataFrame:
-        """Compute a table once.  Its size is looked at the first time; the number of parameters never changes."""
+    def settle(self, name: str, df: DataFrame, moved: str | None = None) -> DataFrame:
+        """Compute a table once.  Its size is looked at the first time; the number of parameters never changes.
+
+        ``moved`` names a column of how far each parameter has moved, which is
+        reduced to its maximum on the way.
+        """
         if name not in self._small:
             table = self.scratch.table(df, name)
             self._small[name] = table.count() <= self.local_rows
-            return self.spark.createDataFrame(table.toArrow(), table.schema) if self._small[name] else table
+        elif not self._small[name]:
+            table = self.scratch.table(df, name)
+        else:
+            table = df
         if self._small[name]:
-            return self.spark.createDataFrame(df.toArrow(), df.schema)
-        return self.scratch.table(df, name)
+            local = table.toArrow()
+            if moved is not None:
+                self.moved[name] = pc.max(local[moved]).as_py() or 0.0
+                local = local.drop_columns([moved])
+            return self.spark.createDataFrame(local, table.drop(*([moved] if moved else [])).schema)
+        if moved is not None:
+            self.moved[name] = table.agg(F.max(moved)).first()[0] or 0.0
+        # the step before last is read by nothing any more
+        self.scratch.drop(self._held.pop(f"{name}-", None))
+        if name in self._held:
+            self._held[f"{name}-"] = self._held[name]
+        self._held[name] = table
+        return table.drop(moved) if moved else table
 
 
 def repeat(step: Callable[[int, dict], tuple[dict, float | None]], state: dict, max_iter: int, eps: float | None) -> tuple[dict, list[float], bool]:

@@ -33,14 +33,38 @@ def test_performance_rating(spark, rank, want):
     assert got == pytest.approx(want, abs=1e-4)
 
 
-def test_field_inversion_exact_and_grid(monkeypatch):
-    rng = np.random.default_rng(1)
-    theta, rank = rng.normal(2000, 300, 200), np.arange(1, 201)
-    exact = fp.invert_field(theta, rank)
-    monkeypatch.setattr(fp, "EXACT_FIELD", 10)
-    grid = fp.invert_field(theta, rank)
-    assert np.abs(exact - grid).max() < 0.05
-    assert (np.diff(exact[np.argsort(rank)][5:-5]) < 60).all()
+def exact_inversion(theta, rank, halvings=25):
+    """The same bisection on the sum over all rivals."""
+    lo, hi = np.full(len(theta), rating.LO), np.full(len(theta), rating.HI)
+    places = lambda b: fp.expected(theta[None, :], b[:, None]).sum(1) - fp.expected(theta, b)
+    at_lo, at_hi = places(lo) <= rank - 1, places(hi) >= rank - 1
+    for _ in range(halvings):
+        mid = (lo + hi) / 2
+        above = places(mid) > rank - 1
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return np.where(at_lo, rating.LO, np.where(at_hi, rating.HI, (lo + hi) / 2))
+
+
+@pytest.mark.parametrize("n", [1, 5, 200, 900])
+def test_field_inversion_is_exact_at_every_size(n):
+    rng = np.random.default_rng(n)
+    theta, rank = rng.normal(2000, 300, n), rng.permutation(n) + 1
+    assert fp.invert_field(theta, rank) == pytest.approx(exact_inversion(theta, rank), abs=2e-4)
+    fine = fp.invert_curve(fp.field_curve(theta, np.ones(n)), rank - 1.0, lambda b: -fp.expected(theta, b), halvings=45)
+    assert fine == pytest.approx(exact_inversion(theta, rank, halvings=45), abs=1e-6)
+
+
+def test_a_large_field_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fp, "SALT_ROWS", 100)
+    monkeypatch.setattr(fp, "HELD", 1)
+    rng = np.random.default_rng(0)
+    rows = [(c, t, t, r + 1) for c, n in ((1, 700), (2, 3)) for t, r in enumerate(rng.permutation(n).tolist())]
+    theta = rng.normal(2000, 300, 700)
+    got = fp.performance_ratings(spark.createDataFrame(rows, "contest_id long, team long, row long, rank int").repartition(5), spark.createDataFrame(list(enumerate(theta.tolist())), "team long, theta double"))
+    got = {(r.contest_id, r.team): r.perf for r in got.collect()}
+    for c, n in ((1, 700), (2, 3)):
+        rank = np.array([r for k, _, _, r in rows if k == c])
+        assert [got[(c, t)] for t in range(n)] == pytest.approx(exact_inversion(theta[:n], rank), abs=2e-4)
 
 
 def test_identity_cases(spark):
@@ -77,7 +101,7 @@ def test_contest_components_of_all_kept_rows(spark, sf):
             x = root[x]
         return x
 
-    kept = {(r.contest_id, r.team) for r in queries.kept_rows(queries.views.v1_cells(spark, sf)).collect()}
+    kept = {(r.contest_id, r.team) for r in queries.kept_rows(queries.v1(spark, sf)).collect()}
     first = {}
     for c, t in sorted(kept):
         root[find(c)] = find(first.setdefault(t, c))
@@ -148,7 +172,7 @@ def plain_fixedpoint(rows, prior=None, eps=0.5):
     for _ in range(100):
         perf = np.zeros(len(rows))
         for k in np.unique(c):
-            perf[c == k] = fp.invert_field(theta[t[c == k]], rank[c == k])
+            perf[c == k] = exact_inversion(theta[t[c == k]], rank[c == k])
         was, theta = theta, np.clip((w * np.bincount(t, perf) + strength * mu) / (w * n + strength), 800, 4000)
         if np.abs(theta - was).max() < eps:
             return dict(zip(teams, theta)), dict(zip(teams, w * n))
@@ -156,7 +180,7 @@ def plain_fixedpoint(rows, prior=None, eps=0.5):
 
 
 def test_fixedpoint_queries_converge(spark, sf):
-    rows = [(r.contest_id, r.team, r["rank"]) for r in queries.kept_rows(queries.views.v1_cells(spark, sf)).collect()]
+    rows = [(r.contest_id, r.team, r["rank"]) for r in queries.kept_rows(queries.v1(spark, sf)).collect()]
     theta, _ = plain_fixedpoint(rows)
     got = {r.team: r.theta for r in registry.queries()["fixedpoint_theta"](spark, sf).collect()}
     assert got == pytest.approx(theta, abs=0.02)
