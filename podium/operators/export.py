@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from podium.functions import metrics
 from podium.functions.rating import clip
 from podium.functions.text import or_default
+from podium.plans.ranks import numbered
 from podium.plans.scratch import Scratch
 from podium.sources.standings import write_records
 
@@ -32,8 +33,8 @@ def apply_calibration(ratings: DataFrame, anchors: DataFrame, x: str, y: str) ->
 def contest_list(contests: DataFrame, rows: DataFrame) -> DataFrame:
     """(contest_id, name, year, region, teams, mean_theta, place): newest first, then by name."""
     means = rows.groupBy("contest_id").agg(F.count("*").alias("teams"), F.round(F.avg("theta"), 0).alias("mean_theta"))
-    place = F.row_number().over(Window.orderBy(F.coalesce("year", F.lit(0)).desc(), "contest_name", "contest_id"))
-    return contests.join(means, "contest_id").select("contest_id", F.col("contest_name").alias("name"), or_default(F.col("year").cast("string"), "?").alias("year"), "region", "teams", "mean_theta", place.alias("place"))
+    ordered = numbered(contests.join(means, "contest_id"), [F.coalesce("year", F.lit(0)).desc(), F.col("contest_name"), F.col("contest_id")], "place")
+    return ordered.select("contest_id", F.col("contest_name").alias("name"), or_default(F.col("year").cast("string"), "?").alias("year"), "region", "teams", "mean_theta", "place")
 
 
 def viewer_bundle(contests: DataFrame, problems: DataFrame, teams: DataFrame) -> DataFrame:

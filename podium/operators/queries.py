@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from podium.functions import metrics, rating, text
-from podium.operators import anchor, cells as C, export, fixedpoint as fp, identity as ident, irt, oracle as O
+from podium.operators import anchor, cells as C, export, fixedpoint as fp, identity as ident, irt, oracle as O, validate
 from podium.operators.registry import query
+from podium.plans.ranks import numbered
 from podium.plans.scratch import Scratch
 from podium.sources import standings, views
 
@@ -364,7 +365,7 @@ def region_model_matrix(spark, sf):
     q = quick(C.kept_cells(cells)).join(views.v1_contests(cells).select("contest_id", F.coalesce("region", F.lit("?")).alias("region")), "contest_id", "left")
     m = q.select("region", *PROBLEM, "rating", F.explode(F.array(F.struct(F.lit("quick").alias("model"), F.col("b").alias("x")), F.struct(F.lit("solves").alias("model"), (-F.col("solved").cast("double")).alias("x")))).alias("m")).select("region", *PROBLEM, "rating", "m.*")
     pooled = m.withColumn("region", F.lit("pooled"))
-    return metrics.spearman(m.unionByName(pooled), "x", "rating", ["region", "model"], PROBLEM, 4).select("region", "model", r("rho", 5).alias("rho"), "n")
+    return metrics.spearman(m.unionByName(pooled), "x", "rating", ["region", "model"], PROBLEM, 4, spread=True).select("region", "model", r("rho", 5).alias("rho"), "n")
 
 
 @query(O.select("SELECT round(regr_slope(rating, b), 6) AS slope, round(regr_intercept(rating, b), 3) AS intercept, round(corr(b, rating), 6) AS pearson, count(*) AS n FROM quick", O.BASE, O.COUNTS, O.QUICK))
@@ -436,6 +437,148 @@ def rating_summary(spark, sf):
     return quick(kept(spark, sf)).agg(r(F.min("b"), 3).alias("least"), r(F.max("b"), 3).alias("most"), r(F.avg("b"), 3).alias("mean"), F.count("*").alias("n"))
 
 
+# --- outside yardsticks --------------------------------------------------------------
+
+def named(cells: DataFrame) -> DataFrame:
+    """Quick difficulties with made-up titles, some of which several contests share, ids, labels and editorials."""
+    q = quick(cells).withColumn("code", (F.col("contest_id") * 8 + F.col("label")) % 97)
+    q = q.withColumn("name", F.concat(F.lit("Task "), F.expr("char(65 + label)"), F.lit(" "), F.col("code").cast("string")))
+    q = q.withColumn("problem_id", F.concat(F.lit("p"), F.col("contest_id").cast("string"), F.lit("-"), F.col("label").cast("string")))
+    q = q.withColumn("difficulty_estimate", F.element_at(F.array(*map(F.lit, (*text.FIVE_LEVELS, "unknown", "unknown"))), ((F.col("contest_id") + F.col("label")) % 7 + 1).cast("int")))
+    url = F.when(F.col("contest_id") % 4 == 0, F.lit("")).when(F.col("contest_id") % 4 != 1, F.lit("http://notes/"))
+    return q.withColumn("editorial", F.when(F.col("contest_id") % 3 != 0, F.lit(" see notes "))).withColumn("editorial_url", url)
+
+
+_ALNUM, _SPACED = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')", "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_NAMED = """named AS MATERIALIZED (SELECT *, 'Task ' || chr(CAST(65 + label AS INT)) || ' ' || code AS name, 'p' || contest_id || '-' || label AS problem_id,
+ (contest_id + label) % 7 AS five, CASE WHEN (contest_id + label) % 7 BETWEEN 1 AND 4 THEN (contest_id + label) % 7 - 1 END AS four FROM (SELECT *, (contest_id * 8 + label) % 97 AS code FROM quick))"""
+_LABELLED = """labelled AS MATERIALIZED (SELECT 'editorial' AS definition, contest_id, label, CASE WHEN label <> 7 THEN problem_id END AS problem_id, CASE WHEN contest_id % 5 = 0 THEN upper(name) ELSE name END AS name, five AS level FROM named WHERE contest_id % 3 <> 0 AND five < 5
+ UNION ALL SELECT 'url', contest_id, label, CASE WHEN label <> 7 THEN problem_id END, CASE WHEN contest_id % 5 = 0 THEN upper(name) ELSE name END, four FROM named WHERE contest_id % 4 IN (2, 3) AND four IS NOT NULL)"""
+
+
+@query(O.select("SELECT definition, key, round(rho, 5) AS rho, n FROM " + O.spearman("""(SELECT definition, 'id' AS key, contest_id, label, b, l.level FROM named JOIN labelled l USING (contest_id, problem_id, label)
+ UNION ALL SELECT definition, 'label', contest_id, label, b, l.level FROM named JOIN labelled l USING (contest_id, label) UNION ALL SELECT definition, 'name', contest_id, label, b, l.level FROM named JOIN labelled l USING (contest_id, name, label))""", "level", "b", "definition, key", "contest_id, label"),
+    O.BASE, O.COUNTS, O.QUICK, _NAMED, _LABELLED))
+def label_agreement(spark, sf):
+    """Difficulties against label levels: two definitions of a labelled problem, three keys to match by."""
+    p = Scratch(spark, "named").table(named(kept(spark, sf)), "named")
+    # labels come from elsewhere: some ids are unknown there, some titles are written in capitals
+    theirs = p.withColumn("problem_id", F.when(F.col("label") != 7, F.col("problem_id"))).withColumn("name", F.when(F.col("contest_id") % 5 == 0, F.upper("name")).otherwise(F.col("name")))
+    out = None
+    for definition, labelled in (("editorial", validate.with_editorial(theirs)), ("url", validate.with_editorial_url(theirs))):
+        for key in validate.LABEL_KEYS:
+            one = validate.label_pairs(p, labelled, key).select(F.lit(definition).alias("definition"), F.lit(key).alias("key"), "*")
+            out = one if out is None else out.unionByName(one)
+    return metrics.spearman(out, "level", "b", ["definition", "key"], PROBLEM, spread=True).select("definition", "key", r("rho", 5).alias("rho"), "n")
+
+
+@query(O.select(f"""SELECT o.contest_id, o.label, round(o.b, 3) AS b, o.rating FROM named o JOIN (SELECT contest_id, {_SPACED.format("'  ' || replace(upper(name), ' ', '   ')")} AS k FROM named WHERE contest_id % 7 = 0) t ON o.contest_id = t.contest_id AND {_SPACED.format('o.name')} = t.k""", O.BASE, O.COUNTS, O.QUICK, _NAMED))
+def calibration_anchors(spark, sf):
+    """Anchors matched by contest and spaced name; the outside table writes names in capitals and wide."""
+    p = named(kept(spark, sf))
+    outside = p.where("contest_id % 7 = 0").select("contest_id", F.concat(F.lit("  "), F.replace(F.upper("name"), F.lit(" "), F.lit("   "))).alias("name"), "rating")
+    return validate.anchor_pairs(p.drop("rating"), outside).select(*PROBLEM, r("b", 3).alias("b"), "rating")
+
+
+def _outside(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A made-up problem set that mirrors every fourth contest, and a table of titles."""
+    mirrored = p.where("contest_id % 4 = 1 and label <> 7").select((F.col("contest_id") + 100_000).alias("contest"), text.norm_alnum(F.concat(F.upper("name"), F.lit(" !"))).alias("key"), "rating")
+    titles = p.where("code % 2 = 0").select(text.norm_alnum("name").alias("key"), ((F.col("code") + F.col("label") * 10) / 10).alias("difficulty")).distinct()
+    return mirrored, titles
+
+
+_MIRRORED = f"""cfset AS MATERIALIZED (SELECT contest_id + 100000 AS mirror, {_ALNUM.format("upper(name) || ' !'")} AS key, rating AS outside FROM named WHERE contest_id % 4 = 1 AND label <> 7),
+titles AS MATERIALIZED (SELECT DISTINCT {_ALNUM.format('name')} AS key, (code + label * 10) / 10 AS outside FROM named WHERE code % 2 = 0),
+votes AS (SELECT mirror, n.contest_id, count(*) AS hits FROM cfset c JOIN (SELECT DISTINCT contest_id, {_ALNUM.format('name')} AS key FROM named) n USING (key) GROUP BY 1,2),
+mirrors AS MATERIALIZED (SELECT mirror, contest_id FROM (SELECT *, row_number() OVER (PARTITION BY mirror ORDER BY hits DESC, contest_id) AS r FROM votes) JOIN (SELECT mirror, count(*) AS n FROM cfset GROUP BY 1) USING (mirror) WHERE r = 1 AND hits >= 0.6 * n),
+mpairs AS MATERIALIZED (SELECT mirror, contest_id, label, name, b, solved, outside FROM named JOIN mirrors USING (contest_id) JOIN cfset c USING (mirror) WHERE c.key = {_ALNUM.format('name')}),
+tpairs AS MATERIALIZED (SELECT contest_id, label, b, outside FROM named JOIN titles t ON t.key = {_ALNUM.format('name')})"""
+
+
+@query(O.select(" UNION ALL ".join(f"SELECT '{source}' AS source, region, round(rho, 5) AS rho, n FROM {O.spearman(f'(SELECT * FROM {pairs} JOIN contests USING (contest_id))', 'b', 'outside', 'region', 'contest_id, label', 4)} UNION ALL SELECT '{source}', 'pooled', round(rho, 5), n FROM {O.spearman(f'(SELECT * FROM {pairs} JOIN contests USING (contest_id) WHERE {where})', 'b', 'outside', '', 'contest_id, label', 4)}" for source, pairs, where in (("mirror", "mpairs", "true"), ("titles", "tpairs", "region IN ('North', 'East')"))),
+    O.BASE, O.COUNTS, O.QUICK, O.CONTESTS, _NAMED, _MIRRORED))
+def outside_agreement(spark, sf):
+    """Difficulties against a mirrored problem set and a table of titles, by region and pooled."""
+    cells = v1(spark, sf)
+    p = Scratch(spark, "named").table(named(C.kept_cells(cells)), "named")
+    contests, (mirrored, titles) = views.v1_contests(cells), _outside(p)
+    pairs = validate.mirror_pairs(p, validate.mirror_contests(mirrored, p), mirrored)
+    by_mirror = validate.agreement(pairs.select(*PROBLEM, "b", "outside"), contests).withColumn("source", F.lit("mirror"))
+    by_title = validate.agreement(validate.title_pairs(p, titles), contests, pooled=["North", "East"]).withColumn("source", F.lit("titles"))
+    return by_mirror.unionByName(by_title).select("source", "region", r("rho", 5).alias("rho"), "n")
+
+
+@query(O.select("SELECT label, outside, round(b, 3) AS quick, -CAST(solved AS DOUBLE) AS solves FROM mpairs WHERE mirror = 299301 ORDER BY label", O.BASE, O.COUNTS, O.QUICK, _NAMED, _MIRRORED))
+def mirrored_contest(spark, sf):
+    """One mirrored contest's problems by label, with the outside rating and two models."""
+    p = Scratch(spark, "named").table(named(kept(spark, sf)), "named")
+    mirrored, _ = _outside(p)
+    pairs = validate.mirror_pairs(p, validate.mirror_contests(mirrored, p), mirrored)
+    models = {"quick": p.withColumn("b", r("b", 3)), "solves": p.withColumn("b", -F.col("solved").cast("double"))}
+    return validate.contest_detail(pairs, 299301, models).select("label", "outside", "quick", "solves")
+
+
+@query(O.select(f"SELECT round(corr(x.b, y.b), 5) AS pearson, round(sqrt(avg(pow(x.b - y.b, 2))), 3) AS spread, count(*) AS n FROM bd_{TWO_STEPS} x JOIN bm_{STEPS} y USING (contest_id, label)", O.BASE, O.twopl(TWO_STEPS, 15, "kept"), O.newton("rasch", STEPS, "kept", "m")))
+def twopl_vs_rasch(spark, sf):
+    obs = kept(spark, sf)
+    got = validate.compare_fits(converged(irt.fit_2pl)(obs)[1], converged(irt.fit)(obs, "rasch")[1])
+    return got.select(r("pearson", 5).alias("pearson"), r("spread", 3).alias("spread"), "n")
+
+
+def _models_sql() -> str:
+    p = {"rasch": "1 / (1 + pow(10, (b - theta) / 400))", "survival": f"1 - exp(-{O.LN2!r} * exp((theta - b) / {O.S!r}))", "2pl": f"1 / (1 + exp(-(exp(g) / {O.S!r} * (theta - b))))"}
+    tables = {"rasch": (f"tr_{STEPS}", f"br_{STEPS}"), "survival": (f"ts_{STEPS}", f"bs_{STEPS}"), "2pl": (f"td_{TWO_STEPS}", f"bd_{TWO_STEPS}")}
+    test = " UNION ALL ".join(f"SELECT '{m}' AS model, y, contest_id, team, label, greatest(least(round({p[m]}, 9), 0.999999), 0.000001) AS pc FROM obs JOIN {t} USING (team) JOIN {b} USING (contest_id, label) WHERE {_SPLIT}" for m, (t, b) in tables.items())
+    return O.select(f"""SELECT model, round(avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))), 5) AS log_loss, round(avg(pow(pc - y, 2)), 5) AS brier, round((sum(y * rk) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 5) AS auc, count(*) AS n
+ FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pc, contest_id, team, label) AS rk FROM ({test})) GROUP BY 1""", O.BASE, O.LENGTH, f"train AS MATERIALIZED (SELECT * FROM obs WHERE NOT ({_SPLIT}))",
+        O.newton("rasch", STEPS, "train", "r"), O.newton("survival", STEPS, "train", "s"), O.twopl(TWO_STEPS, 15, "train"))
+
+
+@query(_models_sql())
+def holdout_models(spark, sf):
+    """Log loss, Brier score and AUC of all three models on held-out cells; contest lengths are those of all cells."""
+    obs = Scratch(spark, "holdout").table(C.exposure(kept(spark, sf)), "obs")
+    train, test, out = obs.where(f"not ({_SPLIT})"), obs.where(_SPLIT), None
+    for model in ("rasch", "survival", "2pl"):
+        theta, b, *_ = converged(irt.fit_2pl)(train) if model == "2pl" else converged(irt.fit)(train, model)
+        t = test.join(theta.select("team", "theta"), "team").join(b, PROBLEM).withColumn("p", F.round(irt.predicted(model), 9))
+        one = metrics.holdout_metrics(t, "y", "p", ["contest_id", "team", "label"]).select(F.lit(model).alias("model"), *(r(c, 5).alias(c) for c in ("log_loss", "brier", "auc")), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(O.select(f"""SELECT figure, round(value, 4) AS value FROM (SELECT 'least difficulty' AS figure, min(b) AS value FROM quick UNION ALL SELECT 'greatest difficulty', max(b) FROM quick UNION ALL SELECT 'mean difficulty', avg(b) FROM quick UNION ALL SELECT 'problems', count(*) FROM quick
+ UNION ALL SELECT 'least ability', min(theta) FROM flat UNION ALL SELECT 'greatest ability', max(theta) FROM flat UNION ALL SELECT 'mean ability', avg(theta) FROM flat UNION ALL SELECT 'teams', count(*) FROM flat
+ UNION ALL SELECT 'median rank correlation', median(rho) FROM own UNION ALL SELECT 'contests', count(*) FROM own)""", O.BASE, O.COUNTS, O.QUICK, _FLAT, f"own AS MATERIALIZED (SELECT rho FROM {O.spearman('quick', 'b', 'solved', 'contest_id', 'label')} WHERE n >= 3 AND rho IS NOT NULL)"))
+def run_report(spark, sf):
+    cells = v1(spark, sf)
+    return validate.run_report(quick(C.kept_cells(cells)), _flat(kept_rows(cells))).select("figure", r("value").alias("value"))
+
+
+@query(O.select("""SELECT (SELECT count(DISTINCT contest_id) FROM live) AS contests, (SELECT count(*) FROM live) AS rows, (SELECT count(*) FROM byteam) AS teams, (SELECT count(*) FROM byteam WHERE team_key LIKE 'mem:%') AS roster_teams,
+ (SELECT count(*) FROM byteam WHERE n > 1) AS multi_contest_teams, (SELECT count(*) FROM byteam WHERE team_key LIKE 'dj:%') AS isolated_teams, (SELECT count(*) FROM (SELECT DISTINCT contest_id, label FROM cells)) AS problems""",
+    O.CELLS, O.ROWS, O.CONTESTS, O.identity(False), "live AS MATERIALIZED (SELECT * FROM keyedi WHERE solved > 0)", "byteam AS MATERIALIZED (SELECT team_key, count(*) AS n FROM live GROUP BY 1)", recursive=True))
+def data_summary(spark, sf):
+    rows = Scratch(spark, "summary").table(_keyed(spark, sf, False).where("solved > 0").select("contest_id", "team_key"), "rows")
+    return validate.data_summary(rows, v1(spark, sf).select(*PROBLEM).distinct())
+
+
+@query(O.select("SELECT contest_id, contest_name AS name, coalesce(CAST(year AS VARCHAR), '?') AS year, dense_rank() OVER (ORDER BY size DESC, least) - 1 AS component FROM labelsc JOIN contests USING (contest_id)", O.CELLS, O.ROWS, O.CONTESTS, O.pairs("c", "team", "allrows"), O.linked("c", "pairsc", "allrows"), recursive=True))
+def graph_nodes(spark, sf):
+    cells = v1(spark, sf)
+    rows = views.v1_rows(cells)
+    return validate.graph_nodes(views.v1_contests(cells), ident.contest_components(rows, ident.contest_pairs(rows, "team")))
+
+
+@query(O.select("SELECT contest_id, team, name, affiliation, row_number() OVER (ORDER BY lower(affiliation) DESC NULLS LAST, lower(name) NULLS LAST, contest_id, team) AS place FROM (SELECT contest_id, team, c_name AS name, c_mktsegment AS affiliation FROM keptrows LEFT JOIN customer ON team = c_custkey)", O.BASE))
+def viewer_sorted(spark, sf):
+    """The viewer's table by affiliation, falling, then by name; strings by lower case."""
+    rows = kept_rows(v1(spark, sf))
+    c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("team"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("affiliation"))
+    t = rows.join(c, "team", "left").select("contest_id", "team", "name", "affiliation")
+    return numbered(t, validate.viewer_order(t, "affiliation", True) + validate.viewer_order(t, "name", ties=("contest_id", "team")), "place")
+
+
 # --- export -----------------------------------------------------------------------
 
 @query(O.select("SELECT contest_id, contest_name AS name, coalesce(CAST(year AS VARCHAR), '?') AS year, region, teams, mean_theta, row_number() OVER (ORDER BY coalesce(year, 0) DESC, contest_name, contest_id) AS place FROM contests JOIN (SELECT contest_id, count(*) AS teams, round(avg(1500.0 + team * 37 % 1000), 0) AS mean_theta FROM keptrows GROUP BY 1) USING (contest_id)", O.BASE, O.CONTESTS))
