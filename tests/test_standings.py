@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.functions import metrics, rating, text
-from podium.operators import cells as C, export, fixedpoint as fp, identity as ident, irt, queries, registry
+from podium.operators import cells as C, export, fixedpoint as fp, identity as ident, irt, queries, registry, validate
 from podium.plans.components import connected_components
-from podium.sources import standings
+from podium.plans.ranks import numbered
+from podium.sources import reference_ratings, standings
 
 FIELD = [2400.0, 2200.0, 2000.0, 1800.0, 1600.0]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -313,7 +314,58 @@ def test_exports(spark):
     assert export.round_trip(contests).count() == 1
 
 
-LIGHT = ["contest_dedupe_first", "zero_solve_drop", "survival_cells", "team_identity", "contest_components", "weighted_rating", "performance_rating", "rasch_difficulty", "twopl_alpha", "spearman_by_contest", "region_model_matrix", "loco_rmse", "holdout_metrics", "viewer_teams"]
+def test_numbers_run_over_the_whole_table(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("g")).repartition(7)
+    got = {(r.x, r.g): r.n for r in numbered(df, [F.desc("g"), F.col("x")], "n").collect()}
+    want = sorted(got, key=lambda k: (-k[1], k[0]))
+    assert [got[k] for k in want] == list(range(1, 1001))
+    assert numbered(df.where("false"), [F.col("x")], "n").count() == 0
+    one = metrics.spearman(df.withColumn("y", F.col("x") * F.col("x")), "x", "y", ["g"], spread=True)
+    assert [r.rho for r in one.collect()] == pytest.approx([1.0] * 3)
+
+
+def test_validation_joins(spark):
+    names = [(1, "A", "p1", "Two  Sum!", 100.0), (1, "B", "p2", "\u5c71", 200.0), (2, "A", "p3", "two sum", 300.0), (2, "B", None, "Tree", 400.0), (2, "C", "p5", "graph", 500.0)]
+    rated = spark.createDataFrame(names, "contest_id long, label string, problem_id string, name string, b double")
+    labelled = spark.createDataFrame([(1, "A", "p1", "Two  Sum!", "easy", " x ", "http://x"), (1, "B", "p2", "other", "very_easy", "y", None), (2, "A", "p3", "TWO SUM", "hard", "  ", "u"), (2, "B", None, "Tree", "hard", "z", "u")], "contest_id long, label string, problem_id string, name string, difficulty_estimate string, editorial string, editorial_url string")
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    five, four = validate.with_editorial(labelled), validate.with_editorial_url(labelled)
+    assert rows(five, "contest_id", "label", "level") == [(1, "A", 1), (1, "B", 0), (2, "B", 3)] and rows(four, "contest_id", "label", "level") == [(1, "A", 0), (2, "A", 2), (2, "B", 2)]
+    assert rows(validate.label_pairs(rated, five, "id"), "b", "level") == [(100.0, 1), (200.0, 0)]
+    assert rows(validate.label_pairs(rated, four, "name"), "b", "level") == [(100.0, 0), (400.0, 2)]
+    assert rows(validate.label_pairs(rated, four), "b", "level") == [(100.0, 0), (300.0, 2), (400.0, 2)]
+    outside = spark.createDataFrame([(1, " two sum! ", 900), (2, "two  sum", 950), (2, "none", 1)], "contest_id long, name string, rating int")
+    assert rows(validate.anchor_pairs(rated, outside), "contest_id", "b", "rating") == [(1, 100.0, 900.0), (2, 300.0, 950.0)]
+    problem_set = spark.createDataFrame([(70, "twosum", 800), (70, "tree", 900), (70, "graph", 1000), (71, "twosum", 1), (71, "x", 2), (71, "y", 3)], "contest long, key string, rating int")
+    mirrors = validate.mirror_contests(problem_set, rated)
+    assert rows(mirrors, "mirror", "contest_id", "hits", "n") == [(70, 2, 3, 3)]
+    pairs = validate.mirror_pairs(rated, mirrors, problem_set)
+    assert rows(pairs, "label", "b", "outside") == [("A", 300.0, 800.0), ("B", 400.0, 900.0), ("C", 500.0, 1000.0)]
+    detail = validate.contest_detail(pairs, 70, {"m": rated, "half": rated.where("label <> 'B'")}).collect()
+    assert [tuple(r) for r in detail] == [("A", 800.0, 300.0, 300.0), ("B", 900.0, 400.0, None), ("C", 1000.0, 500.0, 500.0)]
+    titles = spark.createDataFrame([("twosum", 2.5), ("", 9.0)], "key string, difficulty double")
+    assert rows(validate.title_pairs(rated, titles), "contest_id", "label", "outside") == [(1, "A", 2.5), (2, "A", 2.5)]
+    places = spark.createDataFrame([(2, "North")], "contest_id long, region string")
+    got = {r.region: (r.rho, r.n) for r in validate.agreement(pairs.select("contest_id", "label", "b", "outside"), places, least=3).collect()}
+    assert got == {"North": (pytest.approx(1.0), 3), "pooled": (pytest.approx(1.0), 3)}
+    assert {r.region: r.rho for r in validate.agreement(pairs, places).collect()} == {"North": None, "pooled": None}
+    assert validate.compare_fits(rated, rated.withColumn("b", F.col("b") + 3)).first()[:] == (pytest.approx(1.0), pytest.approx(3.0), 5)
+    assert {r.contest_id: r.n for r in reference_ratings.reference_ratings(spark).groupBy("contest_id").agg(F.count("*").alias("n")).collect()} == {3747: 13, 2785: 13, 2657: 14}
+
+
+def test_graph_and_viewer_order(spark):
+    contests = spark.createDataFrame([(1, "One", 2020), (2, "", None), (3, None, 2021)], "contest_id long, contest_name string, year int")
+    pairs = spark.createDataFrame([(1, 2, 1), (2, 3, 4)], "a long, b long, weight long")
+    nodes = validate.graph_nodes(contests, ident.contest_components(contests, pairs))
+    assert sorted(tuple(r) for r in nodes.collect()) == [(1, "One", "2020", 0), (2, "2", "?", 0), (3, "3", "2021", 0)]
+    bundle = [(r.part, json.loads(r.json)) for r in validate.graph_bundle(nodes, {"A": pairs}).collect()]
+    assert [e for p, e in bundle if p == "edge A"] == [{"a": 2, "b": 3, "weight": 4}] and sum(p == "node" for p, _ in bundle) == 3
+    t = spark.createDataFrame([(1, "b"), (2, "A"), (3, None), (4, "C")], "k long, name string")
+    order = lambda down: [r.k for r in numbered(t, validate.viewer_order(t, "name", down, ("k",)), "n").orderBy("n").collect()]
+    assert order(False) == [2, 1, 4, 3] and order(True) == [4, 1, 2, 3]
+
+
+LIGHT = ["contest_dedupe_first", "zero_solve_drop", "survival_cells", "team_identity", "contest_components", "weighted_rating", "performance_rating", "rasch_difficulty", "twopl_alpha", "spearman_by_contest", "region_model_matrix", "loco_rmse", "holdout_metrics", "viewer_teams", "fixedpoint_theta", "season_experiment", "label_agreement", "outside_agreement", "mirrored_contest", "run_report", "data_summary", "graph_nodes", "viewer_sorted"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
