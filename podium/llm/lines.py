@@ -43,13 +43,13 @@ BUCKETS = 1 << 23
 #: Bits of the filters that keep lines and words without candidates from travelling.
 FILTER = 1 << 24
 LAST_ID = (1 << 63) - 1
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Lists of lines that share a word, up to which all pairs are looked at.
 SHORT_LIST = 64
 #: Occurrences of a word (of its bucket) from which its lines are split by signatures.
 HOT_WORD = 1 << 17
 #: Rows that share a shuffled bucket, about, and rows that a task gathers before it sends them.
-BUCKET_ROWS, SENT_ROWS = 250_000, 500_000
+BUCKET_ROWS, SENT_ROWS = 250_000, 300_000
 #: Lines of so few words have a sketch of 64 bits, others of 128.
 SHORT_LINE = 48
 
@@ -336,15 +336,16 @@ def _listed_by(rarity, threshold: float):
 def _may_match(threshold: float, col: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of the pairs of places pass the length, positional and sketch filters at a common word; ``pos`` -1 is a signature."""
     n_x, n_y = col["n"][x], col["n"][y]
-    ok = np.minimum(n_x, n_y) >= threshold * np.maximum(n_x, n_y) - 1e-9
+    less, more = np.minimum(n_x, n_y), np.maximum(n_x, n_y)
+    need = np.ceil(threshold / (1 + threshold) * (n_x + n_y) - 1e-9).astype(np.int32)
+    spare = need - _shared(less) + 1
+    ok = (less >= threshold * more - 1e-9) & (n_x - col["pos"][x] >= spare) & (n_y - col["pos"][y] >= spare)
     at = np.flatnonzero(ok)
-    x, y, n_x, n_y = x[at], y[at], n_x[at], n_y[at]
+    x, y = x[at], y[at]
     low, high = col["low"][x] ^ col["low"][y], col["high"][x] ^ col["high"][y]
-    short = np.minimum(n_x, n_y) <= SHORT_LINE
+    short = less[at] <= SHORT_LINE
     apart = np.bitwise_count(np.where(short, low ^ high, low)).astype(np.int32) + np.bitwise_count(np.where(short, np.uint64(0), high))
-    need = np.ceil(threshold / (1 + threshold) * (n_x + n_y) - 1e-9).astype(np.int32)
-    spare = need - _shared(np.minimum(n_x, n_y)) + 1
-    ok[at] = (apart <= n_x + n_y - 2 * need) & (n_x - col["pos"][x] >= spare) & (n_y - col["pos"][y] >= spare)
+    ok[at] = apart <= n_x[at] + n_y[at] - 2 * need[at]
     return ok
 
 
@@ -563,20 +564,22 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     scratch.release()
     place, fields = df.columns.index(text_col), df.schema.fields
 
+    @tidy
     def each(batches):
         for b in batches:
-            texts = []
-            for text, lines in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if text is not None and lines:
-                    drop = set(lines)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-                texts.append(text)
+            texts, lines = b.column(place), b.column(b.num_columns - 1)
+            cut = pc.and_(texts.is_valid(), lines.is_valid())
+            kept = []
+            for text, gone in zip(texts.filter(cut).to_pylist(), lines.filter(cut).to_pylist()):
+                drop = set(gone)
+                kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
             cols = b.columns[:-1]
-            cols[place] = pa.array(texts, b.schema.field(place).type)
+            cols[place] = pc.replace_with_mask(texts, cut, pa.array(kept, texts.type)) if kept else texts
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
     names = [f"c{i}" for i in range(len(fields))]
-    joined = keyed.drop("id", "text").join(gone, F.col("key") == F.col("of"), "left").select(*names, "gone")
+    # keys are unique, and the lists are much smaller than the texts, which need not be sorted
+    joined = keyed.drop("id", "text").join(gone.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select(*names, "gone")
     return joined.mapInArrow(each, StructType([StructField(n, f.dataType) for n, f in zip(names, fields)])).toDF(*df.columns)
 
 
