@@ -470,7 +470,7 @@ def _verified(table: DataFrame, pairs: DataFrame, threshold: float, scratch: Scr
             upto = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lines[keep]), pa.ListArray.from_arrays(pa.array(upto), pa.array(words))], names=["id", "line", "words"])
 
-    sets = scratch.table(table.mapInArrow(fetch, "id long, line int, words array<long>"), "sets")
+    sets = scratch.table(table.mapInArrow(fetch, "id long, line int, words array<long>"), "sets", "lz4_raw")
     x = sets.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("id").alias("y_id"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_id", "x_line"]).join(y, ["y_id", "y_line"])
@@ -515,9 +515,9 @@ def _removed(keyed: DataFrame, threshold: float) -> DataFrame:
     scratch = Scratch(spark, "lines")
     table = scratch.table(keyed.select("key", "text").mapInArrow(_block_table, TABLE), "blocks", "lz4_raw")  # the large columns are squeezed already
     # equal sets: all but the first go
-    keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int, block long, at int"), "keys")
+    keys = scratch.table(table.mapInArrow(_line_keys, "set_a long, set_b long, id long, line int, block long, at int"), "keys", "lz4_raw")  # hashes are as good as random
     firsts = keys.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("set_a", "set_b", "first")
-    firsts = scratch.table(firsts, "first_of_set")
+    firsts = scratch.table(firsts, "first_of_set", "lz4_raw")
     equal = scratch.table(keys.join(firsts, ["set_a", "set_b"]).where("id > first.id or (id = first.id and line > first.line)").select("id", "line", "block", "at"), "equal")
     scratch.drop(keys, firsts)
     # rarity, by buckets: a byte each comes to the driver
