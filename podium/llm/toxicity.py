@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = confirmed.where(_drawn(max(1, confirmed.count()), max_positive, 3, "id", "text")).select(F.lit(True).alias("positive"), "id", "text")
     drawn = drawn.unionByName(rows.where(_drawn(n_rows, max_unlabelled, 2, "id", "text")).select(F.lit(False).alias("positive"), "id", "text"))
     sample = scratch.table(drawn.distinct().select("positive", "text").mapInArrow(_sampled, SAMPLE).withColumn("row", F.monotonically_increasing_id()), "sample")
-    sketches = [(r["row"], r["positive"], r["sketch"]) for r in sample.select("row", "positive", "sketch").orderBy("row").collect()]  # at most eight numbers a sampled text
+    sketches = [(r["row"], r["positive"], r["sketch"]) for r in sample.select("row", "positive", "sketch").collect()]  # at most eight numbers a sampled text
+    sketches.sort(key=lambda s: s[2])  # the same order however the rows were dealt
     kept = [_unlike([(row, sketch) for row, kind, sketch in sketches if kind is positive]) for positive in (True, False)]
     n_p, n_u = map(len, kept)
     if not n_p or not n_u:
