@@ -437,3 +437,7 @@ def _one_pass_a_step(spark, sf, monkeypatch, model):
 
 def test_rasch_steps_are_one_pass_and_equal_the_tables(spark, sf, monkeypatch):
     _one_pass_a_step(spark, sf, monkeypatch, "rasch")
+
+
+def test_survival_steps_are_one_pass_and_equal_the_tables(spark, sf, monkeypatch):
+    _one_pass_a_step(spark, sf, monkeypatch, "survival")
