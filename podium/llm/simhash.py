@@ -223,7 +223,8 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = of_row.groupBy("fp").agg(F.min("first").alias("first"))
     kept = first.join(_roots(fps, radius, scratch), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = scratch.table(kept.select(F.col("first.row").alias("row")), "kept")
-    return rows.join(kept, "row", "left_semi").select(*names).toDF(*df.columns)
+    # numbers are much smaller than the texts, which need not be sorted
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*names).toDF(*df.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -643,3 +643,9 @@ def test_pipeline_against_plain_stages(spark, sf, docs):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in got) == want
     check_packing(got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "best-fit packing"]
+
+
+def test_near_copies_join_texts_without_sorting_at_any_size(spark):
+    df = spark.createDataFrame([(i, f"text {i} of a few words that differ {i * 7}") for i in range(20)], "doc_id long, text string")
+    plan = simhash.without_near_copies(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
