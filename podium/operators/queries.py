@@ -7,6 +7,9 @@ steps after convergence change nothing.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window, functions as F
 
 from podium.functions import metrics, rating, text
@@ -539,12 +542,22 @@ def holdout_models(spark, sf):
     """Log loss, Brier score and AUC of all three models on held-out cells; contest lengths are those of all cells."""
     obs = Scratch(spark, "holdout").table(C.exposure(kept(spark, sf)), "obs")
     train, test, out = obs.where(f"not ({_SPLIT})"), obs.where(_SPLIT), None
-    for model in ("rasch", "survival", "2pl"):
-        theta, b, *_ = converged(irt.fit_2pl)(train) if model == "2pl" else converged(irt.fit)(train, model)
-        t = test.join(theta.select("team", "theta"), "team").join(b, PROBLEM).withColumn("p", F.round(irt.predicted(model), 9))
-        one = metrics.holdout_metrics(t, "y", "p", ["contest_id", "team", "label"]).select(F.lit(model).alias("model"), *(r(c, 5).alias(c) for c in ("log_loss", "brier", "auc")), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    models = ("rasch", "survival", "2pl")
+    dealt = irt.deal(train)  # once for all three
+
+    def fitted(model):
+        return converged(irt.fit_2pl)(train, dealt=dealt) if model == "2pl" else converged(irt.fit)(train, model, dealt=dealt)
+
+    with ThreadPoolExecutor(1 if dealt is None else len(models)) as pool:  # a pass over blocks is mostly waiting
+        fits = list(pool.map(inheritable_thread_target(spark)(fitted), models))
+    for model, (theta, b, *_) in zip(models, fits):
+        t = test.join(theta.select("team", "theta"), "team").join(b, PROBLEM)
+        t = t.select(F.lit(model).alias("model"), *PROBLEM, "team", "y", F.round(irt.predicted(model), 9).alias("p"))
+        out = t if out is None else out.unionByName(t)
+    if dealt is not None:
+        dealt[0].release()
+    got = metrics.holdout_metrics(out, "y", "p", ["contest_id", "team", "label"], ["model"])
+    return got.select("model", *(r(c, 5).alias(c) for c in ("log_loss", "brier", "auc")), "n")
 
 
 @query(O.select(f"""SELECT figure, round(value, 4) AS value FROM (SELECT 'least difficulty' AS figure, min(b) AS value FROM quick UNION ALL SELECT 'greatest difficulty', max(b) FROM quick UNION ALL SELECT 'mean difficulty', avg(b) FROM quick UNION ALL SELECT 'problems', count(*) FROM quick

@@ -441,3 +441,20 @@ def test_rasch_steps_are_one_pass_and_equal_the_tables(spark, sf, monkeypatch):
 
 def test_survival_steps_are_one_pass_and_equal_the_tables(spark, sf, monkeypatch):
     _one_pass_a_step(spark, sf, monkeypatch, "survival")
+
+
+def test_held_out_models_share_one_deal_and_one_ranking(spark, sf, monkeypatch):
+    dealt, ranked = [], []
+    blocks, number = irt.TeamBlocks, metrics.numbered
+    monkeypatch.setattr(irt, "TeamBlocks", lambda *a: dealt.append(1) or blocks(*a))
+    monkeypatch.setattr(metrics, "numbered", lambda *a: ranked.append(1) or number(*a))
+    got = {r.model: r for r in registry.queries()["holdout_models"](spark, sf).collect()}
+    assert (len(dealt), len(ranked)) == (1, 1)
+    # each model as fitted and ranked by itself
+    obs = Scratch(spark, "apart").table(C.exposure(queries.kept(spark, sf)))
+    train, test = obs.where(f"not ({queries._SPLIT})"), obs.where(queries._SPLIT)
+    for model in ("rasch", "survival", "2pl"):
+        theta, b, *_ = irt.fit_2pl(train) if model == "2pl" else irt.fit(train, model)
+        t = test.join(theta.select("team", "theta"), "team").join(b, ["contest_id", "label"]).withColumn("p", F.round(irt.predicted(model), 9))
+        want = metrics.holdout_metrics(t, "y", "p", ["contest_id", "team", "label"]).first()
+        assert got[model].n == want.n and [got[model][c] for c in ("log_loss", "brier", "auc")] == pytest.approx([want[c] for c in ("log_loss", "brier", "auc")], abs=1e-5)
