@@ -11,28 +11,24 @@ whose size is the vocabulary's.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from podium.llm.words import PartEncoder, Split, blocks, default_path, parts, tidy, tokenizer
+from podium.llm.words import PartEncoder, Split, blocks, default_path, parts_of_all, tidy, tokenizer
 
 #: Bytes of text in a block.  A block's words and numbers are held by one task.
 BLOCK_BYTES = 32_000_000
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+#: Words whose texts are joined at a time, about.
+JOINED_WORDS = 250_000
 
 
 def _numbered(batches):
-    """(block, batch, numbers of the texts' words in a row, texts' word counts, how many words come again, words' parts, parts).
+    """(block, batch, numbers of the texts' words in a row, texts' word counts, how many words come again, words' part counts, numbers of their parts in a row, parts).
 
     Words that come again are numbered by falling frequency, then the others in
     the order they come, which need not be written down.  A block's name is a
@@ -49,20 +45,20 @@ def _numbered(batches):
             name.update(split.data.tobytes())
             flat, first, _ = split.distinct()
             times = np.bincount(flat, minlength=len(first))
-            order = np.lexsort((-times, times == 1))
+            order = np.argsort(np.where(times == 1, 1, -times), kind="stable")
             number = np.empty(len(order), np.uint32)
             number[order] = np.arange(len(order))
-            of_parts = _Numbers()
-            made = [[of_parts[p] for p in parts(split.word(i).decode())] for i in first[order].tolist()]
-            yield name.intdigest() - (1 << 63), b, number[flat], split.sizes, int((times > 1).sum()), made, of_parts
+            counts, found = parts_of_all(split.words(first[order]))
+            coded = found.dictionary_encode()
+            yield name.intdigest() - (1 << 63), b, number[flat], split.sizes, int((times > 1).sum()), counts, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             nth += 1
 
 
 @tidy
 def _words_of(batches):
-    for block, *_, of_parts in _numbered(batches):
-        n = len(of_parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(of_parts), pa.string())], names=["block", "at", "word"])
+    for block, *_, parts in _numbered(batches):
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), parts.cast(pa.string())], names=["block", "at", "word"])
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
@@ -87,10 +83,11 @@ def _spread(squeezed: bytes) -> np.ndarray:
 
 def _unsaid(numbers: np.ndarray, first: int) -> np.ndarray:
     """Numbers from ``first`` on come in order for the first time: those times become 0, all others rise by one."""
-    out = numbers.astype(np.int64) + 1
-    value, at = np.unique(numbers, return_index=True)
-    out[at[value >= first]] = 0
-    return out
+    numbers = numbers.astype(np.int64)
+    before = np.maximum.accumulate(numbers)
+    new = numbers >= first
+    new[1:] &= numbers[1:] > before[:-1]
+    return np.where(new, 0, numbers + 1)
 
 
 def _said(numbers: np.ndarray, first: int) -> np.ndarray:
@@ -102,11 +99,9 @@ def _said(numbers: np.ndarray, first: int) -> np.ndarray:
 
 @tidy
 def _texts_of(batches):
-    for block, b, flat, sizes, again, made, of_parts in _numbered(batches):
-        counts = np.fromiter(map(len, made), np.int64, len(made))
-        of_words = np.fromiter(chain.from_iterable(made), np.int64, int(counts.sum()))
+    for block, b, flat, sizes, again, counts, of_words, parts in _numbered(batches):
         cols = [
-            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(of_parts)], pa.int64()), pa.array([again], pa.int64()),
+            pa.array([block]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(parts)], pa.int64()), pa.array([again], pa.int64()),
             *(pa.array([_squeezed(x)], pa.binary()) for x in (_unsaid(flat, again), counts, _unsaid(of_words, 0))),
         ]
         yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "n_parts", "again", "numbers", "lengths", "made"])
@@ -128,7 +123,7 @@ def _encoder(path: str, narrow: bool):
 
 
 def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish, schema: str) -> DataFrame:
-    """``finish`` gets, for each block, the documents' ids, word numbers and the words' ids."""
+    """``finish`` gets, for each block, the documents' ids, their words' numbers in a row and how many they have, the words' ids in a row and their edges."""
     narrow = tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = docs.mapInArrow(_words_of, "block long, at int, word string")
@@ -138,20 +133,24 @@ def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, finish
     def each(text: pa.Table, asked: pa.Table) -> pa.Table:
         if text.num_rows != 1 or asked.num_rows != text["n_parts"][0].as_py():
             raise RuntimeError("a block's words do not match its texts: rows must come the same way in two reads of the input")
-        part_ids: list = [None] * asked.num_rows
-        for at, x in zip(asked["at"].to_pylist(), asked["ids"].to_pylist()):
-            part_ids[at] = np.frombuffer(x, "<u2" if narrow else "<u4").tolist()
+        kept = asked.select(["at", "ids"]).sort_by("at")["ids"].combine_chunks()
+        n_ids = pc.binary_length(kept).to_numpy().astype(np.int64) // (2 if narrow else 4)
+        part_ids = np.frombuffer(b"".join(kept.to_pylist()), "<u2" if narrow else "<u4")
         numbers, lengths, made = (_spread(text[c][0].as_py()) for c in ("numbers", "lengths", "made"))
         numbers, made = _said(numbers, text["again"][0].as_py()), _said(made, 0)
-        ids, at, made = [], 0, made.tolist()
-        for n in lengths.tolist():
-            ids.append(part_ids[made[at]] if n == 1 else [i for p in made[at : at + n] for i in part_ids[p]])
-            at += n
-        return finish(text["doc_ids"][0].as_py(), np.split(numbers, np.cumsum(text["sizes"][0].as_py())[:-1]), ids)
+        # the words' parts, then the parts' ids, in a row
+        count, upto = n_ids[made], np.concatenate(([0], np.cumsum(n_ids[made])))
+        ids = part_ids[np.arange(upto[-1]) + np.repeat((np.cumsum(n_ids) - n_ids)[made] - upto[:-1], count)]
+        return finish(text["doc_ids"][0].as_py(), numbers, np.array(text["sizes"][0].as_py(), np.int64), ids, upto[np.concatenate(([0], np.cumsum(lengths)))])
 
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(each, schema)
 
 
+def _joined(texts: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The texts between each two edges, joined by a space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), texts), pa.scalar(" ", pa.large_string()))
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids array<int>): the ids of every whole text, as the tokenizer gives them without special tokens added.
 
@@ -159,9 +158,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     empty table gives no rows.  Other columns are not read.
     """
 
-    def finish(doc_ids, rows, ids):
-        out = [[i for w in r.tolist() for i in ids[w]] for r in rows]
-        return pa.table({"id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
+    def finish(doc_ids, numbers, sizes, ids, edges):
+        count = np.diff(edges)[numbers]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        flat = ids[np.arange(upto[-1]) + np.repeat(edges[:-1][numbers] - upto[:-1], count)].astype(np.int32)
+        rows = upto[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
+        return pa.table({"id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(rows), pa.array(flat))})
 
     return _encoded_blocks(df, id_col, text_col, path or default_path(), finish, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -193,18 +195,30 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = path or default_path()
     shared = df.sparkSession.sparkContext.broadcast({r["id"]: r["piece"] for r in pieces(df.sparkSession, path).collect()})
 
-    def finish(doc_ids, rows, ids):
+    def finish(doc_ids, numbers, sizes, ids, edges):
+        count = np.diff(edges)
+        used = np.unique(ids)
+        within = np.searchsorted(used, ids)
+        if not (count > 0).all():  # a word without ids leaves no space
+            live = count[numbers] > 0
+            sizes = np.diff(np.concatenate(([0], np.cumsum(live)))[np.concatenate(([0], np.cumsum(sizes)))])
+            numbers = numbers[live]
+        ends = np.cumsum(sizes)
+        n_tokens = np.diff(np.concatenate(([0], np.cumsum(count[numbers])))[np.concatenate(([0], ends))])
+        cols = [pa.array(doc_ids, pa.int64()), pa.array(n_tokens)]
         piece = shared.value
-        count = np.array([len(x) for x in ids], np.int64)
-        as_ids, as_text = [" ".join(map(str, x)) for x in ids], [" ".join([piece[i] for i in x]) for x in ids]
-        out = []
-        for doc, r in zip(doc_ids, rows):
-            if len(r) and not (count[r] > 0).all():
-                r = np.array(list(compress(r, count[r] > 0)), np.int64)
-            at = r.tolist()
-            out.append((doc, int(count[r].sum()), hashlib.sha256(" ".join([as_ids[i] for i in at]).encode()).hexdigest(), hashlib.sha256(" ".join([as_text[i] for i in at]).encode()).hexdigest()))
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.table({"id": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()), "ids_sha256": pa.array(cols[2], pa.string()), "decoded_sha256": pa.array(cols[3], pa.string())})
+        for names in (list(map(str, used.tolist())), [piece[i] for i in used.tolist()]):
+            of_word = _joined(pa.array(names, pa.large_string()).take(pa.array(within)), edges)
+            digests, first = [], 0
+            while first < len(sizes):
+                at = int(ends[first] - sizes[first])
+                last = max(first + 1, int(np.searchsorted(ends, at + JOINED_WORDS, "right")))
+                texts = _joined(of_word.take(pa.array(numbers[at : ends[last - 1]])), np.concatenate(([0], ends[first:last] - at)))
+                places, data = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1).tolist(), memoryview(texts.buffers()[2] or b"")
+                digests += [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(places, places[1:])]
+                first = last
+            cols.append(pa.array(digests, pa.string()))
+        return pa.table(dict(zip(("id", "n_tokens", "ids_sha256", "decoded_sha256"), cols)))
 
     return _encoded_blocks(df, id_col, text_col, path, finish, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 

@@ -104,6 +104,56 @@ def parts(word: str) -> tuple[str, ...] | list[str]:
     return (word,)
 
 
+#: Words that stay whole; parts of the others, and the line feeds between them.
+_WHOLE = r"['\x{250}-\x{10FFFF}]|<\|"
+_PART_OR_FEED = regex.compile(_PART.pattern + r"|\n")
+#: Bytes by kind: others, letters, digits, and 3 where a byte alone doesn't tell.  0xC3 leads the letters from U+00C0 to U+00FF.
+_KIND = np.array([3 if b == 39 or 28 <= b <= 31 or b > 127 and b != 0xC3 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 0 for b in range(256)], np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def parts_of_all(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many ``parts`` each of the words has, and all parts in a row; no word is empty or has a line feed.
+
+    Words of ASCII and the letters from U+00C0 to U+00FF are parted by their bytes, all at once.
+    """
+    if not len(words):
+        return np.empty(0, np.int64), words
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    x = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    start, length = edges[:-1] - edges[0], np.diff(edges)
+    kind, low = _KIND[x], _LOWER[x]
+    second = np.flatnonzero(x[:-1] == 0xC3) + 1
+    kind[second] = np.where((x[second] == 0x97) | (x[second] == 0xB7), 3, 1)  # signs, not letters
+    low[second] += np.where(x[second] <= 0x9E, 32, 0).astype(np.uint8)
+    kind[:-1][(x[:-1] == ord("<")) & (x[1:] == ord("|"))] = 3
+    hard = np.logical_or.reduceat(kind == 3, start)
+    new = np.ones(len(x), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    kept = np.repeat(hard, length)
+    new[kept], low[kept] = False, x[kept]
+    new[start] = True
+    counts = np.add.reduceat(new.astype(np.int64), start)
+    at = np.append(np.flatnonzero(new), len(x))
+    found = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(low)])
+    hard = np.flatnonzero(hard)
+    others = words.take(pa.array(hard))
+    split = ~pc.match_substring_regex(others, _WHOLE).to_numpy(zero_copy_only=False)
+    if not split.any():
+        return counts, found
+    tokens = pa.array(_PART_OR_FEED.findall("\n".join([*others.filter(pa.array(split)).to_pylist(), ""]).lower()), pa.large_string())
+    feeds = pc.equal(tokens, "\n").to_numpy(zero_copy_only=False)
+    again = np.zeros(len(words), bool)
+    again[hard[split]] = True
+    first = np.flatnonzero(~np.repeat(again, counts))
+    counts[again] = np.diff(np.flatnonzero(feeds), prepend=-1) - 1
+    tokens = tokens.filter(pa.array(~feeds))
+    of_again = np.repeat(again, counts)
+    place = np.empty(len(of_again), np.int64)
+    place[~of_again], place[of_again] = first, len(found) + np.arange(len(tokens))
+    return counts, pa.concat_arrays([found, tokens]).take(pa.array(place))
+
+
 class PartEncoder:
     """Encodes parts of words: the model's own way for plain Latin ones, the tokenizer's for others."""
 
@@ -201,6 +251,13 @@ class Split:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def words(self, which: np.ndarray) -> pa.Array:
+        """The words of these numbers."""
+        start, length = self.starts[which], self.ends[which] - self.starts[which]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        data = self.data[np.arange(upto[-1]) + np.repeat(start - upto[:-1], length)]
+        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(upto), pa.py_buffer(data)])
+
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _LOW_BYTES = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)

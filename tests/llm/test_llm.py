@@ -358,6 +358,26 @@ def test_word_parts_encode_as_words():
 
 # --- HTML
 
+def test_distinct_words_are_parted_all_at_once():
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(1, 0x300) if not (9 <= c <= 13 or c in (32, 0x85, 0xA0))] + list("'<|aAzZ09ÉéßİσΣ漢😀") * 3
+    made = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(5000)] + ["<|x|>", "don't", "A1b", "\x1f", "a<", "|b", "×Ã"]
+    for some in (made, made[-7:], ["plain"], []):
+        want = [list(words.parts(w)) for w in some]
+        counts, found = words.parts_of_all(pa.array(["left out", *some], pa.large_string())[1:])
+        assert counts.tolist() == [len(x) for x in want] and found.to_pylist() == [p for x in want for p in x]
+
+
+def test_digests_of_more_words_than_are_joined_at_a_time(spark):
+    texts = ["Some more words, " * 60_000, None, "été n°1 " * 150_000, "", "last"]
+    tok, want = words.tokenizer(words.default_path()), []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sum(len((t or "").split()) for t in texts) > bpe.JOINED_WORDS
+    assert sorted(map(tuple, bpe.round_trip_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect())) == want
+
+
 def test_html_text():
     page = """<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=1>Home</a></li></ul></nav><div class="ad">Buy.</div>
     <article><h1>A &amp; B</h1><p>un<b>bro</b>ken &lt;i&gt; 1 < 2<br>next<script>var t="</p>";</script></p><p>Tiny.</p><div class="comments"><p>first!</p></div></article>
