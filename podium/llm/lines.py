@@ -56,11 +56,30 @@ SHORT_LINE = 48
 TABLE = "block long, ids array<long>, lines array<int>, sizes array<int>, again long, numbers binary, hashes binary"
 
 
+#: Bytes that lead characters which may have another lower case and are not U+00C0 to U+00FF.
+_OTHER_CASE = np.array([0xC4 <= b <= 0xE1 or b >= 0xEA for b in range(256)])
+
+
 def _lower(column: pa.Array) -> pa.Array:
-    column = pc.fill_null(column, "")
-    if pc.all(pc.string_is_ascii(column)).as_py() in (True, None):
-        return pc.ascii_lower(column)
-    return pa.array([t.lower() for t in column.to_pylist()], pa.large_string())
+    """As str.lower(), by bytes where a text has ASCII, U+0080 to U+00FF, U+2000 to U+20BF and U+3000 to U+9FFF only."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if edges[-1] == edges[0]:
+        return column
+    x = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    low = x | (((x - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    high = np.flatnonzero(x >= 0xC3)
+    second = high[x[high] == 0xC3] + 1
+    low[second] += np.where((x[second] <= 0x9E) & (x[second] != 0x97), 32, 0).astype(np.uint8)
+    other = high[_OTHER_CASE[x[high]] | ((x[high] == 0xE2) & (x[np.minimum(high + 1, len(x) - 1)] > 0x82))]
+    edges = edges - edges[0]
+    out = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(edges), pa.py_buffer(low)])
+    if not len(other):
+        return out
+    mask = np.zeros(len(column), bool)
+    mask[np.searchsorted(edges, other, side="right") - 1] = True
+    mask = pa.array(mask)
+    return pc.replace_with_mask(out, mask, pa.array([t.lower() for t in column.filter(mask).to_pylist()], pa.large_string()))
 
 
 @tidy
@@ -74,18 +93,18 @@ def _block_table(batches):
                 continue
             feeds = np.flatnonzero(split.data[:-8] == 10)
             text = np.repeat(np.arange(b.num_rows), split.sizes)
-            at = np.searchsorted(feeds, split.starts)
+            at = np.cumsum(np.bincount(np.searchsorted(split.starts, feeds), minlength=len(split.starts) + 1)[:-1])
             new = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(text) != 0)))
             first = np.flatnonzero(new)
             no = at[first] - np.searchsorted(feeds, split.edges)[text[first]]
             coded = pa.array(split.hashes()).dictionary_encode()
             h, number = coded.dictionary.to_numpy(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             v, n = len(h), len(first)
-            key = np.sort((np.cumsum(new) - 1) * v + number)
+            key = np.sort((np.cumsum(new) - 1) << 32 | number)
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-            line, word = np.divmod(key, v)
+            line, word = key >> 32, key & 0xFFFFFFFF
             times = np.bincount(word, minlength=v)
-            order = np.lexsort((-times, times == 1))
+            order = np.argsort(np.where(times == 1, 65535, 65534 - np.minimum(times, 65534)).astype(np.uint16), kind="stable")
             renumbered = np.empty(v, np.int64)
             renumbered[order] = np.arange(v)
             again = int((times > 1).sum())
@@ -262,14 +281,17 @@ def _prefixes(rarity, threshold: float, n_buckets: int, of_lines=None, of_words=
         if not len(sizes):
             return None
         v, at = len(h), np.cumsum(sizes) - sizes
-        order = np.lexsort((h, of_word))
+        order = np.argsort(h)  # no two are equal
+        order = order[np.argsort(of_word[order], kind="stable")]
         place = np.empty(v, np.int64)
         place[order] = np.arange(v)
-        key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * v + place[numbers])
-        line, word = key // v, order[key % v]
-        pos = np.arange(len(key)) - at[line]
-        use = (pos < (sizes - _need(threshold, sizes) + _shared(sizes))[line]) & (of_word[word] > 0)
-        hot = use & (of_word[word] >= hot_rank)
+        key = np.sort(np.repeat(np.arange(len(sizes)) << 32, sizes) | place[numbers])
+        long = np.minimum(sizes, sizes - _need(threshold, sizes) + _shared(sizes))
+        line = np.repeat(np.arange(len(sizes)), long)
+        pos = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
+        word = order[key[at[line] + pos] & 0xFFFFFFFF]
+        ranks = of_word[word]
+        use, hot = ranks > 0, ranks >= hot_rank
         signed = np.zeros(len(sizes), bool)
         signed[line[hot]] = True
         use &= ~hot

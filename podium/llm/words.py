@@ -186,9 +186,16 @@ class Split:
         if n:
             self.data[:n] = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
         self.edges = edges - edges[0]
-        word = _IN_WORD[int(controls)][self.data]
+        # unsigned differences wrap: each is one comparison for a range
+        word = self.data - np.uint8(9) >= 5
+        word &= self.data != 32
+        if controls:
+            word &= self.data - np.uint8(28) >= 4
+        leads = np.flatnonzero(self.data[:n] >= 0xC2)
+        leads = leads[_WIDE_LEAD[self.data[leads]]]
+        lead_bytes = self.data[leads]
         for lead, second, third in _WIDE_SPACES:
-            at = np.flatnonzero(self.data[:n] == lead)
+            at = leads[lead_bytes == lead]
             at = at[np.isin(self.data[at + 1], second)]
             if third:
                 at = at[np.isin(self.data[at + 2], third)]
@@ -211,14 +218,14 @@ class Split:
     def hashes(self) -> np.ndarray:
         """64 bits of each word."""
         eights, length = self._eights(), self.ends - self.starts
-        h = length.astype(np.uint64) * _MIX[0]
-        live, at, rest = np.arange(len(length)), self.starts, length
-        for _ in range(_LONG // 8):
-            h[live] = _mixed(h[live] ^ (eights[at] & _LOW_BYTES[np.minimum(rest, 8)]))
-            more = rest > 8
-            if not more.any():
+        h = _mixed(length.astype(np.uint64) * _MIX[0] ^ (eights[self.starts] & _LOW_BYTES[np.minimum(length, 8)]))
+        live = np.flatnonzero(length > 8)
+        for k in range(8, _LONG, 8):
+            if not len(live):
                 break
-            live, at, rest = live[more], at[more] + 8, rest[more] - 8
+            rest = length[live] - k
+            h[live] = _mixed(h[live] ^ (eights[self.starts[live] + k] & _LOW_BYTES[np.minimum(rest, 8)]))
+            live = live[rest > 8]
         for i in np.flatnonzero(length > _LONG).tolist():
             h[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
         return h
@@ -263,16 +270,19 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np
 _LOW_BYTES = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 #: Words longer than so many bytes are hashed one by one.
 _LONG = 1024
-_IN_WORD = [np.array([not (9 <= b <= 13 or b == 32 or (odd and 28 <= b <= 31)) for b in range(256)]) for odd in (False, True)]
 #: Unicode white space beyond ASCII, as UTF-8: first byte, second bytes, third bytes.
 _WIDE_SPACES = ((0xC2, [0x85, 0xA0], []), (0xE1, [0x9A], [0x80]), (0xE2, [0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, [0x81], [0x9F]), (0xE3, [0x80], [0x80]))
+_WIDE_LEAD = np.isin(np.arange(256), [lead for lead, *_ in _WIDE_SPACES])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIX[1]
+    x ^= x >> np.uint64(27)
+    x *= _MIX[2]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class WordIds:

@@ -513,6 +513,14 @@ def test_line_dedup(docs, odd, monkeypatch):
     assert lines.line_dedup(odd.where("false")).count() == 0
 
 
+def test_lower_case_by_bytes(docs):
+    letters = [chr(c) for c in range(1, 0x250)] + list("\u2019\u2014\u2082\u20ac\u2126\u2160\u24b6\u03a3\u03c3\u0130\u1e9e\u3042\u6f22\uac00\uff21\U0001f600\U00010400")
+    rng = np.random.default_rng(4)
+    some = [*letters, *("".join(rng.choice(letters[:0x100] if i % 2 else letters, 9)) for i in range(400)), None, "", *(r.text for r in docs.select("text").collect())]
+    for column in (pa.array(some), pa.array(some)[3:], pa.array([None, ""], pa.string())):
+        assert lines._lower(column).to_pylist() == [(t or "").lower() for t in column.to_pylist()]
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     rows = [
         (1, "one fish two fish red fish\nkeep this line of one"), (None, "one fish two fish red fish\nalone in the first null row"),
