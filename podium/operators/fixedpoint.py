@@ -130,7 +130,7 @@ def performance_ratings(rows: DataFrame, theta: DataFrame) -> DataFrame:
     return _inverted(asked, curves, lambda own, b: -expected(own, b), HALVINGS).withColumnRenamed("b", "perf")
 
 
-def estimate(rows: DataFrame, eps: float | None = 0.5, max_iter: int = 100, prior: DataFrame | None = None):
+def estimate(rows: DataFrame, eps: float | None = 0.5, max_iter: int | None = 100, prior: DataFrame | None = None):
     """(theta, perf, history, converged) from rows (contest_id, team, row, rank).
 
     ``prior`` (team, mu, strength) anchors teams; others have the neutral mean

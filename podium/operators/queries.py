@@ -55,10 +55,10 @@ def with_level(q: DataFrame) -> DataFrame:
 
 
 def converged(fit):
-    """``fit``, raising an error where it stops short of its eps."""
+    """``fit`` in as many steps as it needs, raising an error where it stops short of its eps."""
 
     def whole(*args, **options):
-        got = fit(*args, **options)
+        got = fit(*args, **{"max_iter": None, **options})
         if not got[-1]:
             raise RuntimeError(f"not converged after {len(got[-2])} steps: the last change was {got[-2][-1]}")
         return got
@@ -549,7 +549,8 @@ def holdout_models(spark, sf):
         return converged(irt.fit_2pl)(train, dealt=dealt) if model == "2pl" else converged(irt.fit)(train, model, dealt=dealt)
 
     with ThreadPoolExecutor(1 if dealt is None else len(models)) as pool:  # a pass over blocks is mostly waiting
-        fits = list(pool.map(inheritable_thread_target(spark)(fitted), models))
+        # each with local properties of its own, which hold the id of the execution that a thread is in
+        fits = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fitted), m) for m in models]]
     for model, (theta, b, *_) in zip(models, fits):
         t = test.join(theta.select("team", "theta"), "team").join(b, PROBLEM)
         t = t.select(F.lit(model).alias("model"), *PROBLEM, "team", "y", F.round(irt.predicted(model), 9).alias("p"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import metrics, rating, text
 from podium.operators import cells as C, export, fixedpoint as fp, identity as ident, irt, queries, registry, validate
+from podium.plans import iterate
 from podium.plans.components import connected_components
 from podium.plans.ranks import numbered
 from podium.plans.scratch import Scratch
@@ -225,6 +226,32 @@ def test_a_stopped_fit_is_an_error(spark):
         queries.converged(irt.fit)(cells, "rasch", max_iter=1)
 
 
+def test_whole_fits_take_as_many_steps_as_they_need(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random((100, 20)) < 0.4).astype(int)
+    cells = spark.createDataFrame([(1, t, p, int(y[t, p])) for t in range(100) for p in range(20)], "contest_id long, team long, label long, y int")
+    theta, b, history, _ = queries.converged(irt.fit_2pl)(cells, eps=1e-7, eps_g=1e-9)
+    assert len(history) > 400
+    # the posterior is flat there
+    theta = np.array([r.theta for r in theta.orderBy("team").collect()])
+    b, alpha = np.array([(r.b, r.alpha) for r in b.orderBy("label").collect()]).T
+    eta = alpha / rating.S * (theta[:, None] - b)
+    res = y - 1 / (1 + np.exp(-eta))
+    assert (res * alpha).sum(1) / rating.S == pytest.approx((theta - 2000) / 400**2, abs=1e-8)
+    assert -res.sum(0) * alpha / rating.S == pytest.approx((b - 2000) / 400**2, abs=1e-8)
+    slope, inner = (res * eta).sum(0) - np.log(alpha) / 0.5**2, np.abs(np.log(alpha)) < irt.G_BOUND - 1e-9
+    assert slope[inner] == pytest.approx(0, abs=1e-5) and (slope * np.log(alpha))[~inner].min(initial=0) >= 0
+
+
+def test_only_stalled_fits_are_given_up(monkeypatch):
+    changes = [*np.linspace(9, 2, 700), *np.linspace(5, 0.1, 700)]  # they rise on the way
+    step = lambda it, state: ({"n": it}, changes[it])
+    assert iterate.repeat(step, {}, None, 0.5)[2]
+    monkeypatch.setattr(iterate, "STALLED", 5)
+    state, history, converged = iterate.repeat(lambda it, state: ({"n": it}, 2.0 if it > 3 else 3.0), {}, None, 0.5)
+    assert not converged and state["n"] == 9 and len(history) == 10
+
+
 def contest(cid, times, name="Round", year=2024, problems=None):
     cell = lambda t: {"solved": t is not None, "time_seconds": t}
     return {"contest_id": cid, "contest_name": name, "year": year, "problems": problems if problems is not None else [{"problem_label": "A", "problem_id": "1", "problem_name": "a"}], "standings": [{"rank": i + 1, "team_id": f"t{i}", "problems": {"A": cell(t), "Z": cell(5.0)} if t != "none" else None} for i, t in enumerate(times)]}
@@ -443,6 +470,23 @@ def test_survival_steps_are_one_pass_and_equal_the_tables(spark, sf, monkeypatch
     _one_pass_a_step(spark, sf, monkeypatch, "survival")
 
 
+@pytest.mark.parametrize("model, passes", [("rasch", 1), ("survival", 1), ("2pl", 2)])
+def test_blocks_held_by_the_driver_take_no_jobs_and_equal_those_in_jobs(spark, sf, monkeypatch, model, passes):
+    obs = Scratch(spark, "held").table(C.exposure(C.kept_cells(views.v1_cells(spark, sf))))
+    run = lambda n: irt.fit_2pl(obs, warmup=2, eps=None, max_iter=n) if model == "2pl" else irt.fit(obs, model, eps=None, max_iter=n)
+    monkeypatch.setattr("podium.plans.blocks.BLOCK_CELLS", 500)
+    got, tables = {}, {}
+    for held in (4_000_000, 0):
+        monkeypatch.setattr("podium.plans.blocks.HELD_CELLS", held)
+        _, short = _jobs(spark, f"held-{model}-{held}-4", lambda: run(4))
+        (theta, b, *_), long = _jobs(spark, f"held-{model}-{held}-10", lambda: run(10))
+        got[held] = len(long) - len(short)
+        tables[held] = [t.toPandas().sort_values(keys).reset_index(drop=True) for t, keys in ((theta, ["team"]), (b, ["contest_id", "label"]))]
+    assert got == {4_000_000: 0, 0: 6 * passes}
+    for x, y in zip(tables[4_000_000], tables[0]):
+        pd.testing.assert_frame_equal(x, y, rtol=1e-9)
+
+
 def test_held_out_models_share_one_deal_and_one_ranking(spark, sf, monkeypatch):
     dealt, ranked = [], []
     blocks, number = irt.TeamBlocks, metrics.numbered
